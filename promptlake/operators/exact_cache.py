@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from promptlake.operators.ordered import latest_before
 from promptlake.session import cut
@@ -74,7 +74,8 @@ def l1_attribute(requests: DataFrame, ttl_s: int = 86400, key: str = "cache_key"
 
 
 def _attribute_walk(d: DataFrame, ttl_us: int, key: str, rid: str) -> DataFrame:
-    schema = d.drop("l1_hit").schema.add("l1_hit", "boolean").add("_anchor", "bigint")
+    schema = T.StructType([
+        *d.schema.fields, T.StructField("l1_hit", T.BooleanType()), T.StructField("_anchor", T.LongType())])
 
     def walk(batches):
         import pyarrow as pa

@@ -8,16 +8,10 @@ MAX_LANGS = 500  # a profile has one column per language
 
 
 def _grams(df: DataFrame, text: str, keep: list[str], n_max: int) -> DataFrame:
-    """One row per character n-gram of the whole text."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    d = df.select(*keep, chars.alias("_c"))
-    runs = [F.col("_c")]
-    for n in range(2, n_max + 1):
-        runs.append(F.when(F.size("_c") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("_c") - (n - 1)),
-            lambda i, n=n: F.concat(*[F.col("_c")[i - 1 + j] for j in range(n)])))
-            .otherwise(F.array().cast("array<string>")))
-    return d.select(*keep, F.explode(F.concat(*runs)).alias("gram"))
+    """One row per character n-gram of the whole text. Each match looks n characters ahead
+    and consumes one, so overlapping grams come from one scan."""
+    runs = [F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))." % n), F.lit(1)) for n in range(1, n_max + 1)]
+    return df.select(*keep, F.explode(F.concat(*runs)).alias("gram"))
 
 
 def train_lang(df: DataFrame, text: str = "text", lang: str = "lang", n_max: int = 3) -> DataFrame:

@@ -18,6 +18,7 @@ from promptlake.functions.vector import cosine_sim
 
 BLOCK_ROWS = 16_384
 PLACES = 6
+_SIDE = "id string, vec array<float>, at bigint, until bigint"
 
 
 def _side(df: DataFrame, rid: str, vec: str, at: str | None, until: str | None) -> DataFrame:
@@ -29,7 +30,7 @@ def _side(df: DataFrame, rid: str, vec: str, at: str | None, until: str | None)
     return df.filter(F.coalesce(ok, F.lit(False))).select(
         F.col(rid).cast("string").alias("id"), F.col(vec).cast("array<float>").alias("vec"),
         (us(at) if at else F.lit(0).cast("bigint")).alias("at"),
-        (us(until) if until else F.lit(None).cast("bigint")).alias("until"))
+        (us(until) if until else F.lit(2**63 - 1).cast("bigint")).alias("until"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -59,7 +60,7 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
                 best = np.clip(sims[np.arange(len(pdf)), cell], -1.0, 1.0)
                 yield pdf.assign(cell=cell.astype("int64"), angle=np.arccos(best))
 
-    return df.mapInPandas(assign, df.schema.add("cell", "bigint").add("angle", "double"))
+    return df.mapInPandas(assign, _SIDE + ", cell bigint, angle double")
 
 
 def _meeting_cells(q: DataFrame, s: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
@@ -107,10 +108,10 @@ def _compare(q: DataFrame, s: DataFrame, k: int | None, threshold: float, in_tim
 
         found = []
         if len(qb) and len(sb):
-            sb = sb.sort_values(["at", "id"], kind="stable")
-            sm = _matrix(sb["vec"])
-            sid, sat = sb["id"].to_numpy(), sb["at"].to_numpy()
-            until = sb["until"].fillna(np.iinfo("int64").max).to_numpy("int64")
+            # tie order: oldest entry first, then its id
+            tie = np.lexsort((sb["id"].to_numpy(dtype=str), sb["at"].to_numpy()))
+            sm = _matrix(sb["vec"])[tie]
+            sid, sat, until = (sb[c].to_numpy()[tie] for c in ("id", "at", "until"))
             qid, qat, qm = qb["id"].to_numpy(), qb["at"].to_numpy(), _matrix(qb["vec"])
             snum = sid.astype("int64") if below_id else None
             for i in range(0, len(qb), 1024):
@@ -133,12 +134,15 @@ def _compare(q: DataFrame, s: DataFrame, k: int | None, threshold: float, in_tim
                     b = best.ravel()
                     keep = ok[a, b]
                     a, b = a[keep], b[keep]
-                found.append(pd.DataFrame(
-                    {"qid": qid[i + a], "sid": sid[b], "similarity": sims[a, b], "s_at": sat[b]}))
-        return pd.concat(found) if found else pd.DataFrame(
-            {"qid": [], "sid": [], "similarity": [], "s_at": []})
+                found.append((qid[i + a], sid[b], sims[a, b], sat[b]))
+        names = ("qid", "sid", "similarity", "s_at")
+        return pd.DataFrame({c: np.concatenate([f[j] for f in found]) if found else [] for j, c in enumerate(names)})
 
     cell = ["cell", "sp", "qp"]
+    # blocks are small in bytes and large in arithmetic: keep them spread out
+    spark = q.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    q, s = q.repartition(n, *cell), s.repartition(n, *cell)
     return q.groupBy(*cell).cogroup(s.groupBy(*cell)).applyInPandas(compare, _RESULT)
 
 
@@ -209,8 +213,9 @@ def similar_pairs(df: DataFrame, threshold: float, rid: str = "id", vec: str = "
     on each side. Equal vectors stand in for each other (see :func:`copies`), so a large
     group of copies does not become a quadratic number of rows."""
     reps, _ = _distinct_vectors(df, rid, vec)
-    side = _side(reps, "rep", "vec", None, None)
-    q, s = _layout(side, side, threshold, pivots, block_rows)
+    # built twice: the two sides of a cogroup must not share columns
+    q, s = _side(reps, "rep", "vec", None, None), _side(reps, "rep", "vec", None, None)
+    q, s = _layout(q, s, threshold, pivots, block_rows)
     q, s = _blocks(q, s, block_rows)
     pairs = _compare(q, s, None, threshold, False, True)
     n = reps.select("rep", "copies")
@@ -246,7 +251,7 @@ def _signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> D
                 cells = side @ weights + (np.arange(tables, dtype="int64") << bits)
                 yield pdf.assign(cell=list(cells))
 
-    return df.mapInPandas(sign, df.schema.add("cell", "array<bigint>")).withColumn("cell", F.explode("cell"))
+    return df.mapInPandas(sign, _SIDE + ", cell array<bigint>").withColumn("cell", F.explode("cell"))
 
 
 def knn_lsh(queries: DataFrame, store: DataFrame, k: int = 3, dim: int = 384, tables: int = 8,

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from promptlake.operators.candidates import semantic_match
-from promptlake.operators.similarity import pair_similarity, similar_pairs
+from promptlake.operators.similarity import copies, pair_similarity, similar_pairs
 from promptlake.rules import Rules
 
 _RULES = Rules()
@@ -23,9 +23,13 @@ def diagnose_pairs(pairs: DataFrame, emb_raw: DataFrame, emb_norm: DataFrame, te
     sims = pair_similarity(pairs, emb_raw, emb_norm, threshold=threshold)
     originals = emb_norm.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
     close = similar_pairs(originals, threshold)
-    near = close.select(F.col("i").alias("a"), F.col("j_copies").alias("c")).unionByName(
-        close.select(F.col("j").alias("a"), F.col("i_copies").alias("c"))).groupBy("a").agg(
-        F.sum("c").alias("close_originals"))
+    members = copies(originals)
+    per_rep = (
+        close.select(F.col("i").alias("rep"), F.col("j_copies").alias("c"))
+        .unionByName(close.select(F.col("j").alias("rep"), F.col("i_copies").alias("c")))
+        .unionByName(members.groupBy("rep").agg((F.count(F.lit(1)) - 1).alias("c")))
+        .groupBy("rep").agg(F.sum("c").alias("close_originals")))
+    near = members.join(per_rep, "rep").select(F.col("id").alias("a"), "close_originals")
     probes = emb_norm.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").join(
         texts, "id").select(F.col("id").alias("request_id"), "query_text", "lang", "embedding")
     out = semantic_match(probes, store, threshold, k, rules)
