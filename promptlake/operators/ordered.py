@@ -3,11 +3,14 @@
 A plain window over a key puts all of the key's rows into one task. The operators here cut
 each key into buckets along the order, aggregate per bucket (combining before the shuffle),
 carry the result over the short list of buckets, and run the row window inside a bucket.
+
+The explicit ``repartition`` on (key, bucket) matters: data that already is partitioned by the
+key alone would satisfy the window, and the hot key would stay in its one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def time_bucket(ts: str, seconds: int) -> Column:
@@ -30,7 +33,7 @@ def running_sum(df: DataFrame, value: Column, keys: list[str], order: list[str],
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     return (
-        d.join(before, [*keys, "_b"])
+        d.repartition(*keys, "_b").join(before, [*keys, "_b"])
         .withColumn(out, F.col("_off") + F.coalesce(F.sum("_v").over(w), F.lit(0)))
         .drop("_b", "_v", "_off"))
 
@@ -63,30 +66,41 @@ def latest_before(left: DataFrame, right: DataFrame, keys: list[str], left_ts: s
     w = (Window.partitionBy(*keys, "_b").orderBy(F.col("_t").asc_nulls_first(), "_kind", "_e._rtie")
          .rowsBetween(Window.unboundedPreceding, 0))
     return (
-        merged.withColumn("_hit", F.last("_e", True).over(w))
+        merged.repartition(*keys, "_b").withColumn("_hit", F.last("_e", True).over(w))
         .filter(F.col("_kind") == 2)
         .select("_l.*", *[F.col("_hit")[p].alias(p) for p in payload]))
 
 
 def trailing_mean(df: DataFrame, value: str, keys: list[str], order: list[str], bucket: Column,
-                  sizes: dict[str, int], chunk: int = 4096) -> DataFrame:
+                  sizes: dict[str, int], number: Column | None = None, chunk: int = 4096) -> DataFrame:
     """Mean over the last n rows per key, for several n; shorter at the start.
 
-    Rows are numbered by :func:`running_sum`; each chunk of numbers is averaged on its own,
-    with the rows just before it repeated as context.
+    Rows are numbered by :func:`running_sum`, unless ``number`` already counts them without
+    gaps; each chunk of numbers is averaged on its own, with the rows just before it repeated
+    as context.
     """
     longest = max(sizes.values())
     if longest > chunk:
         raise ValueError("window is longer than a chunk")
-    n = running_sum(df, F.lit(1), keys, order, bucket, "_n")
+    n = df.withColumn("_n", number) if number is not None else running_sum(
+        df, F.lit(1), keys, order, bucket, "_n")
     home = F.floor((F.col("_n") - 1) / chunk).cast("bigint")
     into_next = (F.col("_n") - 1) % chunk >= chunk - (longest - 1)
     spread = n.withColumn("_home", home).withColumn(
         "_c", F.explode(F.when(into_next, F.array("_home", F.col("_home") + 1)).otherwise(F.array("_home"))))
+    spread = spread.repartition(*keys, "_c")
     w = Window.partitionBy(*keys, "_c").orderBy("_n")
+    exact = isinstance(df.schema[value].dataType, T.IntegralType)
+    if exact:
+        upto = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        spread = spread.withColumns({"_p": upto, "_r": F.row_number().over(w)})
     for name, size in sizes.items():
-        spread = spread.withColumn(name, F.avg(value).over(w.rowsBetween(-(size - 1), 0)))
-    return spread.filter(F.col("_c") == F.col("_home")).drop("_n", "_home", "_c")
+        mean = (
+            # whole numbers: a difference of prefix sums, not a new sum per row
+            (F.col("_p") - F.coalesce(F.lag("_p", size).over(w), F.lit(0))) / F.least(F.col("_r"), F.lit(size))
+            if exact else F.avg(value).over(w.rowsBetween(-(size - 1), 0)))
+        spread = spread.withColumn(name, mean)
+    return spread.filter(F.col("_c") == F.col("_home")).drop("_n", "_home", "_c", "_p", "_r")
 
 
 def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
@@ -113,7 +127,7 @@ def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str,
         .select(*by, "_b", "n", "_before", "_w"))
     inside = Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
-        counts.join(F.broadcast(located), [*by, "_b"])  # at most one bucket per group and rank
+        counts.repartition(*by, "_b").join(located, [*by, "_b"])  # at most one bucket per group and rank
         .withColumn("_hi", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_c")))
     at = lambda name: F.max(F.when(

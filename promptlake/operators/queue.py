@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from promptlake.config import Config
-from promptlake.operators.ordered import running_sum, time_bucket, trailing_mean
+from promptlake.operators.ordered import time_bucket, trailing_mean
+from promptlake.session import width
 
 _CONFIG = Config()
 
@@ -25,26 +26,37 @@ def queue_depth(calls: DataFrame, step_s: int = 5, pod: str = "pod", enter: str
         calls.select(pod, marks.alias("m")).filter(F.col("m.us").isNotNull())
         .groupBy(pod, F.ceil(F.col("m.us") / F.lit(step)).cast("bigint").alias("g"))
         .agg(F.sum("m.d").alias("d")))
-    # one row per pod and hour of the grid, then its steps: no single array spans the log
+    # one row per pod and hour with the depth at its start; only then its steps
     hour = max(1, 3600 // step_s)
-    spans = net.groupBy(pod).agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
-    grid = (
+    by_hour = net.groupBy(pod, F.expr(f"g div {hour}").alias("h")).agg(
+        F.sum("d").alias("d"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    spans = by_hour.groupBy(pod).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    before = Window.partitionBy(pod).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = (
         spans.withColumn("h", F.explode(F.expr(f"sequence(lo div {hour}, hi div {hour})")))
-        .withColumn("g", F.explode(F.sequence(
-            F.greatest("lo", F.col("h") * hour), F.least("hi", F.col("h") * hour + (hour - 1)))))
-        .select(pod, "g"))
-    series = running_sum(
-        grid.join(net, [pod, "g"], "left"), F.coalesce("d", F.lit(0)), [pod], ["g"],
-        F.expr(f"g div {hour}"), "depth")
+        .join(by_hour.select(pod, "h", "d"), [pod, "h"], "left")
+        .withColumn("at_start", F.coalesce(F.sum("d").over(before), F.lit(0))))
+    # spread the hours before they unfold: they sit with their pod
+    grid = hours.repartition(width(calls.sparkSession), pod, "h").withColumn("g", F.explode(F.sequence(
+        F.greatest("lo", F.col("h") * hour), F.least("hi", F.col("h") * hour + (hour - 1)))))
+    inside = Window.partitionBy(pod, "h").orderBy("g").rowsBetween(Window.unboundedPreceding, 0)
+    series = grid.select(pod, "h", "g", "at_start").join(net, [pod, "g"], "left").withColumn(
+        "depth", F.col("at_start") + F.coalesce(F.sum("d").over(inside), F.lit(0)))
     return series.select(
         pod, F.timestamp_micros(F.col("g") * step).alias("ts"),
         F.greatest(F.lit(0).cast("bigint"), F.col("depth")).alias("depth"))
 
 
-def moving_avg(samples: DataFrame, sizes: dict[str, int] | None = None, pod: str = "pod") -> DataFrame:
-    """Averages over the last 12 and 60 samples (one and five minutes), partial at the start."""
+def moving_avg(samples: DataFrame, sizes: dict[str, int] | None = None, pod: str = "pod",
+               step_s: int | None = None) -> DataFrame:
+    """Averages over the last 12 and 60 samples (one and five minutes), partial at the start.
+
+    ``step_s`` says that every pod has a sample at every step, as :func:`queue_depth` gives
+    them; without it the samples are numbered first.
+    """
+    number = F.expr(f"unix_micros(ts) div {step_s * 1_000_000}") if step_s else None
     return trailing_mean(
-        samples, "depth", [pod], ["ts"], time_bucket("ts", 3600), sizes or {"avg_1m": 12, "avg_5m": 60})
+        samples, "depth", [pod], ["ts"], time_bucket("ts", 3600), sizes or {"avg_1m": 12, "avg_5m": 60}, number)
 
 
 def breach_flags(averages: DataFrame, up: float = _CONFIG.scale_up, down: float = _CONFIG.scale_down) -> DataFrame:

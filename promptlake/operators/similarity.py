@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from promptlake.functions.vector import cosine_sim
+from promptlake.session import width
 
 BLOCK_ROWS = 16_384
 PLACES = 6
@@ -140,8 +141,7 @@ def _compare(q: DataFrame, s: DataFrame, k: int | None, threshold: float, in_tim
 
     cell = ["cell", "sp", "qp"]
     # blocks are small in bytes and large in arithmetic: keep them spread out
-    spark = q.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = width(q.sparkSession)
     q, s = q.repartition(n, *cell), s.repartition(n, *cell)
     return q.groupBy(*cell).cogroup(s.groupBy(*cell)).applyInPandas(compare, _RESULT)
 

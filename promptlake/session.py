@@ -28,6 +28,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf) ->
     return spark
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for steps that are small in bytes but large in work or output. Given as a
+    number to ``repartition``, it is not undone by adaptive coalescing."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
 
