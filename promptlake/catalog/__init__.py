@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("scalars", "adapters", "caching", "metrics", "experiments")
+_MODULES = ("scalars", "adapters", "caching", "metrics", "experiments", "streams")
 
 
 def all_queries() -> dict:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from promptlake.functions.text import extract_keywords, l2_eligible, numbers, tech_keywords
 from promptlake.functions.validate import entry_numbers, entry_tech, validate_sets
-from promptlake.operators.similarity import knn
+from promptlake.operators.similarity import BLOCK_ROWS, knn
 from promptlake.rules import Rules
 from promptlake.session import cut
 
@@ -38,13 +38,14 @@ def _features(requests: DataFrame, ttl_s: int, max_chars: int, rules: Rules, can
 
 def semantic_absorb(requests: DataFrame, threshold: float = 0.75, k: int = 3, ttl_s: int = 86400,
                     max_chars: int = 300, rules: Rules = _RULES, can_store: str | None = None,
-                    max_rounds: int | None = None, **layout) -> DataFrame:
+                    max_rounds: int | None = None, initial: DataFrame | None = None, **layout) -> DataFrame:
     """(request_id, l2_hit, entry_id, similarity, stored, round) for every request.
 
     Columns needed: request_id, ts, query_text, lang, embedding. Requests without an
     embedding or with a long text take no part. ``can_store`` names a flag for requests that
     may reuse entries but never become one. ``max_rounds`` raises when exceeded; it never
-    ends the work early.
+    ends the work early. ``initial`` holds entries stored before the log begins (entry_id,
+    embedding, lang, keywords, stored_at, expires_at).
     """
     feats = cut(_features(requests, ttl_s, max_chars, rules, can_store))
     takes_part = F.col("embedding").isNotNull()
@@ -52,10 +53,22 @@ def semantic_absorb(requests: DataFrame, threshold: float = 0.75, k: int = 3, tt
     settled = feats.filter(~takes_part).select(
         "rid", F.lit(False).alias("l2_hit"), F.lit(None).cast("string").alias("entry_id"),
         F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("stored"), F.lit(0).alias("round"))
-    active = feats.filter(takes_part).select("rid", "ts", "until", "embedding", "can_store")
+    columns = ["rid", "ts", "until", "embedding", "can_store"]
+    active = feats.filter(takes_part).select(*columns)
+    if initial is not None:
+        old = cut(initial.select(
+            F.col("entry_id").cast("string").alias("rid"), F.col("stored_at").cast("timestamp").alias("ts"),
+            F.col("expires_at").cast("timestamp").alias("until"), "embedding", F.lit(False).alias("can_store"),
+            F.coalesce("lang", F.lit("")).alias("lang"), numbers(F.lit("")).alias("q_numbers"),
+            numbers(F.lit("")).alias("q_tech"), entry_numbers("keywords").alias("e_numbers"),
+            entry_tech("keywords", rules).alias("e_tech")))
+        known = known.unionByName(old.select(*known.columns))
+        old = old.select(*columns)
+    if "pivots" not in layout:
+        layout = {**layout, "pivots": min(256, active.count() // (4 * BLOCK_ROWS))}
     n_round = 0
     open_ = active
-    stored = active.limit(0)
+    stored = active.limit(0) if initial is None else old
     while True:
         if open_.isEmpty():
             break
@@ -89,4 +102,6 @@ def semantic_absorb(requests: DataFrame, threshold: float = 0.75, k: int = 3, tt
         settled = settled.unionByName(now)
         open_ = active.join(settled, "rid", "left_anti")
         stored = active.join(settled.filter("stored"), "rid", "left_semi")
+        if initial is not None:
+            stored = stored.unionByName(old)
     return settled.withColumnRenamed("rid", "request_id")
