@@ -72,19 +72,21 @@ def _(s, d):
 def _(s, d):
     c = load(s, d, "documents").select(
         F.col("doc_id").alias("response_id"), F.posexplode(F.split("text", "\n")).alias("seq", "delta"),
-        F.lit(150).alias("predicted_max"))
+        F.lit(150).alias("predicted_max")).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
     # the first lines of every response come first
     slice_ = F.when(F.col("seq") < 2, 0).when(F.col("seq") < 5, 1).otherwise(2)
     return _run(s, ordered.stream_truncate(_replay(s, c, slice_, heartbeat=False)))
 
 
-@query("stream_queue_avg", f"""WITH {_AVG} SELECT pod, (g - 1) // 17280 AS day, count(*) AS samples, max(avg_1m) AS max_1m, max(avg_5m) AS max_5m,
-    round(sum(avg_1m), 3) AS sum_1m, round(sum(avg_5m), 3) AS sum_5m FROM av GROUP BY 1, 2""")
+@query("stream_queue_avg", f"""WITH {_AVG.replace('5000000', '60000000')} SELECT pod, g // 1440 AS day, count(*) AS samples, max(avg_1m) AS max_1m,
+    max(avg_5m) AS max_5m, round(sum(avg_1m), 3) AS sum_1m, round(sum(avg_5m), 3) AS sum_5m FROM av GROUP BY 1, 2""")
 def _(s, d):
-    """The whole series goes through the stream; printed per pod and day."""
-    q = Q.queue_depth(_calls(s, d)).select("pod", "ts", "depth")
-    out = _run(s, windows.stream_queue_avg(_replay(s, q, _month_slice()))).filter("pod <> 'heartbeat'")
-    return out.groupBy("pod", F.expr("(unix_micros(ts) div 5000000 - 1) div 17280").alias("day")).agg(
+    """A sample per minute goes through the stream; printed per pod and day."""
+    q = Q.queue_depth(_calls(s, d), step_s=60).select("pod", "ts", "depth")
+    beat = F.coalesce("depth", F.lit(0)).alias("depth")
+    src = _replay(s, q, _month_slice()).select("pod", "ts", beat)
+    out = _run(s, ordered.stream_queue_avg(src)).filter("pod <> 'heartbeat'")
+    return out.groupBy("pod", F.expr("unix_micros(ts) div 86400000000").alias("day")).agg(
         F.count(F.lit(1)).alias("samples"), F.max("avg_1m").alias("max_1m"), F.max("avg_5m").alias("max_5m"),
         F.round(F.sum("avg_1m"), 3).alias("sum_1m"), F.round(F.sum("avg_5m"), 3).alias("sum_5m"))
 

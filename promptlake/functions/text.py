@@ -22,6 +22,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """``body`` over ``value``, evaluated once however often the body uses it."""
+    return F.transform(F.array(_col(value)), body)[0]
+
+
 def query_text(messages="messages") -> Column:
     """Content of the last message, whatever its role; empty without messages."""
     return F.coalesce(F.try_element_at(_col(messages), F.lit(-1))["content"], F.lit(""))
@@ -54,12 +59,19 @@ def normalize(text="query_text", rules: Rules = _DEFAULT) -> Column:
 
 def years(text="query_text") -> Column:
     """Four-digit years 1900-2099."""
-    return F.regexp_extract_all(_col(text), F.lit(YEAR), F.lit(0))
+    return _extract(text, "(?:19|20)[0-9]{2}", YEAR)
 
 
 def versions(text="query_text") -> Column:
     """Version numbers such as 3.12 or v1.2.3."""
-    return F.regexp_extract_all(_col(text), F.lit(VERSION), F.lit(0))
+    return _extract(text, r"[0-9]\.[0-9]", VERSION)
+
+
+def _extract(text, hint: str, pattern: str) -> Column:
+    """All matches; texts without the plain ``hint`` skip the slower bounded pattern."""
+    text = _col(text)
+    return F.when(text.rlike(hint), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def numbers(text="query_text") -> Column:
@@ -69,9 +81,11 @@ def numbers(text="query_text") -> Column:
 
 def matched_words(text, words) -> Column:
     """Those of ``words`` that occur in the lower-cased text as substrings, sorted."""
-    lower = F.lower(_col(text))
-    hits = [F.when(F.contains(lower, F.lit(w)), F.lit(w)) for w in sorted(set(words))]
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    words = sorted(set(words))
+    if not words:
+        return F.array().cast("array<string>")
+    return let(F.lower(_col(text)), lambda t: F.array_compact(F.array(*[
+        F.when(F.contains(t, F.lit(w)), F.lit(w)) for w in words])))
 
 
 def tech_keywords(text="query_text", rules: Rules = _DEFAULT) -> Column:
@@ -95,16 +109,18 @@ def predict_output_tokens(text="query_text", rules: Rules = _DEFAULT) -> Column:
 
 
 def _by_class(text, rules: Rules, item: int) -> Column:
-    lower = F.lower(_col(text))
     *ranked, default = rules.query_classes
-    chain = None
-    for cls in ranked:
-        found = F.lit(False)
-        for word in cls[2]:
-            found = found | F.contains(lower, F.lit(word))
-        chain = F.when(found, F.lit(cls[item])) if chain is None else chain.when(
-            found, F.lit(cls[item]))
-    return F.lit(default[item]) if chain is None else chain.otherwise(F.lit(default[item]))
+
+    def first_class(lower):
+        chain = F
+        for cls in ranked:
+            found = F.lit(False)
+            for word in cls[2]:
+                found = found | F.contains(lower, F.lit(word))
+            chain = chain.when(found, F.lit(cls[item]))
+        return chain.otherwise(F.lit(default[item]))
+
+    return let(F.lower(_col(text)), first_class) if ranked else F.lit(default[item])
 
 
 def mock_answer(text="query_text", model="model") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from promptlake.functions.text import _col, numbers, tech_keywords
+from promptlake.functions.text import _col, let, numbers, tech_keywords
 from promptlake.rules import Rules
 
 _RULES = Rules()
@@ -24,10 +24,10 @@ def check_language(query_lang="lang", entry_lang="entry_lang") -> Column:
 
 
 def _check_sets(query_set: Column, entry_set: Column, name: str, none: str) -> Column:
-    return (
-        F.when(F.size(query_set) == 0, _result(True, none))
-        .when(query_set == entry_set, _result(True, f"{name}_match"))
-        .otherwise(_result(False, f"{name}_mismatch")))
+    return let(query_set, lambda q: (
+        F.when(F.size(q) == 0, _result(True, none))
+        .when(q == entry_set, _result(True, f"{name}_match"))
+        .otherwise(_result(False, f"{name}_mismatch"))))
 
 
 def entry_numbers(keywords="entry_keywords") -> Column:
@@ -56,11 +56,13 @@ def check_tech(text="query_text", keywords="entry_keywords", rules: Rules = _RUL
 def validate_sets(q_lang, e_lang, q_numbers, e_numbers, q_tech, e_tech) -> Column:
     """All checks over precomputed sets; the first failure gives the reason."""
     lang = check_language(q_lang, e_lang)
+    # each check runs only if the one before passed
     num = _check_sets(_col(q_numbers), _col(e_numbers), "numeric", "no_numeric_in_query")
     tech = _check_sets(_col(q_tech), _col(e_tech), "tech_keyword", "no_tech_keyword_in_query")
-    return (
-        F.when(~lang["passed"], lang).when(~num["passed"], num).when(~tech["passed"], tech)
-        .otherwise(_result(True, "all_checks_passed")))
+    done = _result(True, "all_checks_passed")
+    last = let(tech, lambda t: F.when(~t["passed"], t).otherwise(done))
+    middle = let(num, lambda n: F.when(~n["passed"], n).otherwise(last))
+    return let(lang, lambda g: F.when(~g["passed"], g).otherwise(middle))
 
 
 def validate(text="query_text", lang="lang", entry_lang="entry_lang",

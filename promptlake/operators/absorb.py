@@ -5,6 +5,11 @@ itself. Which entries exist depends on earlier decisions, so the log is settled
 every round searches, for each open request, the k nearest earlier entries that are stored
 or still open, and settles all requests whose outcome no open entry can change. The search
 returns at most k rows per request, so crowds of near-copies stay linear.
+
+Most requests settle in the first rounds; what remains are chains along time. Once few
+enough are open (``tail_rows``, a checked bound), longer lists are searched for them and one
+task walks the chains in order. A request whose list was too short to decide stays open for
+another round, so lists of any length give the exact outcome.
 """
 
 from __future__ import annotations
@@ -36,9 +41,73 @@ def _features(requests: DataFrame, ttl_s: int, max_chars: int, rules: Rules, can
         "e_numbers": entry_numbers("_kw"), "e_tech": entry_tech("_kw", rules)}).drop("_kw")
 
 
+_SETTLED = "rid string, l2_hit boolean, entry_id string, similarity double, stored boolean"
+
+
+def _walk(lists: DataFrame, k: int, length: int) -> DataFrame:
+    """Settle open requests in time order. ``lists`` holds one row per open request: rid, us,
+    can_store and its nearest entries, at most ``length`` of them, as parallel arrays."""
+    def walk(batches):
+        import pandas as pd
+
+        pdf = pd.concat(list(batches))  # at most tail_rows rows
+        outcome = {}  # of the open requests met so far: is it stored?
+        found = []
+        for r in pdf.sort_values(["us", "rid"]).itertuples(index=False):
+            used, hit, sure = 0, None, True
+            near = () if r.sid is None else sorted(zip(r.rank, r.sid, r.sim, r.ok, r.is_open))
+            for _, sid, sim, ok, is_open in near:
+                if is_open:
+                    if sid not in outcome:
+                        sure = False
+                        break
+                    if not outcome[sid]:
+                        continue
+                used += 1
+                if ok:
+                    hit = (sid, float(sim))
+                if ok or used == k:
+                    break
+            else:
+                sure = len(near) < length
+            if sure:
+                stored = hit is None and bool(r.can_store)
+                outcome[r.rid] = stored
+                found.append((r.rid, hit is not None, *(hit or (None, None)), stored))
+        yield pd.DataFrame(found, columns=["rid", "l2_hit", "entry_id", "similarity", "stored"])
+
+    return lists.repartition(1).mapInPandas(walk, _SETTLED)
+
+
+def _settle_tail(judged: DataFrame, open_: DataFrame, k: int, length: int) -> DataFrame:
+    lists = judged.groupBy("qid").agg(*[
+        F.collect_list(c).alias(n) for c, n in (
+            ("rank", "rank"), ("sid", "sid"), ("similarity", "sim"), ("ok", "ok"), ("is_open", "is_open"))])
+    rows = open_.select("rid", "can_store", F.unix_micros("ts").alias("us")).join(
+        lists.withColumnRenamed("qid", "rid"), "rid", "left")
+    return _walk(rows, k, length)
+
+
+def _settle_round(judged: DataFrame, open_: DataFrame, k: int, length: int) -> DataFrame:
+    """The first valid neighbour decides, if it is stored; with none valid the request is a
+    miss once no open neighbour could give its slot to one further away."""
+    outcome = judged.groupBy("qid").agg(
+        F.min_by(F.struct("sid", "similarity", "is_open"), F.when(F.col("ok"), F.col("rank"))).alias("first"),
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_open")).alias("n_open"))
+    state = open_.select("rid", "can_store").join(outcome.withColumnRenamed("qid", "rid"), "rid", "left")
+    hit = F.coalesce(~F.col("first.is_open"), F.lit(False))
+    waits = F.when(F.col("first").isNotNull(), F.col("first.is_open")).otherwise(
+        F.coalesce((F.col("n") >= k) & (F.col("n_open") > 0), F.lit(False)))
+    return state.filter(~waits).select(
+        "rid", hit.alias("l2_hit"), F.when(hit, F.col("first.sid")).alias("entry_id"),
+        F.when(hit, F.col("first.similarity")).alias("similarity"),
+        (~hit & F.col("can_store")).alias("stored"))
+
+
 def semantic_absorb(requests: DataFrame, threshold: float = 0.75, k: int = 3, ttl_s: int = 86400,
                     max_chars: int = 300, rules: Rules = _RULES, can_store: str | None = None,
-                    max_rounds: int | None = None, initial: DataFrame | None = None, **layout) -> DataFrame:
+                    max_rounds: int | None = None, initial: DataFrame | None = None,
+                    tail_rows: int = 200_000, tail_length: int = 16, **layout) -> DataFrame:
     """(request_id, l2_hit, entry_id, similarity, stored, round) for every request.
 
     Columns needed: request_id, ts, query_text, lang, embedding. Requests without an
@@ -70,14 +139,17 @@ def semantic_absorb(requests: DataFrame, threshold: float = 0.75, k: int = 3, tt
     open_ = active
     stored = active.limit(0) if initial is None else old
     while True:
-        if open_.isEmpty():
+        n_open = open_.count()
+        if n_open == 0:
             break
         n_round += 1
         if max_rounds is not None and n_round > max_rounds:
             raise RuntimeError(f"not settled after {max_rounds} rounds")
+        tail = n_open <= tail_rows
+        length = max(tail_length, k) if tail else k
         pool = open_.filter("can_store").withColumn("is_open", F.lit(True)).unionByName(
             stored.withColumn("is_open", F.lit(False)))
-        near = knn(open_, pool, k, threshold, qid="rid", sid="rid", q_at="ts", s_at="ts", s_until="until", **layout)
+        near = knn(open_, pool, length, threshold, qid="rid", sid="rid", q_at="ts", s_at="ts", s_until="until", **layout)
         q = known.select(F.col("rid").alias("qid"), F.col("lang").alias("q_lang"), "q_numbers", "q_tech")
         e = known.select(F.col("rid").alias("sid"), F.col("lang").alias("e_lang"), "e_numbers", "e_tech")
         judged = (
@@ -85,20 +157,8 @@ def semantic_absorb(requests: DataFrame, threshold: float = 0.75, k: int = 3, tt
             .join(q, "qid").join(e, "sid")
             .withColumn("ok", validate_sets(
                 "q_lang", "e_lang", "q_numbers", "e_numbers", "q_tech", "e_tech")["passed"]))
-        # the first valid neighbour decides, if it is stored; with none valid the request is
-        # a miss once no open neighbour could give its slot to one further away
-        outcome = judged.groupBy("qid").agg(
-            F.min_by(F.struct("sid", "similarity", "is_open"), F.when(F.col("ok"), F.col("rank"))).alias("first"),
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_open")).alias("n_open"))
-        state = open_.select("rid", "can_store").join(
-            outcome.withColumnRenamed("qid", "rid"), "rid", "left")
-        hit = F.coalesce(~F.col("first.is_open"), F.lit(False))
-        waits = F.when(F.col("first").isNotNull(), F.col("first.is_open")).otherwise(
-            F.coalesce((F.col("n") >= k) & (F.col("n_open") > 0), F.lit(False)))
-        now = cut(state.filter(~waits).select(
-            "rid", hit.alias("l2_hit"), F.when(hit, F.col("first.sid")).alias("entry_id"),
-            F.when(hit, F.col("first.similarity")).alias("similarity"),
-            (~hit & F.col("can_store")).alias("stored"), F.lit(n_round).alias("round")))
+        settle = _settle_tail if tail else _settle_round
+        now = cut(settle(judged, open_, k, length).withColumn("round", F.lit(n_round)))
         settled = settled.unionByName(now)
         open_ = active.join(settled, "rid", "left_anti")
         stored = active.join(settled.filter("stored"), "rid", "left_semi")

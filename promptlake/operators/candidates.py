@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from promptlake.functions.text import let
 from promptlake.functions.validate import validate
 from promptlake.operators.similarity import knn
 from promptlake.rules import Rules
@@ -51,9 +52,8 @@ def semantic_match(probes: DataFrame, store: DataFrame, threshold: float = 0.75,
 
 def keyword_matches(df: DataFrame, rid: str, text: str, rules: Rules = _RULES) -> DataFrame:
     """One row per text, category and keyword found."""
-    lower = F.lower(F.col(text))
-    found = F.array_compact(F.array(*[
-        F.when(F.contains(lower, F.lit(w)),
+    found = let(F.lower(F.col(text)), lambda t: F.array_compact(F.array(*[
+        F.when(F.contains(t, F.lit(w)),
                F.struct(F.lit(c).alias("category"), F.lit(w).alias("keyword")))
-        for c, ws in rules.keywords.items() for w in ws]))
+        for c, ws in rules.keywords.items() for w in ws])))
     return df.select(rid, F.explode(found).alias("_m")).select(rid, "_m.*")

@@ -163,41 +163,91 @@ def stream_quota(misses: DataFrame, quota: int = 100_000, delay: str = "1 hour")
         "append", "EventTime")
 
 
+class RecentMeans(InOrder):
+    """The last samples of a pod; an idle pod is forgotten."""
+
+    state_schema = "depths array<bigint>, us bigint"
+    row_schema = "us bigint, rid string, depth bigint"
+    columns = ("us", "rid", "depth")
+
+    def __init__(self, short: int, long: int, idle_ms: int):
+        self.short, self.long, self.idle_ms = short, long, idle_ms
+
+    def step(self, value, row):
+        us, _, depth = row
+        depths = ([*value[0], depth] if value is not None else [depth])[-self.long:]
+        recent = depths[-self.short:]
+        return (depths, us), (us, depth, sum(recent) / len(recent), sum(depths) / len(depths))
+
+    def keep_until_ms(self, value):
+        return value[1] // 1000 + self.idle_ms
+
+    def output(self, key, found):
+        out = pd.DataFrame(found, columns=["us", "depth", "avg_1m", "avg_5m"]).assign(pod=key[0])
+        return out.assign(ts=pd.to_datetime(out.pop("us"), unit="us"))
+
+
+def stream_queue_avg(samples: DataFrame, short: int = 12, long: int = 60, delay: str = "1 minute",
+                     idle_ms: int = 86_400_000) -> DataFrame:
+    """Streaming :func:`moving_avg` over (pod, ts, depth): (pod, ts, depth, avg_1m, avg_5m).
+
+    A sample enters one list of bounded length, where overlapping windows would each take a copy.
+    """
+    use_rocksdb(samples.sparkSession)
+    d = samples.withWatermark("ts", delay).select(
+        "pod", "ts", F.unix_micros("ts").alias("us"), F.lit("").alias("rid"), F.col("depth").cast("bigint").alias("depth"))
+    return d.groupBy("pod").transformWithStateInPandas(
+        RecentMeans(short, long, idle_ms),
+        "depth bigint, avg_1m double, avg_5m double, pod string, ts timestamp", "append", "EventTime")
+
+
 class Truncation(StatefulProcessor):
     """Bytes so far per response. Chunks of a response arrive in order; within a batch they are
-    sorted by ``seq``. A response that stays idle for ``idle_ms`` is forgotten."""
+    sorted by ``seq``. A response that stays idle on the event clock is forgotten."""
 
     def __init__(self, factor: float, idle_ms: int):
         self.factor, self.idle_ms = factor, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sofar = handle.getValueState("sofar", "bytes bigint, cut boolean", self.idle_ms)
+        self.handle = handle
+        self.sofar = handle.getValueState("sofar", "bytes bigint, cut boolean, alarm bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        total, cut = tuple(self.sofar.get()) if self.sofar.exists() else (0, False)
-        parts = [p for p in rows if len(p)]
-        if not cut and parts:
-            found = []
-            for r in pd.concat(parts).sort_values("seq").itertuples(index=False):
-                if not r.delta:
-                    continue
-                total += len(r.delta.encode("utf-8"))
-                tokens = max(1, total // 4)
-                cut = tokens > int(r.predicted_max * self.factor)
-                found.append((r.seq, r.delta + "[TRUNCATED]" if cut else r.delta, tokens, cut))
-                if cut:
-                    break
-            self.sofar.update((total, cut))
-            if found:
-                yield pd.DataFrame(found, columns=["seq", "delta", "tokens_so_far", "truncated"]).assign(response_id=key[0])
-
-
-def stream_truncate(chunks: DataFrame, factor: float = 1.5, idle_ms: int = 3_600_000) -> DataFrame:
-    """Streaming :func:`truncate_stream`."""
+        total, cut, alarm = tuple(self.sofar.get()) if self.sofar.exists() else (0, False, None)
+        chunks = pd.concat(list(rows)).sort_values("seq")
+        found = []
+        for r in chunks.itertuples(index=False):
+            if cut:
+                break
+            if not r.delta:
+                continue
+            total += len(r.delta.encode("utf-8"))
+            tokens = max(1, total // 4)
+            cut = tokens > int(r.predicted_max * self.factor)
+            found.append((r.seq, r.delta + "[TRUNCATED]" if cut else r.delta, tokens, cut))
+        until = int(chunks["us"].max()) // 1000 + self.idle_ms
+        if alarm is None or until > alarm:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            self.handle.registerTimer(until)
+            alarm = until
+        self.sofar.update((total, cut, alarm))
+        if found:
+            yield pd.DataFrame(found, columns=["seq", "delta", "tokens_so_far", "truncated"]).assign(response_id=key[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.sofar.clear()
+        return iter([])
+
+
+def stream_truncate(chunks: DataFrame, factor: float = 1.5, idle_ms: int = 3_600_000,
+                    delay: str = "10 minutes") -> DataFrame:
+    """Streaming :func:`truncate_stream` over (response_id, seq, ts, delta, predicted_max)."""
     use_rocksdb(chunks.sparkSession)
     id_type = chunks.schema["response_id"].dataType.simpleString()
-    return chunks.select("response_id", "seq", "delta", "predicted_max").groupBy(
-        "response_id").transformWithStateInPandas(
+    d = chunks.withWatermark("ts", delay).select(
+        "response_id", "seq", "ts", F.unix_micros("ts").alias("us"), "delta", "predicted_max")
+    return d.groupBy("response_id").transformWithStateInPandas(
         Truncation(factor, idle_ms),
         f"seq int, delta string, tokens_so_far bigint, truncated boolean, response_id {id_type}",
-        "append", "ProcessingTime")
+        "append", "EventTime")

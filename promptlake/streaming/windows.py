@@ -7,26 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from promptlake.rules import LATENCY_BUCKETS
 
 
-def stream_queue_avg(samples: DataFrame, delay: str = "1 minute", step_s: int = 5, pod: str = "pod") -> DataFrame:
-    """(pod, ts, avg_1m, avg_5m) for samples on a ``step_s`` grid.
-
-    The value at sample t is the window that ends one step after t; windows without a sample
-    at t lie behind the last sample and are left out. One state holds both spans.
-    """
-    end = F.col("window.end")
-    last_minute = F.col("ts") >= F.col("_end") - F.expr("INTERVAL 60 SECONDS")
-    d = samples.withWatermark("ts", delay)
-    spans = d.select(pod, "depth", "ts", F.window("ts", "300 seconds", f"{step_s} seconds").alias("window")).withColumn(
-        "_end", end)
-    return (
-        spans.groupBy("window", pod).agg(
-            F.avg(F.when(last_minute, F.col("depth"))).alias("avg_1m"), F.avg("depth").alias("avg_5m"),
-            F.max("ts").alias("_last"))
-        .withColumn("ts", end - F.expr(f"INTERVAL {step_s} SECONDS"))
-        .filter(F.col("_last") == F.col("ts"))
-        .select(pod, "ts", "avg_1m", "avg_5m"))
-
-
 def stream_metrics(events: DataFrame, delay: str = "1 minute", span: str = "5 minutes", step: str = "15 seconds",
                    bounds=LATENCY_BUCKETS) -> DataFrame:
     """Hits, calls, hit ratio, cost, savings and latency buckets of the last five minutes.
