@@ -1,14 +1,17 @@
-"""Run registered queries against their SQL twins in DuckDB: check.py [sf dir] [name prefix...]"""
+"""Run registered queries against their SQL twins in DuckDB: oracle_check.py [sf dir] [name prefix...]"""
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
 import duckdb
 
-from promptlake.catalog import all_oracles, all_queries
-from promptlake.session import local_session
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from promptlake.catalog import all_oracles, all_queries  # noqa: E402
+from promptlake.session import local_session  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
