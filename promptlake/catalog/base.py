@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from promptlake.config import Config
-from promptlake.functions.cost import cost_saved, estimate_tokens, to_units
+from promptlake.functions.cost import cost_usd, estimate_tokens, to_units
 from promptlake.functions.keys import l1_key
 from promptlake.functions.text import predict_output_tokens
 from promptlake.plans.attribute import attribute_exact
 from promptlake.rules import Rules
+from promptlake.session import width
 
 RULES = Rules()
 CFG = Config()
@@ -20,25 +21,34 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_wide(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row: one held in few files is spread over all cores."""
+    df = load(spark, sf_dir, name)
+    if len(df.inputFiles()) < spark.sparkContext.defaultParallelism:
+        df = df.repartition(width(spark), key)
+    return df
+
+
 def events(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def texts(spark, sf_dir) -> DataFrame:
     """Documents and raw pages as one text table (src, id, text)."""
-    d = load(spark, sf_dir, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
-    p = load(spark, sf_dir, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    d = load_wide(spark, sf_dir, "documents", "doc_id").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
+    p = load_wide(spark, sf_dir, "pages", "page_id").select(F.lit("page").alias("src"), F.col("page_id").alias("id"), F.col("html").alias("text"))
     return d.unionByName(p)
 
 
-def prompts(spark, sf_dir, with_text: bool = False) -> DataFrame:
+def prompts(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document, with what depends on its text computed once, not per request."""
-    d = load(spark, sf_dir, "documents")
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    d = documents.select(
+        "doc_id", "lang", "text", l1_key(message).alias("cache_key"),
+        estimate_tokens("text").alias("tokens_in"), predict_output_tokens("text").alias("tokens_out"))
     return d.select(
-        "doc_id", "lang", l1_key(message).alias("cache_key"),
-        estimate_tokens("text").alias("tokens_in"), predict_output_tokens("text").alias("tokens_out"),
-        to_units(cost_saved("text")).alias("saved_units"),
+        "doc_id", "lang", "cache_key", "tokens_in", "tokens_out",
+        to_units(cost_usd("tokens_in", "tokens_out")).alias("saved_units"),
         *([F.col("text").alias("query_text")] if with_text else []))
 
 
@@ -49,7 +59,9 @@ def request_log(spark, sf_dir, with_text: bool = False) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"), F.col("value").alias("latency_ms"),
         F.col("event_type").alias("event_type"),
         F.get_json_object("props", "$.k").cast("bigint").alias("doc_id"))
-    return e.join(prompts(spark, sf_dir, with_text), "doc_id")
+    # only documents that occur as prompts are hashed and counted
+    used = load(spark, sf_dir, "documents").join(e.select("doc_id").distinct(), "doc_id", "left_semi")
+    return e.join(prompts(used, with_text), "doc_id")
 
 
 def with_vectors(requests: DataFrame, spark, sf_dir) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlake.catalog.base import (
-    REQ, RULES, TEXTS, WITH_SERVED, load, quoted, request_log, served_log, sql_keywords,
+    REQ, RULES, TEXTS, WITH_SERVED, load, load_wide, quoted, request_log, served_log, sql_keywords,
     sql_numbers, sql_words, texts, us, with_vectors)
 from promptlake.config import Config
 from promptlake.functions.text import extract_keywords
@@ -359,7 +359,7 @@ _GRAMS = """chars AS (SELECT doc_id, lang, regexp_extract_all(text, '(?s).') AS
 
 @query("train_lang", f"WITH {_GRAMS} SELECT gram, lang, n, round(logp, 6) AS logp FROM prof")
 def _(s, d):
-    return language.train_lang(load(s, d, "documents")).select("gram", "lang", "n", F.round("logp", 6).alias("logp"))
+    return language.train_lang(load_wide(s, d, "documents", "doc_id")).select("gram", "lang", "n", F.round("logp", 6).alias("logp"))
 
 
 @query("score_lang", f"""WITH {_GRAMS}, dg AS (SELECT doc_id, gram, count(*) AS c FROM grams GROUP BY 1, 2),
@@ -369,5 +369,5 @@ def _(s, d):
     LEFT JOIN gain ON gain.doc_id = t.doc_id AND gain.lang = dn.lang)
   SELECT doc_id, arg_max(lang, score) AS lang FROM sc GROUP BY doc_id""")
 def _(s, d):
-    docs = load(s, d, "documents")
+    docs = load_wide(s, d, "documents", "doc_id")
     return language.score_lang(docs, language.train_lang(docs), "doc_id").select("doc_id", "lang")

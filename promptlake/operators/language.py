@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from promptlake.session import cut
+
 MAX_LANGS = 500  # a profile has one column per language
 
 
@@ -15,9 +17,12 @@ def _grams(df: DataFrame, text: str, keep: list[str], n_max: int) -> DataFrame:
 
 
 def train_lang(df: DataFrame, text: str = "text", lang: str = "lang", n_max: int = 3) -> DataFrame:
-    """Profiles (gram, lang, n, logp, floor): ``floor`` is the language's unseen-gram value."""
-    counts = _grams(df.filter(F.col(lang).isNotNull()), text, [lang], n_max).groupBy(
-        F.col(lang).alias("lang"), "gram").agg(F.count(F.lit(1)).alias("n"))
+    """Profiles (gram, lang, n, logp, floor): ``floor`` is the language's unseen-gram value.
+
+    The counts are stored once; texts are not read again for the totals.
+    """
+    counts = cut(_grams(df.filter(F.col(lang).isNotNull()), text, [lang], n_max).groupBy(
+        F.col(lang).alias("lang"), "gram").agg(F.count(F.lit(1)).alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("_total"))
     vocabulary = counts.agg(F.count_distinct("gram")).scalar()
     per_lang = totals.withColumn("_d", F.log(F.col("_total") + vocabulary))

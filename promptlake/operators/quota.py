@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from promptlake.functions.quota import quota_month, quota_remaining, quota_status
 from promptlake.operators.ordered import running_sum, time_bucket
+from promptlake.session import cut
 
 
 def quota_usage(calls: DataFrame, tokens: str = "tokens", ts: str = "ts") -> DataFrame:
@@ -21,9 +22,11 @@ def quota_gate(misses: DataFrame, quota: int = 100_000, tokens: str = "tokens",
     The check comes before the call and its tokens after, so the last admitted request may
     overshoot. Once usage reaches the quota nothing more is admitted, hence the prefix sum
     over all requests decides exactly as the one over admitted requests would.
+
+    The input is read several times, so it is stored first: pass narrow rows.
     """
     d = running_sum(
-        misses.withColumn("month", quota_month(ts)), F.col(tokens).cast("bigint"),
+        cut(misses).withColumn("month", quota_month(ts)), F.col(tokens).cast("bigint"),
         ["user_id", "month"], [ts, rid], time_bucket(ts, bucket_s), "_offered", inclusive=False)
     admitted = F.col("_offered") < quota
     # after the last admitted request the usage stays where that request left it
