@@ -46,8 +46,16 @@ def _month_slice():
 
 
 def _run(spark, stream: DataFrame) -> DataFrame:
+    """Run to the end. State is cut into as many parts as there are shuffle partitions, and
+    every part costs time in every batch: on one machine, one part per core is enough."""
     run = new_run_dir(spark, "stream")
-    batches.run_available(stream, f"{run}/out", f"{run}/state")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", min(int(parts), spark.sparkContext.defaultParallelism))
+    try:
+        batches.run_available(stream, f"{run}/out", f"{run}/state")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     return spark.read.schema(stream.schema).parquet(f"{run}/out")
 
 
