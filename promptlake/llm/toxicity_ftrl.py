@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from promptlake.llm.batches import add_columns, chunks, letter_words, mix, span_hashes
 
-STEM = 5
+STEMS = (4, 6)
 
 
 def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,12 +29,12 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if len(starts) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = span_hashes(buf, starts, ends)
-    stem = span_hashes(buf, starts, np.minimum(ends, starts + STEM)) ^ np.uint64(0x5DEECE66D)
+    stems = [mix(span_hashes(buf, starts, np.minimum(ends, starts + k)) ^ np.uint64(0x5DEECE66D + k)) for k in STEMS]
     pair = mix(word[:-1] * np.uint64(3) + word[1:])
     skip = mix(word[:-2] * np.uint64(5) + word[2:] + np.uint64(1))
     near, far = text_of[:-1] == text_of[1:], text_of[:-2] == text_of[2:]
-    at = np.concatenate([text_of, text_of, text_of[:-1][near], text_of[:-2][far]])
-    h = np.concatenate([word, mix(stem), pair[near], skip[far]])
+    at = np.concatenate([*[text_of] * (1 + len(STEMS)), text_of[:-1][near], text_of[:-2][far]])
+    h = np.concatenate([word, *stems, pair[near], skip[far]])
     return at, (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -66,7 +66,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, alpha: float, bet
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic",
           bits: int = 20, max_rows: int = 20_000, max_chars: int = 50_000, alpha: float = 0.3, beta: float = 1.0,
-          l1: float = 1.0, l2: float = 0.1, epochs: int = 4) -> dict[int, float]:
+          l1: float = 4.0, l2: float = 0.1, epochs: int = 3) -> dict[int, float]:
     """Weights by feature, learnt from rows of ``labels`` for which ``learn`` holds."""
     known = labels.filter(learn & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(max_rows)
