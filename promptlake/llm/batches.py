@@ -133,3 +133,9 @@ def add_columns(docs: DataFrame, text: str, schema: str, make: Callable[[pa.Arra
     return result.select(
         *[F.col("t").alias(c) if c == text else F.col(f"r.{held[rest.index(c)]}").alias(c) for c in names],
         *[F.col(f"`{n}`") for n in made.names])
+
+
+def broadcast_if_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows, measured, take at most ``most`` bytes as text."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
