@@ -163,7 +163,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     sets = list(combinations(range(8), 8 - radius))
     masks = [signed(sum(0xFF << (8 * p) for p in chosen)) for chosen in sets]
     # a posting list is known by its positions and by the fingerprint with all other bytes cleared
-    listed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "bytes"))
+    # few bytes, much work: spread by a fixed number, which adaptive coalescing leaves alone
+    listed = fps.select("fp").repartition(width(spark), "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "bytes"))
     crowded = listed.groupBy("part", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
