@@ -101,6 +101,13 @@ class Machine:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
         self._paths: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}  # the paths of the last full cache; those in use move on
+        self._ends: dict = {}  # pieces read backwards: a node for each character, the id under ""
+        for piece, i in self.ids.items() if self.kind == BPE else ():
+            node = self._ends
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = i
 
     def _bytes_of(self, i: int) -> bytes:
         if self.types[i] == BYTE:
@@ -118,61 +125,95 @@ class Machine:
             return text
         return ((" " if self.prefix else "") + text).replace(" ", SPACE)
 
-    def _merge(self, text: str) -> list[str]:
-        """The merge encoding of a short string: best joint piece first, leftmost of equals."""
-        parts = list(text)
+    def _merges_to(self, text: str, border: int) -> bool:
+        """Whether merging ``text`` (best joint piece first, leftmost of equals) ends as the pieces
+        before and after place ``border``; 0: as one piece. Stops at the first merge over the border."""
         ids, scores = self.ids, self.scores
-        while True:
-            best, at = -INF, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and scores[k] > best:
-                    best, at = scores[k], i
-            if at < 0:
-                return parts
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+
+        def score(a: str, b: str) -> float:
+            k = ids.get(a + b)
+            return -INF if k is None else scores[k]
+
+        parts = list(text)
+        places = list(range(len(parts)))
+        gains = [score(parts[i], parts[i + 1]) for i in range(len(parts) - 1)]
+        while gains:
+            best = max(gains)
+            if best == -INF:
+                break
+            i = gains.index(best)
+            if places[i + 1] == border:
+                return False
+            parts[i] += parts.pop(i + 1)
+            places.pop(i + 1)
+            gains.pop(i)
+            if i < len(gains):
+                gains[i] = score(parts[i], parts[i + 1])
+            if i:
+                gains[i - 1] = score(parts[i - 1], parts[i])
+        return len(parts) == (2 if border else 1)
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether the pair of pieces has a finite weight; a < 0: b comes first."""
         if a < 0:
             ok = self._whole.get(b)
             if ok is None:
-                ok = self._whole[b] = self._merge(self.pieces[b]) == [self.pieces[b]]
+                ok = self._whole[b] = self._merges_to(self.pieces[b], 0)
             return ok
         ok = self._pairs.get((a, b))
         if ok is None:
             x, y = self.pieces[a], self.pieces[b]
             if len(self._pairs) >= CACHE:
                 self._pairs.clear()
-            ok = self._pairs[a, b] = self._merge(x + y) == [x, y]
+            ok = self._pairs[a, b] = self._merges_to(x + y, len(x))
         return ok
 
     def _path(self, word: str) -> list[int]:
         """Ids on the shortest path; characters without a piece as -1 - code point."""
+        return self._merge_path(word) if self.kind == BPE else self._cheapest_path(word)
+
+    def _merge_path(self, word: str) -> list[int]:
+        """The one path of finite weight. Every beginning of a word has one, too, so one state for
+        each place is enough."""
+        n = len(word)
+        ends, pair = self._ends, self._pairs.get
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        for i in range(1, n + 1):
+            found = []  # pieces that end here, shortest first
+            node, j = ends, i
+            while j:
+                j -= 1
+                node = node.get(word[j])
+                if node is None:
+                    break
+                k = node.get("")
+                if k is not None:
+                    found.append((j, k))
+            for j, k in reversed(found):
+                before = last[j]
+                ok = pair((before, k))
+                if self._fits(before, k) if ok is None else ok:
+                    last[i], size[i] = k, i - j
+                    break
+            else:
+                last[i], size[i] = -1 - ord(word[i - 1]), 1
+        return self._trace(last, size)
+
+    def _cheapest_path(self, word: str) -> list[int]:
         n = len(word)
-        get, merge = self.ids.get, self.kind == BPE
-        cost = [0.0] + [INF] * n
-        last = [-1] * (n + 1)
-        size = [0] * (n + 1)
+        cost, last, size = [0.0] + [INF] * n, [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            found = False
             for j in range(max(0, i - self.longest), i):
-                k = get(word[j:i])
-                if k is None:
-                    continue
-                found = found or i - j == 1
-                if merge:
-                    before = last[j] if j else -1
-                    if size[j] or not j:
-                        if self._fits(before, k):
-                            cost[i], last[i], size[i] = 0.0, k, i - j
-                            break
-                elif cost[j] - self.scores[k] < cost[i]:
+                k = self.ids.get(word[j:i])
+                if k is not None and cost[j] - self.scores[k] < cost[i]:
                     cost[i], last[i], size[i] = cost[j] - self.scores[k], k, i - j
-            if not found and not (merge and size[i]) and cost[i - 1] - self.lost < cost[i]:
-                cost[i], last[i], size[i] = 0.0 if merge else cost[i - 1] - self.lost, -1 - ord(word[i - 1]), 1
-        out = []
-        i = n
+            if word[i - 1] not in self.ids and cost[i - 1] - self.lost < cost[i]:
+                cost[i], last[i], size[i] = cost[i - 1] - self.lost, -1 - ord(word[i - 1]), 1
+        return self._trace(last, size)
+
+    @staticmethod
+    def _trace(last: list[int], size: list[int]) -> list[int]:
+        out, i = [], len(last) - 1
         while i > 0:
             out.append(last[i])
             i -= size[i]
@@ -204,10 +245,13 @@ class Machine:
         for w in words:
             ids = paths.get(w)
             if ids is None:
-                ids = self.word_ids(w)
+                ids = self._older.get(w)
+                if ids is None:
+                    ids = self.word_ids(w)
                 if len(w) <= 64:
                     if len(paths) >= CACHE:
-                        paths.clear()
+                        self._older = paths
+                        paths = self._paths = {}
                     paths[w] = ids
             out.append(ids)
         return b"".join(out)
