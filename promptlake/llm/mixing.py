@@ -60,7 +60,7 @@ def choose_exponent(counts: dict[str, int], budget: float, target: float, max_pa
     goal = target * math.log(len(full))
     enough = lambda x: entropy(temper(full, x)) >= goal - 1e-12
     few = lambda x: passes(full, temper(full, x), budget) <= max_passes + 1e-12
-    exponent = 1.0 if enough(1.0) else 0.0 if not enough(0.0) else 1.0 - bisect(lambda x: not enough(1.0 - x))
+    exponent = 1.0 if enough(1.0) else 0.0 if not enough(0.0) else 1.0 - bisect(lambda x: enough(1.0 - x))
     if few(exponent) or not few(1.0):
         return exponent if few(exponent) else 1.0
     return bisect(few)
