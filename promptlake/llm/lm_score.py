@@ -75,6 +75,9 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
     pairs, words = 1 << pair_bits, 1 << word_bits
     counts = np.zeros((2, pairs + words), np.float32)
     counts[0, slot], counts[1, slot] = table["n_target"], table["n"]
+    sizes = counts[:, pairs:].sum(axis=1, dtype=np.float64)
+    if sizes[0]:  # matched: the background's counts are brought to the target's size
+        counts[1] *= sizes[0] / sizes[1]
     shared = spark.sparkContext.broadcast(counts)
 
     def make(texts: pa.Array) -> dict:

@@ -30,6 +30,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 TOKEN = "[A-Za-z0-9+/_=-]"
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 BLOCK = 256
+BACK_OFF = 10.0
 
 
 def _let(value: Column, use) -> Column:
@@ -97,27 +98,38 @@ def _ordinary(token: Column) -> Column:
 
 
 def transitions(docs: DataFrame, text: str = "text", least: int = 20) -> dict[tuple[str, str], float]:
-    """log P_random(b | a) - log P_ordinary(b | a), each smoothed by one, for the transitions seen."""
+    """log P_random(b | a) - log P_ordinary(b | a) for all transitions of the alphabet.
+
+    Distinct tokens count once, so copies weigh nothing. Both models back off to their single
+    characters; ordinary transitions are discounted by one, for any token's own count would
+    otherwise speak against its being random.
+    """
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     found = docs.select(t.alias("t")).select("t", *[c.alias(n) for n, c in _base_hits(F.col("t")).items()])
     values = F.filter(F.transform("h_assign", _value), lambda v: F.length(v) >= LEAST_VALUE)
+    found = found.withColumn("assign", _spans(F.col("t"), ASSIGN, 0, F.col("h_assign"), lambda h: F.length(_value(h)) >= LEAST_VALUE))
+    rest = F.when(F.size("assign") > 0, _blank(F.col("t"), F.col("assign"))).otherwise(F.col("t"))
     random = F.concat(values, "h_access", "h_hex")
-    plain = F.filter(_hits(F.col("t"), f"{TOKEN}{{{least},}}"), _ordinary)
+    plain = F.filter(_hits(rest, f"{TOKEN}{{{least},}}"), _ordinary)
     tokens = found.select(F.explode(F.concat(
         F.transform(random, lambda v: F.struct(v.alias("token"), F.lit(True).alias("random"))),
-        F.transform(F.array_except(plain, values), lambda v: F.struct(v.alias("token"), F.lit(False).alias("random"))))).alias("x")).select("x.*")
-    tokens = tokens.groupBy("token", "random").agg(F.count("*").alias("n"))
+        F.transform(plain, lambda v: F.struct(v.alias("token"), F.lit(False).alias("random"))))).alias("x")).select("x.*").distinct()
     pairs = tokens.filter(F.length("token") > 1).select(
-        "random", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))).alias("pair"))
+        "random", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring("token", i, F.lit(2)))).alias("pair"))
     counts = pairs.filter(F.col("pair").rlike(f"^{TOKEN}{{2}}$")).groupBy("pair").agg(
-        F.sum(F.when(F.col("random"), F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(~F.col("random"), F.col("n")).otherwise(0)).alias("o"))
+        F.sum(F.col("random").cast("long")).alias("r"), F.sum((~F.col("random")).cast("long")).alias("o"))
     table = {row["pair"]: (row["r"], row["o"]) for row in counts.toLocalIterator()}
-    totals = {a: [sum(table.get(a + b, (0, 0))[k] for b in ALPHABET) for k in (0, 1)] for a in ALPHABET}
-    if not sum(x[0] for x in totals.values()) or not sum(x[1] for x in totals.values()):
+    size = [sum(x[k] for x in table.values()) for k in (0, 1)]
+    if not all(size):
         return {}
-    n = len(ALPHABET)
-    return {(a, b): math.log((r + 1) / (totals[a][0] + n)) - math.log((o + 1) / (totals[a][1] + n))
-            for a in ALPHABET for b in ALPHABET for r, o in [table.get(a + b, (0, 0))]}
+    single = [{b: (sum(table.get(a + b, (0, 0))[k] for a in ALPHABET) + 0.5) / (size[k] + 0.5 * len(ALPHABET)) for b in ALPHABET} for k in (0, 1)]
+
+    def chance(a: str, b: str, k: int, off: int) -> float:
+        row = [table.get(a + c, (0, 0))[k] for c in ALPHABET]
+        moved = BACK_OFF + off * sum(n > 0 for n in row)
+        return (max(table.get(a + b, (0, 0))[k] - off, 0) + moved * single[k][b]) / (sum(row) + BACK_OFF)
+
+    return {(a, b): math.log(chance(a, b, 0, 0)) - math.log(chance(a, b, 1, 1)) for a in ALPHABET for b in ALPHABET}
 
 
 def _ratio(token: Column, weights: dict[tuple[str, str], float]) -> Column:
