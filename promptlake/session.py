@@ -46,9 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = os.path.join(tempfile.gettempdir(), "promptlake-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return os.path.join(tempfile.gettempdir(), "promptlake-checkpoints")
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
