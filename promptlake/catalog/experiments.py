@@ -59,7 +59,7 @@ def _(s, d):
 _SCORED = f"""{_KNN}, exp AS (SELECT CAST(a.vec_id AS VARCHAR) AS qid, a.label = b.label AS expected_hit, CAST(a.label AS VARCHAR) AS category,
     CASE WHEN a.vec_id % 50 = 1 THEN 'timeout' END AS error FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1 WHERE a.vec_id % 2 = 1),
   best AS (SELECT qid, max(similarity) AS best_sim FROM knn GROUP BY qid),
-  scored AS (SELECT exp.*, best_sim, best_sim >= 0.32 AS hit, (best_sim >= 0.32) = expected_hit AS correct FROM exp JOIN best USING (qid))"""
+  scored AS (SELECT exp.*, coalesce(best_sim, -2) AS best_sim, coalesce(best_sim, -2) >= 0.32 AS hit, (coalesce(best_sim, -2) >= 0.32) = expected_hit AS correct FROM exp LEFT JOIN best USING (qid))"""
 
 
 def _expected(s, d):
@@ -98,7 +98,7 @@ _THRESHOLDS = [0.25, 0.28, 0.3, 0.32, 0.35, 0.4]
 _SWEEP = f"""{_SCORED}, th AS (SELECT unnest({_THRESHOLDS}::DOUBLE[]) AS threshold),
   sw AS (SELECT threshold, count(*) AS total_pairs, count(*) FILTER (expected_hit AND best_sim >= threshold) AS true_positives,
     count(*) FILTER (NOT expected_hit AND best_sim >= threshold) AS false_positives, count(*) FILTER (expected_hit AND best_sim < threshold) AS false_negatives,
-    count(*) FILTER (NOT expected_hit) AS neg FROM scored, th GROUP BY threshold),
+    count(*) FILTER (NOT expected_hit) AS neg FROM scored, th WHERE error IS NULL GROUP BY threshold),
   sweep AS (SELECT sw.* EXCLUDE (neg), {_RATES} FROM sw)"""
 
 
@@ -116,7 +116,7 @@ def _(s, d):
 
 
 @query("by_category", f"""WITH {_SCORED} SELECT category, count(*) AS pairs, count(*) FILTER (hit) AS hits, count(*) FILTER (correct) AS correct,
-  round_even(count(*) FILTER (correct) * 100.0 / count(*), 1) AS correct_pct FROM scored GROUP BY category""")
+  round_even(count(*) FILTER (correct) * 100.0 / count(*), 1) AS correct_pct FROM scored WHERE error IS NULL GROUP BY category""")
 def _(s, d):
     return E.by_category(_scored(s, d))
 

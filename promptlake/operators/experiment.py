@@ -54,8 +54,9 @@ def speedup(stats: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame, outcomes: DataFrame, on: str = "pair_id") -> DataFrame:
-    """Expected against observed: outcomes carry ``hit`` and optionally ``error``."""
-    d = pairs.join(outcomes, on)
+    """Expected against observed: outcomes carry ``hit`` and optionally ``error``. A pair without
+    an outcome found no candidate: no hit."""
+    d = pairs.join(outcomes, on, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     if "error" not in d.columns:
         d = d.withColumn("error", F.lit(None).cast("string"))
     return d.withColumn("correct", F.col("hit") == F.col("expected_hit"))
@@ -88,14 +89,14 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """Confusion per threshold from ``expected_hit`` and ``best_sim`` (null: no candidate).
 
     One search serves all thresholds, and one aggregate counts them all: rows are not
-    repeated per threshold.
+    repeated per threshold. Failed probes are left out.
     """
     e, s = F.col("expected_hit"), F.coalesce(F.col("best_sim"), F.lit(-2.0))
     aggs = []
     for i, t in enumerate(thresholds):
         aggs += [F.count_if(e & (s >= t)).alias(f"tp{i}"), F.count_if(~e & (s >= t)).alias(f"fp{i}"),
                  F.count_if(e & (s < t)).alias(f"fn{i}")]
-    one = scored.agg(F.count(F.lit(1)).alias("total_pairs"), F.count_if(~e).alias("negatives"), *aggs)
+    one = scored.filter(_no_error()).agg(F.count(F.lit(1)).alias("total_pairs"), F.count_if(~e).alias("negatives"), *aggs)
     rows = F.array(*[
         F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("true_positives"),
                  F.col(f"fp{i}").alias("false_positives"), F.col(f"fn{i}").alias("false_negatives"))
@@ -117,7 +118,8 @@ def goal_flags(sweep: DataFrame, min_hit: float = 40.0, max_fp: float = 5.0) ->
 
 
 def by_category(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("category").agg(
+    """Pairs, hits and right decisions per category; failed probes are left out."""
+    return scored.filter(_no_error()).groupBy("category").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("hit")).alias("hits"),
         F.count_if(F.col("correct")).alias("correct"),
         F.bround(_pct(F.count_if(F.col("correct")), F.count(F.lit(1))), 1).alias("correct_pct"))

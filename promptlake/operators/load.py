@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from promptlake.operators.ordered import percentiles
+from promptlake.operators.ordered import join_null_safe, percentiles
 from promptlake.rules import Rules, rule_frames
 
 _RULES = Rules()
@@ -66,7 +66,7 @@ def by_stage(samples: DataFrame, rules: Rules = _RULES) -> DataFrame:
     plain = staged.groupBy(*keys).agg(
         F.max("target").alias("target"), _share(_failed()).alias("error_rate"),
         F.avg("duration_ms").alias("mean_ms"))
-    return plain.join(percentiles(staged, "duration_ms", keys, {"p95_ms": 0.95}), keys)
+    return join_null_safe(plain, percentiles(staged, "duration_ms", keys, {"p95_ms": 0.95}), keys)
 
 
 def by_endpoint(samples: DataFrame) -> DataFrame:

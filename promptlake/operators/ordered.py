@@ -18,6 +18,15 @@ def time_bucket(ts: str, seconds: int) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null; the keys appear once."""
+    other = right.select(*[F.col(c).alias(f"_same_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(other, same).drop(*[f"_same_{k}" for k in keys])
+
+
 def _all_before(keys, bucket):
     return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -33,7 +42,7 @@ def running_sum(df: DataFrame, value: Column, keys: list[str], order: list[str],
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
     return (
-        d.repartition(*keys, "_b").join(before, [*keys, "_b"])
+        join_null_safe(d, before, [*keys, "_b"]).repartition(*keys, "_b")
         .withColumn(out, F.col("_off") + F.coalesce(F.sum("_v").over(w), F.lit(0)))
         .drop("_b", "_v", "_off"))
 
@@ -107,11 +116,11 @@ def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str,
     """Exact order statistics per group: ``ranks`` gives 0-based ranks as expressions of ``n``.
 
     Equal values are counted before the shuffle. The rank is first located in a coarse
-    log-scaled bucket of the counts, and only that bucket is sorted. Values must be >= 0.
+    log-scaled bucket of the counts (mirrored below zero), and only that bucket is sorted.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(
         F.count(F.lit(1)).alias("_c")).withColumn(
-        "_b", F.floor(F.log1p(F.col("_x")) * 2000).cast("bigint"))
+        "_b", F.floor(F.signum(F.col("_x")) * F.log1p(F.abs(F.col("_x"))) * 2000).cast("bigint"))
     buckets = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_c"))
     everything = Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     wanted = F.array(*[
@@ -127,7 +136,7 @@ def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str,
         .select(*by, "_b", "n", "_before", "_w"))
     inside = Window.partitionBy(*by, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
-        counts.repartition(*by, "_b").join(located, [*by, "_b"])  # at most one bucket per group and rank
+        join_null_safe(counts, located, [*by, "_b"]).repartition(*by, "_b")  # at most one bucket per group and rank
         .withColumn("_hi", F.col("_before") + F.sum("_c").over(inside))
         .withColumn("_lo", F.col("_hi") - F.col("_c")))
     at = lambda name: F.max(F.when(
