@@ -120,11 +120,14 @@ def _calls(s, d):
 
 
 _DEPTH = """calls AS (SELECT 'pod-' || user_id % 3 AS pod, epoch_us(ts) AS a, epoch_us(ts) + CAST(round(value * 1000000) AS BIGINT) AS b FROM events),
-  marks AS (SELECT pod, CAST(ceil(a / 5000000.0) AS BIGINT) AS g, 1 AS d FROM calls UNION ALL SELECT pod, CAST(ceil(b / 5000000.0) AS BIGINT), -1 FROM calls),
-  net AS (SELECT pod, g, sum(d) AS d FROM marks GROUP BY 1, 2),
-  grid AS (SELECT pod, unnest(range(min(g), max(g) + 1)) AS g FROM net GROUP BY pod),
-  depth AS (SELECT grid.pod, grid.g, CAST(sum(coalesce(d, 0)) OVER (PARTITION BY grid.pod ORDER BY grid.g) AS BIGINT) AS depth
-    FROM grid LEFT JOIN net ON net.pod = grid.pod AND net.g = grid.g)"""
+  marks AS (SELECT pod, a AS t, 1 AS d FROM calls UNION ALL SELECT pod, b, -1 FROM calls),
+  net AS (SELECT pod, t, sum(d) AS d FROM marks GROUP BY 1, 2),
+  raw AS (SELECT pod, t, sum(d) OVER (PARTITION BY pod ORDER BY t) AS s FROM net),
+  held AS (SELECT pod, t, CAST(ceil(t / 5000000.0) AS BIGINT) AS g, s - least(0, min(s) OVER (PARTITION BY pod ORDER BY t)) AS s FROM raw),
+  ends AS (SELECT pod, g, arg_max(s, t) AS s FROM held GROUP BY 1, 2),
+  grid AS (SELECT pod, unnest(range(min(g), max(g) + 1)) AS g FROM ends GROUP BY pod),
+  depth AS (SELECT grid.pod, grid.g, CAST(last_value(s IGNORE NULLS) OVER (PARTITION BY grid.pod ORDER BY grid.g) AS BIGINT) AS depth
+    FROM grid LEFT JOIN ends ON ends.pod = grid.pod AND ends.g = grid.g)"""
 _AVG = _DEPTH + """, av AS (SELECT *, avg(depth) OVER (PARTITION BY pod ORDER BY g ROWS 11 PRECEDING) AS avg_1m,
     avg(depth) OVER (PARTITION BY pod ORDER BY g ROWS 59 PRECEDING) AS avg_5m FROM depth)"""
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from promptlake.operators.queue import queue_depth
 from promptlake.functions.quota import month_end, quota_month
 from promptlake.operators.experiment import by_category, score_pairs, threshold_sweep
 from promptlake.operators.ordered import percentiles, running_sum
@@ -34,3 +35,12 @@ def test_probes_without_candidate_and_failed_probes(spark):
     sweep = threshold_sweep(scored, [0.5]).first()
     assert (sweep["total_pairs"], sweep["true_positives"], sweep["false_positives"], sweep["false_negatives"]) == (2, 1, 0, 1)
     assert by_category(scored).first()["pairs"] == 2
+
+
+def test_depth_is_held_at_zero(spark):
+    rows = [("p", None, 50.5), ("p", 50.2, 51.0), ("p", None, 52.0), ("p", 110.0, 4000.0), (None, 1.0, 7.0)]
+    df = spark.createDataFrame(rows, "pod string, a double, b double").select(
+        "pod", F.timestamp_micros((F.col("a") * 1e6).cast("bigint")).alias("enter_ts"),
+        F.timestamp_micros((F.col("b") * 1e6).cast("bigint")).alias("exit_ts"))
+    got = {(r.pod, r.s): r.depth for r in queue_depth(df).withColumn("s", F.unix_timestamp("ts")).collect()}
+    assert got == {**{("p", s): int(110 <= s < 4000) for s in range(55, 4001, 5)}, (None, 5): 1, (None, 10): 0}
