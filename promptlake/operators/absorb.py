@@ -1,26 +1,27 @@
 """Semantic absorption over a log: early prompts serve later ones that are close enough.
 
 In time order a request either reuses one of its k nearest stored live entries or is stored
-itself. Which entries exist depends on earlier decisions, so the log is settled in rounds:
-every round searches, for each open request, the k nearest earlier entries that are stored
-or still open, and settles all requests whose outcome no open entry can change. The search
-returns at most k rows per request, so crowds of near-copies stay linear.
-
-Most requests settle in the first rounds; what remains are chains along time. Once few
-enough are open (``tail_rows``, a checked bound), longer lists are searched for them and one
-task walks the chains in order. A request whose list was too short to decide stays open for
-another round, so lists of any length give the exact outcome.
+itself. Which entries exist depends on earlier decisions, so the log is settled in rounds. One
+search lists for each request its nearest earlier requests that might be stored, more of them
+than k; the rounds work on these links alone. The log is cut along time into slices of bounded
+size. A round goes through all slices side by side, each in order of time, and settles every
+request whose outcome no open request of another slice can change; the links to and from what it
+settled are marked or dropped before the next. Where too many of a list turn out not to be
+stored, the request searches again among what is left. The earliest open slice can always be
+settled or search again, so the rounds end; their number is the most slices that one chain of
+decisions passes through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
 
 from promptlake.functions.text import extract_keywords, l2_eligible, numbers, tech_keywords
 from promptlake.functions.validate import entry_numbers, entry_tech, validate_sets
 from promptlake.operators.similarity import BLOCK_ROWS, knn
 from promptlake.rules import Rules
-from promptlake.session import cut
+from promptlake.session import cut, new_run_dir
 
 _RULES = Rules()
 
@@ -41,127 +42,139 @@ def _features(requests: DataFrame, ttl_s: int, max_chars: int, rules: Rules, can
         "e_numbers": entry_numbers("_kw"), "e_tech": entry_tech("_kw", rules)}).drop("_kw")
 
 
-_SETTLED = "rid string, l2_hit boolean, entry_id string, similarity double, stored boolean"
+_VERDICT = "rid string, l2_hit boolean, entry_id string, similarity double, stored boolean, round bigint"
 
 
-def _walk(lists: DataFrame, k: int, length: int) -> DataFrame:
-    """Settle open requests in time order. ``lists`` holds one row per open request: rid, us,
-    can_store and its nearest entries, at most ``length`` of them, as parallel arrays."""
-    def walk(batches):
-        import pandas as pd
+def _links(open_: DataFrame, pool: DataFrame, known: DataFrame, length: int, threshold: float, **layout) -> DataFrame:
+    """(qid, rank, sid, similarity, ok, is_open, full): the ``length`` nearest of ``pool`` per
+    request, whether they pass the checks, and whether the list could go on."""
+    near = knn(open_, pool, length, threshold, qid="rid", sid="rid", q_at="ts", s_at="ts", s_until="until", **layout)
+    q = known.select(F.col("rid").alias("qid"), F.col("lang").alias("q_lang"), "q_numbers", "q_tech")
+    e = known.select(F.col("rid").alias("sid"), F.col("lang").alias("e_lang"), "e_numbers", "e_tech")
+    ok = validate_sets("q_lang", "e_lang", "q_numbers", "e_numbers", "q_tech", "e_tech")["passed"]
+    full = F.count(F.lit(1)).over(Window.partitionBy("qid")) == length
+    return (
+        near.join(pool.select(F.col("rid").alias("sid"), "is_open"), "sid").join(q, "qid").join(e, "sid")
+        .select("qid", "rank", "sid", "similarity", ok.alias("ok"), "is_open", full.alias("full")))
 
-        pdf = pd.concat(list(batches))  # at most tail_rows rows
-        outcome = {}  # of the open requests met so far: is it stored?
-        found = []
+
+_FOUND = "rid string, us bigint, can_store boolean, slice int, was_full boolean, verdict string, sid string, similarity double"
+
+
+def _verdicts(links: DataFrame, open_: DataFrame, k: int) -> DataFrame:
+    """``open_`` with a verdict: hit, miss, search (the list is used up) or wait.
+
+    The first valid link that fewer than k stored entries precede decides, if it is stored and
+    with all open ones before it still among the k. Without such a link the request is a miss,
+    unless the list stopped short of k stored entries. Each slice is gone through in order of
+    time, so what it settles counts for its later requests at once.
+    """
+    def walk(pdf):
+        outcome, found = {}, []
         for r in pdf.sort_values(["us", "rid"]).itertuples(index=False):
-            used, hit, sure = 0, None, True
-            near = () if r.sid is None else sorted(zip(r.rank, r.sid, r.sim, r.ok, r.is_open))
-            for _, sid, sim, ok, is_open in near:
-                if is_open:
-                    if sid not in outcome:
-                        sure = False
-                        break
-                    if not outcome[sid]:
-                        continue
-                used += 1
-                if ok:
-                    hit = (sid, float(sim))
-                if ok or used == k:
+            first, n_stored, n_open = None, 0, 0
+            for link in () if r.near is None else r.near:
+                stored = outcome.get(link["sid"]) if link["is_open"] else True
+                if stored is False:
+                    continue
+                if link["ok"] and n_stored < k:
+                    first = link["sid"], link["similarity"]
+                    sure = stored is True and n_stored + n_open < k
                     break
+                n_stored += stored is True
+                n_open += stored is None
+            if first:
+                verdict = "hit" if sure else "wait"
+            elif n_stored >= k or not r.full:
+                verdict = "miss"
             else:
-                sure = len(near) < length
-            if sure:
-                stored = hit is None and bool(r.can_store)
-                outcome[r.rid] = stored
-                found.append((r.rid, hit is not None, *(hit or (None, None)), stored))
-        yield pd.DataFrame(found, columns=["rid", "l2_hit", "entry_id", "similarity", "stored"])
-
-    return lists.repartition(1).mapInPandas(walk, _SETTLED)
-
-
-def _settle_tail(judged: DataFrame, open_: DataFrame, k: int, length: int) -> DataFrame:
-    lists = judged.groupBy("qid").agg(*[
-        F.collect_list(c).alias(n) for c, n in (
-            ("rank", "rank"), ("sid", "sid"), ("similarity", "sim"), ("ok", "ok"), ("is_open", "is_open"))])
-    rows = open_.select("rid", "can_store", F.unix_micros("ts").alias("us")).join(
-        lists.withColumnRenamed("qid", "rid"), "rid", "left")
-    return _walk(rows, k, length)
-
-
-def _settle_round(judged: DataFrame, open_: DataFrame, k: int, length: int) -> DataFrame:
-    """The first valid neighbour decides, if it is stored; with none valid the request is a
-    miss once no open neighbour could give its slot to one further away."""
-    outcome = judged.groupBy("qid").agg(
-        F.min_by(F.struct("sid", "similarity", "is_open"), F.when(F.col("ok"), F.col("rank"))).alias("first"),
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_open")).alias("n_open"))
-    state = open_.select("rid", "can_store").join(outcome.withColumnRenamed("qid", "rid"), "rid", "left")
-    hit = F.coalesce(~F.col("first.is_open"), F.lit(False))
-    waits = F.when(F.col("first").isNotNull(), F.col("first.is_open")).otherwise(
-        F.coalesce((F.col("n") >= k) & (F.col("n_open") > 0), F.lit(False)))
-    return state.filter(~waits).select(
-        "rid", hit.alias("l2_hit"), F.when(hit, F.col("first.sid")).alias("entry_id"),
-        F.when(hit, F.col("first.similarity")).alias("similarity"),
-        (~hit & F.col("can_store")).alias("stored"))
+                verdict = "wait" if n_open else "search"
+            if verdict in ("hit", "miss"):
+                outcome[r.rid] = verdict == "miss" and r.can_store
+            found.append((r.rid, r.us, r.can_store, r.slice, r.full, verdict, *(first or (None, None))))
+        return pd.DataFrame(found, columns=["rid", "us", "can_store", "slice", "was_full", "verdict", "sid", "similarity"])
+
+    near = F.array_sort(F.collect_list(F.struct("rank", "sid", "similarity", "ok", "is_open")))
+    lists = links.groupBy(F.col("qid").alias("rid")).agg(near.alias("near"), F.max("full").alias("full"))
+    # a full list loses all its links if none was stored: ``was_full`` is kept with the request
+    rows = open_.join(lists, "rid", "left").withColumn("full", F.coalesce("full", "was_full"))
+    return rows.groupBy("slice").applyInPandas(walk, _FOUND)
 
 
 def semantic_absorb(requests: DataFrame, threshold: float = 0.75, k: int = 3, ttl_s: int = 86400,
                     max_chars: int = 300, rules: Rules = _RULES, can_store: str | None = None,
                     max_rounds: int | None = None, initial: DataFrame | None = None,
-                    tail_rows: int = 200_000, tail_length: int = 16, **layout) -> DataFrame:
+                    length: int = 16, slice_rows: int = 20_000, **layout) -> DataFrame:
     """(request_id, l2_hit, entry_id, similarity, stored, round) for every request.
 
     Columns needed: request_id, ts, query_text, lang, embedding. Requests without an
-    embedding or with a long text take no part. ``can_store`` names a flag for requests that
-    may reuse entries but never become one. ``max_rounds`` raises when exceeded; it never
-    ends the work early. ``initial`` holds entries stored before the log begins (entry_id,
-    embedding, lang, keywords, stored_at, expires_at).
+    embedding or with a long text take no part (round 0). ``can_store`` names a flag for
+    requests that may reuse entries but never become one. ``max_rounds`` raises when exceeded;
+    it never ends the work early. ``initial`` holds entries stored before the log begins
+    (entry_id, embedding, lang, keywords, stored_at, expires_at). ``length`` is how many
+    candidates a search lists and ``slice_rows`` how many requests about a slice holds; the
+    outcome is the same for any length of at least k and any slices.
     """
+    length = max(length, k)
     feats = cut(_features(requests, ttl_s, max_chars, rules, can_store))
+    spark = feats.sparkSession
     takes_part = F.col("embedding").isNotNull()
+    n_active = feats.filter(takes_part).count()
+    # written once, so that every round sees the same slices
+    open_ = cut(feats.filter(takes_part).select("rid", F.unix_micros("ts").alias("us"), "can_store")
+                .repartitionByRange(n_active // slice_rows + 1, "us", "rid")
+                .withColumn("slice", F.spark_partition_id()).withColumn("was_full", F.lit(False)))
     known = feats.select("rid", "lang", "q_numbers", "q_tech", "e_numbers", "e_tech")
-    settled = feats.filter(~takes_part).select(
-        "rid", F.lit(False).alias("l2_hit"), F.lit(None).cast("string").alias("entry_id"),
-        F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("stored"), F.lit(0).alias("round"))
-    columns = ["rid", "ts", "until", "embedding", "can_store"]
-    active = feats.filter(takes_part).select(*columns)
+    columns = ["rid", "ts", "until", "embedding"]
+    active = feats.filter(takes_part).select(*columns, "can_store")
+    pool = active.filter("can_store").select(*columns, F.lit(True).alias("is_open"))
     if initial is not None:
         old = cut(initial.select(
             F.col("entry_id").cast("string").alias("rid"), F.col("stored_at").cast("timestamp").alias("ts"),
-            F.col("expires_at").cast("timestamp").alias("until"), "embedding", F.lit(False).alias("can_store"),
+            F.col("expires_at").cast("timestamp").alias("until"), "embedding",
             F.coalesce("lang", F.lit("")).alias("lang"), numbers(F.lit("")).alias("q_numbers"),
             numbers(F.lit("")).alias("q_tech"), entry_numbers("keywords").alias("e_numbers"),
             entry_tech("keywords", rules).alias("e_tech")))
         known = known.unionByName(old.select(*known.columns))
-        old = old.select(*columns)
+        pool = pool.unionByName(old.select(*columns, F.lit(False).alias("is_open")))
     if "pivots" not in layout:
-        layout = {**layout, "pivots": min(256, active.count() // (4 * BLOCK_ROWS))}
+        layout = {**layout, "pivots": min(256, n_active // (4 * BLOCK_ROWS))}
+    settled = new_run_dir(spark, "absorbed")
+    feats.filter(~takes_part).select(
+        "rid", F.lit(False).alias("l2_hit"), F.lit(None).cast("string").alias("entry_id"),
+        F.lit(None).cast("double").alias("similarity"), F.lit(False).alias("stored"),
+        F.lit(0).cast("bigint").alias("round")).write.parquet(f"{settled}/part=0")
+    read = lambda path: spark.read.schema(_VERDICT).parquet(path)
+    links = cut(_links(active, pool, known, length, threshold, **layout))
     n_round = 0
-    open_ = active
-    stored = active.limit(0) if initial is None else old
     while True:
-        n_open = open_.count()
-        if n_open == 0:
-            break
         n_round += 1
         if max_rounds is not None and n_round > max_rounds:
             raise RuntimeError(f"not settled after {max_rounds} rounds")
-        tail = n_open <= tail_rows
-        length = max(tail_length, k) if tail else k
-        pool = open_.filter("can_store").withColumn("is_open", F.lit(True)).unionByName(
-            stored.withColumn("is_open", F.lit(False)))
-        near = knn(open_, pool, length, threshold, qid="rid", sid="rid", q_at="ts", s_at="ts", s_until="until", **layout)
-        q = known.select(F.col("rid").alias("qid"), F.col("lang").alias("q_lang"), "q_numbers", "q_tech")
-        e = known.select(F.col("rid").alias("sid"), F.col("lang").alias("e_lang"), "e_numbers", "e_tech")
-        judged = (
-            near.join(pool.select(F.col("rid").alias("sid"), "is_open"), "sid")
-            .join(q, "qid").join(e, "sid")
-            .withColumn("ok", validate_sets(
-                "q_lang", "e_lang", "q_numbers", "e_numbers", "q_tech", "e_tech")["passed"]))
-        settle = _settle_tail if tail else _settle_round
-        now = cut(settle(judged, open_, k, length).withColumn("round", F.lit(n_round)))
-        settled = settled.unionByName(now)
-        open_ = active.join(settled, "rid", "left_anti")
-        stored = active.join(settled.filter("stored"), "rid", "left_semi")
-        if initial is not None:
-            stored = stored.unionByName(old)
-    return settled.withColumnRenamed("rid", "request_id")
+        found = cut(_verdicts(links, open_, k))
+        hit = F.col("verdict") == "hit"
+        found.filter(F.col("verdict").isin("hit", "miss")).select(
+            "rid", hit.alias("l2_hit"), F.when(hit, F.col("sid")).alias("entry_id"),
+            F.when(hit, F.col("similarity")).alias("similarity"), (~hit & F.col("can_store")).alias("stored"),
+            F.lit(n_round).cast("bigint").alias("round")).write.parquet(f"{settled}/part={n_round}")
+        # who searches again starts with a new list
+        open_ = found.filter(F.col("verdict").isin("wait", "search")).select(
+            "rid", "us", "can_store", "slice", (F.col("was_full") & (F.col("verdict") == "wait")).alias("was_full"))
+        left = {r["verdict"]: r["count"] for r in found.groupBy("verdict").count().collect()}
+        if not left.get("wait", 0) + left.get("search", 0):
+            break
+        now = read(f"{settled}/part={n_round}").select(F.col("rid").alias("sid"), F.col("stored").alias("now_stored"))
+        waiting = found.filter(F.col("verdict") == "wait").select(F.col("rid").alias("qid"))
+        kept = (
+            links.join(waiting, "qid", "left_semi").join(now, "sid", "left")
+            .filter(F.coalesce("now_stored", F.lit(True)))
+            .select("qid", "rank", "sid", "similarity", "ok",
+                    (F.col("is_open") & F.col("now_stored").isNull()).alias("is_open"), "full"))
+        if left.get("search"):
+            done = read(settled).select("rid", "stored")
+            again = active.join(found.filter(F.col("verdict") == "search").select("rid"), "rid", "left_semi")
+            rest = pool.join(done, "rid", "left").filter(F.coalesce("stored", F.lit(True))).select(
+                *columns, (F.col("is_open") & F.col("stored").isNull()).alias("is_open"))
+            kept = kept.unionByName(_links(again, rest, known, length, threshold, **layout))
+        links = cut(kept)
+    return read(settled).withColumnRenamed("rid", "request_id")

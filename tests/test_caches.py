@@ -170,7 +170,7 @@ def twin_tiers(rows, t, k, ttl, quota=None, exact=True, barred=()):
 
 
 @pytest.mark.parametrize("seed, options", [
-    (1, {}), (2, {"tail_rows": 0}), (3, {"tail_length": 3}), (4, {"tail_rows": 0, "pivots": 4, "block_rows": 9})])
+    (1, {}), (2, {"length": 3}), (3, {"slice_rows": 25}), (4, {"length": 4, "slice_rows": 20, "pivots": 4, "block_rows": 9})])
 def test_absorption(spark, seed, options):
     rows = semantic_log(seed, 60, 12)
     df = frame(spark, rows, SCHEMA)
