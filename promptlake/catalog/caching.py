@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlake.catalog.base import (
-    REQ, RULES, TEXTS, WITH_SERVED, load, load_wide, quoted, request_log, served_log, sql_keywords,
+    REQ, RULES, TEXTS, WITH_SERVED, load, load_wide, quoted, request_log, served_log, sql_class, sql_keywords,
     sql_numbers, sql_words, texts, us, with_vectors)
 from promptlake.config import Config
-from promptlake.functions.text import extract_keywords
+from promptlake.functions.text import extract_keywords, predict_output_tokens
 from promptlake.operators import candidates as C, exact_cache as X, language, quota, similarity as S, truncate
 from promptlake.operators.absorb import semantic_absorb
 from promptlake.plans import attribute, diagnose, report
@@ -82,9 +82,12 @@ def _(s, d):
     return X.served(request_log(s, d).select("request_id", "cache_key"), _store(s, d)).select("request_id")
 
 
-@query("store_misses", _W_STORE + " SELECT request_id FROM req WHERE cache_key NOT IN (SELECT cache_key FROM store)")
+@query("store_misses", _W_STORE + """ SELECT request_id FROM req
+  WHERE cache_key NOT IN (SELECT cache_key FROM store WHERE stored_at < TIMESTAMP '2024-01-25')""")
 def _(s, d):
-    return X.misses(request_log(s, d).select("request_id", "cache_key"), _store(s, d)).select("request_id")
+    """Keys written again in the last days, or never, miss the store as it was before."""
+    store = _store(s, d).filter(F.col("stored_at") < F.lit("2024-01-25").cast("timestamp"))
+    return X.misses(request_log(s, d).select("request_id", "cache_key"), store).select("request_id")
 
 
 # --- quota and truncation ---------------------------------------------------------------
@@ -110,16 +113,16 @@ def _(s, d):
     return quota.quota_gate(m, 5000).select("request_id", "admitted", "used_before", "status", "remaining")
 
 
-@query("truncate_stream", """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS delta,
-    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
+@query("truncate_stream", f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS delta,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, CAST(floor(1.5 * {sql_class('text', 1)}) AS BIGINT) AS most FROM documents),
   c AS (SELECT *, sum(strlen(delta)) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM p WHERE delta <> ''),
-  t AS (SELECT *, greatest(1, b // 4) AS tokens, min(CASE WHEN greatest(1, b // 4) > 225 THEN seq END) OVER (PARTITION BY doc_id) AS cut FROM c)
+  t AS (SELECT *, greatest(1, b // 4) AS tokens, min(CASE WHEN greatest(1, b // 4) > most THEN seq END) OVER (PARTITION BY doc_id) AS cut FROM c)
   SELECT doc_id AS response_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = cut THEN delta || '[TRUNCATED]' ELSE delta END AS delta,
     CAST(tokens AS BIGINT) AS tokens_so_far, coalesce(seq = cut, false) AS truncated FROM t WHERE cut IS NULL OR seq <= cut""")
 def _(s, d):
     c = load(s, d, "documents").select(
         F.col("doc_id").alias("response_id"), F.posexplode(F.split("text", "\n")).alias("seq", "delta"),
-        F.lit(150).alias("predicted_max"))
+        predict_output_tokens("text").alias("predicted_max"))
     return truncate.truncate_stream(c).drop("predicted_max")
 
 
@@ -170,10 +173,11 @@ def _(s, d):
         "qid", "sid", F.round("similarity", 4).alias("similarity"))
 
 
-_JUDGED = f"""{_KNN}, v AS (SELECT e.vec_id, coalesce(dd.lang, '') AS lang, coalesce(dd.text, '') AS text FROM embeddings e
+_CHECKED = f"""v AS (SELECT e.vec_id, coalesce(dd.lang, '') AS lang, coalesce(dd.text, '') AS text FROM embeddings e
     LEFT JOIN documents dd ON dd.doc_id = e.vec_id),
   f AS (SELECT CAST(vec_id AS VARCHAR) AS id, lang, {sql_numbers('text')} AS qn, {sql_words('text')} AS qt, array_to_string({sql_keywords('text')}, ' ') AS kws FROM v),
-  g AS (SELECT *, {sql_numbers('kws')} AS en, {sql_words('kws')} AS et FROM f),
+  g AS (SELECT *, {sql_numbers('kws')} AS en, {sql_words('kws')} AS et FROM f)"""
+_JUDGED = f"""{_KNN}, {_CHECKED},
   judged AS (SELECT k.*, CASE WHEN q.lang <> '' AND e.lang <> '' AND q.lang <> e.lang THEN 'lang_mismatch'
       WHEN len(q.qn) > 0 AND q.qn <> e.en THEN 'numeric_mismatch' WHEN len(q.qt) > 0 AND q.qt <> e.et THEN 'tech_keyword_mismatch'
       ELSE 'all_checks_passed' END AS reason
@@ -192,8 +196,7 @@ def _(s, d):
 
 @query("rank_candidates", f"WITH {_KNN} SELECT qid, sid, CAST(rank AS INTEGER) AS rank FROM ranked WHERE similarity >= 0.3")
 def _(s, d):
-    found = S.knn(_probes(s, d), _entries(s, d), k=10_000, threshold=0.3).withColumn("s_at", F.lit(0)).drop("rank")
-    return S.rank_candidates(found, None).select("qid", "sid", "rank")
+    return S.rank_candidates(S.above(_probes(s, d), _entries(s, d), 0.3), None).select("qid", "sid", "rank")
 
 
 _HITS = f"""{_JUDGED}, hits AS (SELECT qid, arg_min(sid, rank) AS sid, min(rank) AS rank FROM judged
@@ -284,11 +287,11 @@ def _(s, d):
 
 def _semantic_log(s, d):
     """Request log with text, language and vector; documents stand in for questions, so the
-    length limit is raised to let them reach the vector tier."""
+    length limit is one that no text can pass."""
     return with_vectors(request_log(s, d, True), s, d)
 
 
-_LONG = Config(threshold=0.3, max_chars=100_000)
+_LONG = Config(threshold=0.3, max_chars=2**31 - 1)
 
 
 @query("semantic_absorb")
@@ -322,18 +325,19 @@ def _(s, d):
   near AS (SELECT a.vec_id AS a, count(*) AS n FROM st a JOIN st b ON a.vec_id <> b.vec_id WHERE {_SIM} >= 0.3 GROUP BY 1),
   sm AS (SELECT p.b AS q, b.vec_id AS sid, {_SIM} AS similarity FROM pairs p JOIN turned a ON a.vec_id = p.b JOIN st b ON true),
   rk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY similarity DESC, CAST(sid AS VARCHAR)) AS rank FROM sm),
-  v AS (SELECT e.vec_id, coalesce(dd.lang, '') AS lang FROM embeddings e LEFT JOIN documents dd ON dd.doc_id = e.vec_id),
-  hit AS (SELECT rk.q, arg_min(sid, rank) AS entry FROM rk JOIN v x ON x.vec_id = rk.q JOIN v y ON y.vec_id = rk.sid
-    WHERE rank <= 3 AND similarity >= 0.3 AND (x.lang = '' OR y.lang = '' OR x.lang = y.lang) GROUP BY rk.q)
+  {_CHECKED},
+  hit AS (SELECT rk.q, arg_min(sid, rank) AS entry FROM rk JOIN g x ON x.id = CAST(rk.q AS VARCHAR) JOIN g y ON y.id = CAST(rk.sid AS VARCHAR)
+    WHERE rank <= 3 AND similarity >= 0.3 AND (x.lang = '' OR y.lang = '' OR x.lang = y.lang)
+      AND (len(x.qn) = 0 OR x.qn = y.en) AND (len(x.qt) = 0 OR x.qt = y.et) GROUP BY rk.q)
   SELECT s.a, s.b, round_even(sb, 4) AS sim_before, round_even(sa, 4) AS sim_after, coalesce(n.n, 0) AS close_originals,
     h.entry IS NOT NULL AS hit, coalesce(h.entry = s.a, false) AS right_entry
   FROM sims s LEFT JOIN near n ON n.a = s.a LEFT JOIN hit h ON h.q = s.b""")
 def _(s, d):
     pairs, raw, norm = _pairs(s, d)
-    t = _vectors(s, d).select(F.col("vec_id").alias("id"), F.lit("").alias("query_text"), "lang")
+    t = _vectors(s, d).select(F.col("vec_id").alias("id"), F.col("text").alias("query_text"), "lang")
     store = norm.join(pairs.select(F.col("a").alias("id")), "id", "left_semi").join(t, "id").select(
-        F.col("id").cast("string").alias("entry_id"), "embedding", F.lit("").alias("content"), "lang",
-        F.array().cast("array<string>").alias("keywords"))
+        F.col("id").cast("string").alias("entry_id"), "embedding", F.col("query_text").alias("content"), "lang",
+        extract_keywords("query_text").alias("keywords"))
     return diagnose.diagnose_pairs(pairs, raw, norm, t, store, 0.3).select(
         "a", "b", "sim_before", "sim_after", "close_originals", "hit", "right_entry")
 

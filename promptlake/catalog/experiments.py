@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptlake.catalog.base import WITH_SERVED, load, request_log, served_log
-from promptlake.catalog.caching import _KNN, _entries, _probes
+from promptlake.catalog.caching import _JUDGED, _judged
 from promptlake.functions.text import normalize
-from promptlake.operators import experiment as E, similarity as S
+from promptlake.operators import experiment as E
 from promptlake.operators.user_functions import answer, embed
 
 QUERIES: dict = {}
@@ -55,10 +55,11 @@ def _(s, d):
     return E.speedup(E.bench_stats(_results(s, d))).withColumn("speedup", F.round("speedup", 6))
 
 
-# Each odd vector is expected to hit if its label occurs on the even vector before it.
-_SCORED = f"""{_KNN}, exp AS (SELECT CAST(a.vec_id AS VARCHAR) AS qid, a.label = b.label AS expected_hit, CAST(a.label AS VARCHAR) AS category,
+# Each odd vector is expected to hit if its label occurs on the even vector before it. Only candidates
+# that pass the checks count.
+_SCORED = f"""{_JUDGED}, exp AS (SELECT CAST(a.vec_id AS VARCHAR) AS qid, a.label = b.label AS expected_hit, CAST(a.label AS VARCHAR) AS category,
     CASE WHEN a.vec_id % 50 = 1 THEN 'timeout' END AS error FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1 WHERE a.vec_id % 2 = 1),
-  best AS (SELECT qid, max(similarity) AS best_sim FROM knn GROUP BY qid),
+  best AS (SELECT qid, max(similarity) AS best_sim FROM judged WHERE reason = 'all_checks_passed' GROUP BY qid),
   scored AS (SELECT exp.*, coalesce(best_sim, -2) AS best_sim, coalesce(best_sim, -2) >= 0.32 AS hit, (coalesce(best_sim, -2) >= 0.32) = expected_hit AS correct FROM exp LEFT JOIN best USING (qid))"""
 
 
@@ -73,7 +74,7 @@ def _expected(s, d):
 
 
 def _scored(s, d):
-    best = S.knn(_probes(s, d), _entries(s, d)).groupBy("qid").agg(F.max("similarity").alias("best_sim"))
+    best = E.best_passing(_judged(s, d, -1.0))
     return E.score_pairs(_expected(s, d), best.withColumn("hit", F.col("best_sim") >= 0.32), "qid")
 
 
@@ -107,9 +108,9 @@ def _(s, d):
     return E.threshold_sweep(_scored(s, d), _THRESHOLDS)
 
 
-@query("goal_flags", f"""WITH {_SWEEP}, f AS (SELECT *, hit_ratio_pct >= 40 AS goal_hit, false_positive_rate_pct < 50 AS goal_fp FROM sweep),
-  g AS (SELECT *, goal_hit AND goal_fp AS goal_ok FROM f), b AS (SELECT threshold AS t FROM g WHERE goal_ok ORDER BY hit_ratio_pct DESC, threshold DESC LIMIT 1)
-  SELECT threshold, hit_ratio_pct, goal_hit, goal_fp, goal_ok, coalesce(threshold = (SELECT t FROM b), false) AS best FROM g""")
+@query("goal_flags", f"""WITH {_SWEEP}, aims AS (SELECT *, hit_ratio_pct >= 40 AS goal_hit, false_positive_rate_pct < 50 AS goal_fp FROM sweep),
+  met AS (SELECT *, goal_hit AND goal_fp AS goal_ok FROM aims), b AS (SELECT threshold AS t FROM met WHERE goal_ok ORDER BY hit_ratio_pct DESC, threshold DESC LIMIT 1)
+  SELECT threshold, hit_ratio_pct, goal_hit, goal_fp, goal_ok, coalesce(threshold = (SELECT t FROM b), false) AS best FROM met""")
 def _(s, d):
     return E.goal_flags(E.threshold_sweep(_scored(s, d), _THRESHOLDS), max_fp=50.0).select(
         "threshold", "hit_ratio_pct", "goal_hit", "goal_fp", "goal_ok", "best")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from promptlake.catalog.base import WITH_SERVED, events, load, request_log, served_log, us
 from promptlake.catalog.caching import ORACLES as BATCH_SQL, _LONG, _semantic_log
 from promptlake.catalog.metrics import _AVG, _calls
+from promptlake.functions.text import predict_output_tokens
 from promptlake.operators import exact_cache as X, queue as Q
 from promptlake.session import new_run_dir
 from promptlake.streaming import batches, ordered, windows
@@ -41,8 +42,9 @@ def _replay(spark, df: DataFrame, slice_of, heartbeat: bool = True) -> DataFrame
 
 
 def _month_slice():
-    """Thirds of January 2024 by time."""
-    return F.least(F.lit(SLICES - 1), F.floor((F.unix_timestamp("ts") - 1704067200) / 864000)).cast("int")
+    """Thirds of January 2024 by time; earlier rows and those without a time come first."""
+    third = F.floor((F.unix_timestamp("ts") - 1704067200) / 864000)
+    return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.coalesce(third, F.lit(0)))).cast("int")
 
 
 def _run(spark, stream: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def _(s, d):
 def _(s, d):
     c = load(s, d, "documents").select(
         F.col("doc_id").alias("response_id"), F.posexplode(F.split("text", "\n")).alias("seq", "delta"),
-        F.lit(150).alias("predicted_max")).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
+        predict_output_tokens("text").alias("predicted_max")).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
     # the first lines of every response come first
     slice_ = F.when(F.col("seq") < 2, 0).when(F.col("seq") < 5, 1).otherwise(2)
     return _run(s, ordered.stream_truncate(_replay(s, c, slice_, heartbeat=False)))

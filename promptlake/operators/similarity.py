@@ -195,6 +195,15 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 3, threshold: float = -1.
     return _merge(_compare(q, s, k, threshold, in_time, False), k)
 
 
+def above(queries: DataFrame, store: DataFrame, threshold: float, qid: str = "request_id", sid: str = "entry_id",
+          q_vec: str = "embedding", s_vec: str = "embedding", pivots: int | None = None,
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Every entry at or above the threshold, however many a query has: (qid, sid, similarity, s_at)."""
+    q, s = _layout(_side(queries, qid, q_vec, None, None), _side(store, sid, s_vec, None, None), threshold, pivots, block_rows)
+    q, s = _blocks(q, s, block_rows)
+    return _compare(q, s, None, threshold, False, False)
+
+
 def _distinct_vectors(df: DataFrame, rid: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """(one row per distinct vector under its smallest id, members of each)."""
     d = df.select(F.col(rid).cast("bigint").alias("id"), F.col(vec).alias("vec"))
