@@ -26,19 +26,20 @@ def query(name, sql=None):
     return register
 
 
-def _replay(spark, df: DataFrame, slice_of, heartbeat: bool = True) -> DataFrame:
-    """``df`` as a stream of slices. A last row far in the future lets the watermark pass
-    everything before it; it is dropped from the results."""
-    path = new_run_dir(spark, "slices")
+def _slices(spark, df: DataFrame, slice_of, path: str, heartbeat: bool = False):
+    """Write ``df`` slice by slice, pausing after each one for the stream to take it as a batch. A
+    last row far in the future lets the watermark pass everything before it; it is dropped from
+    the results."""
     sliced = df.withColumn("_slice", slice_of)
     for i in range(SLICES):
         sliced.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
+        yield i
     if heartbeat:
         blank = [F.timestamp_seconds(F.lit(4102444800)).alias("ts") if f.name == "ts" else
                  F.lit("heartbeat").cast(f.dataType).alias(f.name) if f.dataType.simpleString() == "string" else
                  F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
         spark.range(1).select(*blank).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1_000_000).parquet(path)
+        yield SLICES
 
 
 def _month_slice():
@@ -47,15 +48,20 @@ def _month_slice():
     return F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.coalesce(third, F.lit(0)))).cast("int")
 
 
-def _run(spark, stream: DataFrame) -> DataFrame:
-    """Run to the end. State is cut into as many parts as there are shuffle partitions, and
-    every part costs time in every batch: on one machine, one part per core is enough."""
-    run = new_run_dir(spark, "stream")
+def _run(spark, df: DataFrame, slice_of, operator, heartbeat: bool = True) -> DataFrame:
+    """``operator`` over ``df`` as a stream of slices. Every slice is a batch of its own, taken by
+    a new start of the same stream, so state is carried over batches and restarts.
+
+    State is cut into as many parts as there are shuffle partitions, and every part costs time in
+    every batch: on one machine, one part per core is enough."""
+    run, path = new_run_dir(spark, "stream"), new_run_dir(spark, "slices")
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     if spark.sparkContext.master.startswith("local"):
         spark.conf.set("spark.sql.shuffle.partitions", min(int(parts), spark.sparkContext.defaultParallelism))
     try:
-        batches.run_available(stream, f"{run}/out", f"{run}/state")
+        for _ in _slices(spark, df, slice_of, path, heartbeat):
+            stream = operator(spark.readStream.schema(df.schema).parquet(path))
+            batches.run_available(stream, f"{run}/out", f"{run}/state")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     return spark.read.schema(stream.schema).parquet(f"{run}/out")
@@ -64,7 +70,7 @@ def _run(spark, stream: DataFrame) -> DataFrame:
 @query("stream_l1", BATCH_SQL["l1_attribute"])
 def _(s, d):
     r = request_log(s, d).select("request_id", "ts", "cache_key")
-    out = _run(s, ordered.stream_l1(_replay(s, r, _month_slice())))
+    out = _run(s, r, _month_slice(), ordered.stream_l1)
     return out.filter("request_id <> 'heartbeat'").select("request_id", "l1_hit", F.col("anchor_us").alias("anchor_ts_us"))
 
 
@@ -73,8 +79,7 @@ def _(s, d):
     m = served_log(s, d).filter(~F.col("l1_hit")).select(
         "request_id", "user_id", "ts", (F.col("tokens_in") + F.col("tokens_out")).alias("tokens"))
     beat = F.coalesce("tokens", F.lit(0)).alias("tokens")
-    r = _replay(s, m, _month_slice()).select("request_id", "user_id", "ts", beat)
-    out = _run(s, ordered.stream_quota(r, 5000))
+    out = _run(s, m, _month_slice(), lambda r: ordered.stream_quota(r.select("request_id", "user_id", "ts", beat), 5000))
     return out.filter("request_id <> 'heartbeat'").select("request_id", "admitted", "used_before", "status")
 
 
@@ -85,7 +90,7 @@ def _(s, d):
         predict_output_tokens("text").alias("predicted_max")).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
     # the first lines of every response come first
     slice_ = F.when(F.col("seq") < 2, 0).when(F.col("seq") < 5, 1).otherwise(2)
-    return _run(s, ordered.stream_truncate(_replay(s, c, slice_, heartbeat=False)))
+    return _run(s, c, slice_, ordered.stream_truncate, heartbeat=False)
 
 
 @query("stream_queue_avg", f"""WITH {_AVG.replace('5000000', '60000000')} SELECT pod, g // 1440 AS day, count(*) AS samples, max(avg_1m) AS max_1m,
@@ -94,8 +99,7 @@ def _(s, d):
     """A sample per minute goes through the stream; printed per pod and day."""
     q = Q.queue_depth(_calls(s, d), step_s=60).select("pod", "ts", "depth")
     beat = F.coalesce("depth", F.lit(0)).alias("depth")
-    src = _replay(s, q, _month_slice()).select("pod", "ts", beat)
-    out = _run(s, ordered.stream_queue_avg(src)).filter("pod <> 'heartbeat'")
+    out = _run(s, q, _month_slice(), lambda x: ordered.stream_queue_avg(x.select("pod", "ts", beat))).filter("pod <> 'heartbeat'")
     return out.groupBy("pod", F.expr("unix_micros(ts) div 86400000000").alias("day")).agg(
         F.count(F.lit(1)).alias("samples"), F.max("avg_1m").alias("max_1m"), F.max("avg_5m").alias("max_5m"),
         F.round(F.sum("avg_1m"), 3).alias("sum_1m"), F.round(F.sum("avg_5m"), 3).alias("sum_5m"))
@@ -109,7 +113,7 @@ def _(s, d):
     round(count(*) FILTER (l1_hit) / count(*), 9) AS hit_ratio FROM spread GROUP BY t""")
 def _(s, d):
     e = served_log(s, d).select("ts", "tier", "latency_ms", "cost_units", "saved_units")
-    out = _run(s, windows.stream_metrics(_replay(s, e, _month_slice()))).filter("hits + calls > 0")
+    out = _run(s, e, _month_slice(), windows.stream_metrics).filter("hits + calls > 0")
     return out.select(us("ts"), "hits", "calls", "cost_units", "saved_units", "le_0", "le_2",
                       F.round("hit_ratio", 9).alias("hit_ratio"))
 
@@ -117,7 +121,7 @@ def _(s, d):
 @query("stream_dedup", WITH_SERVED + " SELECT DISTINCT cache_key FROM served")
 def _(s, d):
     r = request_log(s, d).select("request_id", "ts", "cache_key")
-    out = _run(s, windows.stream_dedup(_replay(s, r, _month_slice(), heartbeat=False), "60 days"))
+    out = _run(s, r, _month_slice(), lambda x: windows.stream_dedup(x, "60 days"), heartbeat=False)
     return out.select("cache_key")
 
 
@@ -127,8 +131,9 @@ def _(s, d):
     first = X.l1_attribute(r.select("request_id", "ts", "cache_key")).filter(~F.col("l1_hit")).select("request_id")
     log = r.join(first, "request_id", "left_semi").select("request_id", "ts", "query_text", "lang", "embedding")
     run = new_run_dir(s, "stream-l2")
-    src = _replay(s, log, _month_slice(), heartbeat=False)
-    batches.stream_l2(src, f"{run}/store", f"{run}/out", f"{run}/state", _LONG).awaitTermination()
+    for _ in _slices(s, log, _month_slice(), f"{run}/in"):
+        src = s.readStream.schema(log.schema).parquet(f"{run}/in")
+        batches.stream_l2(src, f"{run}/store", f"{run}/out", f"{run}/state", _LONG).awaitTermination()
     return s.read.parquet(f"{run}/out").drop("batch_id")
 
 
@@ -143,16 +148,8 @@ def _(s, d):
     total = e.agg(F.count(F.lit(1))).scalar()
     slice_ = F.least(F.lit(SLICES - 1), F.floor(F.col("event_id") * SLICES / total)).cast("int")
     run = new_run_dir(s, "late")
-    batches.split_late(_replay_one_by_one(s, e, slice_), f"{run}/ok", f"{run}/late", f"{run}/marks", f"{run}/state",
-                       86400).awaitTermination()
+    for _ in _slices(s, e, slice_, f"{run}/in"):
+        src = s.readStream.schema(e.schema).parquet(f"{run}/in")
+        batches.split_late(src, f"{run}/ok", f"{run}/late", f"{run}/marks", f"{run}/state", 86400).awaitTermination()
     return s.read.parquet(f"{run}/ok").select("event_id", F.lit(False).alias("late")).unionByName(
         s.read.parquet(f"{run}/late").select("event_id", F.lit(True).alias("late")))
-
-
-def _replay_one_by_one(spark, df, slice_of):
-    """One micro-batch per slice: every slice is one file."""
-    path = new_run_dir(spark, "slices")
-    sliced = df.withColumn("_slice", slice_of)
-    for i in range(SLICES):
-        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
