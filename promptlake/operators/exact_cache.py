@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from promptlake.operators.ordered import latest_before
+from promptlake.operators.ordered import join_null_safe, latest_before
 from promptlake.session import cut
 
 
@@ -43,123 +43,112 @@ def served(requests: DataFrame, store: DataFrame, key: str = "cache_key") -> Dat
 
 # --- repeats under a TTL ----------------------------------------------------------------
 
+FINER = 5  # bits by which a part is cut when it is opened
+
 
 def l1_attribute(requests: DataFrame, ttl_s: int = 86400, key: str = "cache_key", ts: str = "ts",
-                 rid: str = "request_id", can_store: str | None = None,
-                 hot_rows: int | None = 5_000_000) -> DataFrame:
+                 rid: str = "request_id", can_store: str | None = None, parts: int = 1440) -> DataFrame:
     """Adds ``l1_hit`` and ``anchor_ts``, the store time of the entry that serves the row.
 
     Per key in time order, a miss is stored and serves later rows until its TTL ends; a hit
-    does not extend it. Rows whose ``can_store`` column is false never store.
-
-    Keys of up to ``hot_rows`` rows are walked in sorted partitions, with one timestamp of
-    state. Larger keys are cut along time and solved by pointer jumping, so that no task
-    sees a whole hot key. ``hot_rows=None`` promises that there are none.
+    does not extend it. Rows whose ``can_store`` column is not true never store, nor do rows
+    without a time, which miss. A null key is a key like any other.
+
+    A key's time is cut into parts, at least ``parts`` a TTL, and every part is reduced to its
+    first and last time before it is shuffled. The entries follow from this short list, unless
+    one begins between a part's first and last time; only parts where one can are opened, into
+    finer parts, and at most five such rounds end at single microseconds. Rows then meet the
+    entries of their own part, so no task sees more of a key than one part's rows.
     """
-    d = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_st", F.col(can_store) if can_store else F.lit(True))
     ttl_us = ttl_s * 1_000_000
-    hot = None
-    if hot_rows is not None:
-        big = d.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
-        if not big.isEmpty():
-            big = cut(big)
-            hot = _attribute_hot(d.join(big, key, "left_semi"), ttl_us, key, rid)
-            d = d.join(big, key, "left_anti")
-    out = _attribute_walk(d, ttl_us, key, rid)
-    if hot is not None:
-        out = out.unionByName(hot)
-    return out.withColumn("anchor_ts", F.timestamp_micros("_anchor").cast(requests.schema[ts].dataType)).drop(
-        "_us", "_st", "_anchor")
-
-
-def _attribute_walk(d: DataFrame, ttl_us: int, key: str, rid: str) -> DataFrame:
-    schema = T.StructType([
-        *d.schema.fields, T.StructField("l1_hit", T.BooleanType()), T.StructField("_anchor", T.LongType())])
-
-    def walk(batches):
-        import pyarrow as pa
-
-        current, anchor, alive_until = None, None, None
-        for batch in batches:
-            keys = batch.column(key).to_pylist()
-            times = batch.column("_us").to_pylist()
-            stores = batch.column("_st").to_pylist()
-            hit, anchors = [], []
-            for k, t, st in zip(keys, times, stores):
-                if k != current:
-                    current, anchor, alive_until = k, None, None
-                if alive_until is not None and t < alive_until:
-                    hit.append(True)
-                    anchors.append(anchor)
-                    continue
-                hit.append(False)
-                anchors.append(None)
-                if st:
-                    anchor, alive_until = t, t + ttl_us
-                    anchors[-1] = t
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(hit, pa.bool_()), pa.array(anchors, pa.int64())],
-                names=[*batch.schema.names, "l1_hit", "_anchor"])
-
-    return d.repartition(key).sortWithinPartitions(key, "_us", rid).mapInArrow(walk, schema)
-
-
-def _attribute_hot(d: DataFrame, ttl_us: int, key: str, rid: str) -> DataFrame:
-    """Pointer jumping over (key, time). Slots are one TTL wide, so a slot stores at most once.
-
-    Every distinct time points to the first time at which a new entry would be stored after
-    it; the stored times are those reachable from each key's first. Doubling the pointers
-    takes a logarithmic number of joins, all on (key, time) or (key, slot).
-    """
-    d = d.withColumn("_slot", F.floor(F.col("_us") / F.lit(ttl_us)).cast("bigint"))
-    points = cut(d.filter("_st").groupBy(key, "_slot", F.col("_us").alias("t")).agg(F.min(rid).alias("first_id")))
-    slots = points.groupBy(key, "_slot").agg(F.min("t").alias("first_t"))
-    by_slot = Window.partitionBy(key).orderBy("_slot")
-    next_slot = slots.withColumn("later_t", F.lead("first_t").over(by_slot))
-    # the first point at or after t + ttl: in the next slot, else the first of a later slot
-    probes = points.select(key, (F.col("_slot") + 1).alias("_slot"), (F.col("t") + ttl_us).alias("pos"),
-                           F.col("t").alias("src"), F.lit(1).alias("kind"))
-    marks = points.select(key, "_slot", F.col("t").alias("pos"), F.lit(None).cast("bigint").alias("src"),
-                          F.lit(0).alias("kind"))
-    downward = (Window.partitionBy(key, "_slot").orderBy(F.desc("pos"), "kind")
-                .rowsBetween(Window.unboundedPreceding, 0))
-    jump = (
-        marks.unionByName(probes)
-        .withColumn("near", F.min(F.when(F.col("kind") == 0, F.col("pos"))).over(downward))
-        .filter(F.col("kind") == 1)
-        .select(key, F.col("src").alias("t"), (F.col("_slot") - 1).alias("_slot"), "near")
-        .join(next_slot.select(key, "_slot", "later_t"), [key, "_slot"])
-        .join(slots.select(key, (F.col("_slot") - 1).alias("_slot"), F.lit(True).alias("adjacent")),
-              [key, "_slot"], "left"))
-    # without a near point the slot after next begins the search: skip the adjacent slot
-    skip = next_slot.select(key, F.col("later_t").alias("after_next"),
-                            F.col("first_t").alias("later_t"))
-    jump = jump.join(skip, [key, "later_t"], "left").select(
-        key, "t",
-        F.coalesce("near", F.when(F.col("adjacent"), F.col("after_next")).otherwise(F.col("later_t"))).alias("to"))
-    jumps = [cut(jump.filter(F.col("to").isNotNull()))]
-    longest = slots.groupBy(key).count().agg(F.max("count")).first()[0] or 1
-    while 2 ** len(jumps) < longest:
-        j = jumps[-1]
-        step = j.select(key, F.col("t").alias("to"), F.col("to").alias("to2"))
-        jumps.append(cut(j.join(step, [key, "to"]).select(key, "t", F.col("to2").alias("to"))))
-    reached = points.groupBy(key).agg(F.min("t").alias("t"))
-    for j in reversed(jumps):
-        reached = cut(reached.unionByName(reached.join(j, [key, "t"]).select(key, F.col("to").alias("t"))))
-    anchors = reached.join(points, [key, "t"]).select(
-        key, "_slot", F.col("t").alias("own"), F.col("first_id").alias("own_id"))
-    by_slot_before = by_slot.rowsBetween(Window.unboundedPreceding, -1)
-    state = (
-        d.select(key, "_slot").distinct()
-        .join(anchors, [key, "_slot"], "left")
-        .withColumn("entering", F.last("own", True).over(by_slot_before)))
-    own_row = (F.col("_us") == F.col("own")) & (F.col(rid) == F.col("own_id"))
-    after_own = (F.col("_us") > F.col("own")) | ((F.col("_us") == F.col("own")) & (F.col(rid) >= F.col("own_id")))
-    serving = F.when(after_own, F.col("own")).when(
-        F.col("_us") < F.col("entering") + ttl_us, F.col("entering"))
+    bits = max(0, (ttl_us // parts).bit_length() - 1)
+    stores = F.coalesce(F.col(can_store), F.lit(False)) if can_store else F.lit(True)
+    d = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns(
+        {"_st": stores & F.col("_us").isNotNull(), "_b": F.shiftright("_us", bits)})
+    entries = _entries(d, ttl_us, bits, key, rid)
+    served = entries.select(key, "found", F.explode("buckets").alias("_b")).select(
+        key, "_b",
+        F.array_max(F.filter("found.t", lambda t: F.shiftright(t, bits) < F.col("_b"))).alias("_prev"),
+        F.get(F.filter("found", lambda e: F.shiftright(e["t"], bits) == F.col("_b")), F.lit(0)).alias("_own"))
+    own, own_id = F.col("_own.t"), F.col("_own.id")
+    from_own = F.coalesce(F.col(rid) >= own_id, own_id.isNull())
+    after_own = (F.col("_us") > own) | ((F.col("_us") == own) & from_own)
+    own_row = F.coalesce((F.col("_us") == own) & F.col(rid).eqNullSafe(own_id), F.lit(False))
     return (
-        d.join(state, [key, "_slot"])
-        .withColumn("_anchor", serving)
-        .withColumn("l1_hit", F.col("_anchor").isNotNull() & ~F.coalesce(own_row, F.lit(False)))
-        .drop("_slot", "own", "own_id", "entering"))
+        join_null_safe(d, served, [key, "_b"])
+        .withColumn("_anchor", F.when(after_own, own).when(F.col("_us") < F.col("_prev") + ttl_us, F.col("_prev")))
+        .withColumn("l1_hit", F.col("_anchor").isNotNull() & ~own_row)
+        .withColumn("anchor_ts", F.timestamp_micros("_anchor").cast(requests.schema[ts].dataType))
+        .select(*requests.columns, "l1_hit", "anchor_ts"))
+
+
+def _ends(points: DataFrame, by: list[str], rid: str) -> DataFrame:
+    """First (time, id) and last time of the storing rows of each group."""
+    return points.groupBy(*by).agg(
+        F.min(F.when(F.col("_st"), F.struct(F.col("_us").alias("t"), F.col(rid).alias("id")))).alias("first"),
+        F.max(F.when(F.col("_st"), F.col("_us"))).alias("last"))
+
+
+def _chain(ttl_us: int, id_type: str, early: bool):
+    """Entries along sorted parts. Inside a part that holds times on both sides of the moment the
+    entry before ends, the next entry is taken as early, or as late, as it can be. Later entries
+    begin no earlier for a later one before, so the two chains enclose the true one."""
+    kind = f"array<struct<t:bigint,id:{id_type}>>"
+
+    def step(state, part):
+        due, first = state["due"], part["first"]
+        sure = first["t"] >= due
+        t = F.when(sure, first["t"]).otherwise(due if early else part["last"])
+        entry = F.struct(t.alias("t"), F.when(sure, first["id"]).alias("id"))
+        return F.when(part["last"] >= due, F.struct(
+            (t + ttl_us).alias("due"), F.concat(state["found"], F.array(entry)).alias("found"))).otherwise(state)
+
+    start = F.struct(F.lit(-2 ** 63).cast("bigint").alias("due"), F.array().cast(kind).alias("found"))
+    return F.aggregate("pieces", start, step, lambda state: state["found"])
+
+
+def _entries(d: DataFrame, ttl_us: int, bits: int, key: str, rid: str) -> DataFrame:
+    """Per key, the numbers of its time parts (``buckets``) and its entries (``found``)."""
+    id_type = d.schema[rid].dataType.simpleString()
+
+    def chained(per_key):
+        return cut(per_key.withColumns({
+            "early": _chain(ttl_us, id_type, True), "found": _chain(ttl_us, id_type, False)}))
+
+    piece = F.struct("first", "last", F.lit(bits).alias("bits"), F.col("_b").alias("part"))
+    state = chained(_ends(d, [key, "_b"], rid).groupBy(key).agg(
+        F.collect_list("_b").alias("buckets"),
+        # rows without a time have no part, but are served like the rest: as misses
+        F.max(F.col("_b").isNull()).alias("timeless"),
+        F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), piece))).alias("pieces"))
+        .withColumn("buckets", F.when(F.col("timeless"), F.concat("buckets", F.array(F.lit(None).cast("bigint"))))
+                    .otherwise(F.col("buckets"))).drop("timeless"))
+    sure = F.col("early.t") == F.col("found.t")
+    unsure, points, refined = state.filter(~sure).drop("buckets"), None, []
+    while not unsure.isEmpty():
+        spans = F.filter(F.zip_with(F.col("early.t"), F.col("found.t"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                         lambda s: s["a"] < s["b"])
+        within = lambda p: (p["first"]["t"] < p["last"]) & F.exists(
+            "spans", lambda s: (s["a"] <= p["last"]) & (s["b"] >= p["first"]["t"]))
+        u = unsure.withColumn("spans", spans)
+        opened = cut(u.select(key, F.explode(F.filter("pieces", within)).alias("p")).select(key, "p.bits", "p.part"))
+        if points is None:
+            points = cut(join_null_safe(
+                d.filter("_st").select(key, F.col(rid), "_us", "_st", F.col("_b").alias("part")),
+                opened.select(key, "part"), [key, "part"]).drop("part"))
+        finer = None
+        for (level,) in opened.select("bits").distinct().collect():  # at most one for every FINER bits
+            to = max(0, level - FINER)
+            inside = join_null_safe(points.withColumn("part", F.shiftright("_us", level)),
+                                    opened.filter(F.col("bits") == level).select(key, "part"), [key, "part"])
+            cut_up = _ends(inside.withColumn("part", F.shiftright("_us", to)), [key, "part"], rid).select(
+                key, F.struct("first", "last", F.lit(to).alias("bits"), "part").alias("p"))
+            finer = cut_up if finer is None else finer.unionByName(cut_up)
+        kept = u.select(key, F.explode(F.filter("pieces", lambda p: ~within(p))).alias("p"))
+        again = chained(kept.unionByName(finer).groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("pieces")))
+        refined.append(again.filter(sure).select(key, "found"))
+        unsure = again.filter(~sure)
+    out = state.filter(sure).select(key, "buckets", "found")
+    for r in refined:
+        out = out.unionByName(join_null_safe(state.filter(~sure).select(key, "buckets"), r, [key]))
+    return out

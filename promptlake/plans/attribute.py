@@ -16,13 +16,12 @@ _CONFIG = Config()
 _RULES = Rules()
 
 
-def attribute_exact(requests: DataFrame, cfg: Config = _CONFIG, quota: bool = False,
-                    hot_rows: int | None = 5_000_000) -> DataFrame:
+def attribute_exact(requests: DataFrame, cfg: Config = _CONFIG) -> DataFrame:
     """The exact tier alone: adds tier, cost_units and saved_units.
 
     Columns needed: request_id, ts, user_id, cache_key, tokens_in, tokens_out, saved_units.
     """
-    d = l1_attribute(requests, cfg.ttl_s, hot_rows=hot_rows)
+    d = l1_attribute(requests, cfg.ttl_s)
     tier = F.when(F.col("l1_hit"), F.lit("l1_hash")).otherwise(F.lit("llm"))
     return _money(d.withColumn("tier", tier), cfg)
 
@@ -37,7 +36,7 @@ def _money(d: DataFrame, cfg: Config) -> DataFrame:
 
 
 def attribute_tiers(requests: DataFrame, cfg: Config = _CONFIG, rules: Rules = _RULES,
-                    semantic: bool = True, hot_rows: int | None = 5_000_000, **layout) -> DataFrame:
+                    semantic: bool = True, **layout) -> DataFrame:
     """All tiers: l1_hash, l2_semantic, llm or rejected per request.
 
     Columns needed: request_id, ts, user_id, cache_key, tokens_in, tokens_out, saved_units,
@@ -58,7 +57,7 @@ def attribute_tiers(requests: DataFrame, cfg: Config = _CONFIG, rules: Rules = _
     while True:
         flagged = narrow.join(barred.withColumn("_barred", F.lit(True)), "request_id", "left").withColumn(
             "can_store", F.col("_barred").isNull()).drop("_barred")
-        exact = cut(l1_attribute(flagged, cfg.ttl_s, can_store="can_store", hot_rows=hot_rows))
+        exact = cut(l1_attribute(flagged, cfg.ttl_s, can_store="can_store"))
         missed = exact.filter(~F.col("l1_hit"))
         if semantic:
             found = semantic_absorb(

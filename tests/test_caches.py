@@ -31,20 +31,36 @@ def twin_l1(rows, ttl):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [5, None, 40])
-def test_repeats(spark, hot_rows):
-    rng = random.Random(hot_rows or 0)
+@pytest.mark.parametrize("parts", [1, 3, 20, 1440])
+def test_repeats(spark, parts):
+    rng = random.Random(parts)
     # one key holds a third of the rows; times repeat; gaps span several lifetimes
     rows = []
     for i in range(400):
         key = "hot" if i % 3 == 0 else rng.choice("abcdef")
         rows.append((f"{i:03}", key, T0 + rng.choice([rng.randint(0, 900), rng.randint(0, 9000), 50]), rng.random() < 0.8))
     df = frame(spark, rows, "request_id string, cache_key string, s bigint, can boolean")
-    out = l1_attribute(df, ttl_s=100, can_store="can", hot_rows=hot_rows)
+    out = l1_attribute(df, ttl_s=100, can_store="can", parts=parts)
     got = {r.request_id: (r.l1_hit, r.a) for r in out.withColumn("a", F.unix_timestamp("anchor_ts")).collect()}
     assert got == twin_l1(rows, 100)
 
 
+def test_one_key_inside_one_lifetime(spark):
+    """All rows share a key; most lie in two lifetimes, a microsecond apart, across the moment an entry ends."""
+    rng = random.Random(11)
+    at = [0, *[99_999_000 + rng.randint(0, 3000) for _ in range(300)], *[200_000_000 + rng.randint(0, 3000) for _ in range(200)]]
+    rows = [(f"{i:03}", None, t, rng.random() < 0.7) for i, t in enumerate(at)] + [("none", None, None, True)]
+    df = spark.createDataFrame(rows, "request_id string, cache_key string, us bigint, can boolean").withColumn("ts", F.timestamp_micros("us"))
+    out = l1_attribute(df, ttl_s=100, can_store="can", parts=4).withColumn("a", F.unix_micros("anchor_ts"))
+    got = {r.request_id: (r.l1_hit, r.a) for r in out.collect()}
+    anchor, want = None, {"none": (False, None)}
+    for rid, _, t, can in sorted(rows[:-1], key=lambda r: (r[2], r[0])):
+        hit = anchor is not None and t < anchor + 100_000_000
+        anchor = t if can and not hit else anchor
+        want[rid] = (hit, anchor if hit or can else None)
+    assert got == want
+
+
 def test_published_times(spark):
     rows = [(str(i), "k", T0 + s) for i, s in enumerate([0, 10, 90000, 95000, 180000])]
     df = frame(spark, rows, "request_id string, cache_key string, s bigint")
