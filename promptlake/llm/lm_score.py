@@ -1,11 +1,17 @@
 """LM scoring by cross-entropy difference.
 
 Two word bigram models, one of a target sample and one of the whole corpus as background, share
-one hashed vocabulary and one smoothing. Each text's score is the mean over its words of
-log p_background - log p_target, the target cross entropy less the background one: the lower, the
-more like the target. Words are hashed to ``2**word_bits`` ids and pairs to ``2**pair_bits``
-slots; the counts cover every text, are summed inside each task before the shuffle, and their
-tables have the same size for any corpus, which bounds what is broadcast.
+one vocabulary, the corpus's own words, and one smoothing. Each text's score is the mean over its
+words of log p_background - log p_target, the target cross entropy less the background one: the
+lower, the more like the target. Words and pairs are known by 62-bit hashes; their counts cover
+every text and grow with the corpus.
+
+Counts are summed inside each task before any shuffle. The commonest words and pairs, at most
+``most_words`` and ``most_pairs`` of them, are broadcast with their exact counts. What is left of a
+text goes by one shuffle to where all occurrences of the word (or, if the word is a common one, of
+the pair) meet: they are counted there, and sums per text come back. A common pair has two common
+words, so only pairs of such words are counted to find the common ones. Both limits route work and
+change no result.
 
 The target is a set of ids: labelled rows, at most ``max_target`` of them in hash order.
 Null or wordless text: no words, score 0. Repeated rows count as often as they occur. With no
@@ -20,86 +26,262 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from promptlake.llm.batches import add_columns, chunks, is_space, lower, mix, span_hashes, text_bytes, word_spans
+from promptlake.llm.batches import chunks, is_space, lower, mix, span_hashes, text_bytes, word_spans
+from promptlake.session import cut, width
 
 SCHEMA = "n_words long, target_entropy double, background_entropy double, score double"
+BITS = 62
+HELD = 1 << 20
+OCCURRENCES = 2_000_000
+UNIT = float(1 << 28)  # losses are summed as whole numbers, so that no order of adding shows
+_R = np.uint64(0x9E3779B97F4A7C15)
+_FOLLOWED = np.uint64(1 << 63)
 
 
-def _slots(texts: pa.Array, word_bits: int, pair_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each word its id, the slot of the pair that ends with it (the first word follows a
-    start mark) and its text."""
+def _words(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word its id, that of the word before it (``2**bits`` at a text's start) and its text."""
     buf, offsets = text_bytes(texts)
     starts, ends, text_of = word_spans(is_space(buf), offsets)
     h = span_hashes(lower(buf), starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    word = (h >> np.uint64(64 - word_bits)).astype(np.int64)
-    before = np.full(len(h), 1 << word_bits, np.int64)
+    word = h >> np.uint64(64 - bits)
+    before = np.full(len(h), 1 << bits, np.uint64)
     if len(h):
-        before[1:] = np.where(text_of[1:] == text_of[:-1], word[:-1], 1 << word_bits)
-    pair = mix((before.astype(np.uint64) << np.uint64(32)) + word.astype(np.uint64) + np.uint64(1))
-    return word, (pair >> np.uint64(64 - pair_bits)).astype(np.int64), text_of
+        before[1:] = np.where(text_of[1:] == text_of[:-1], word[:-1], before[1:])
+    return word, before, text_of
 
 
-def count(docs: DataFrame, text: str, target: DataFrame, key: str, word_bits: int, pair_bits: int) -> DataFrame:
-    """(slot, n, n_target): how often each slot occurs in all texts and in the target's. Pairs have
-    slots from 0, words from ``2**pair_bits``."""
-    marked = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).join(
-        F.broadcast(target.select(F.col(key).alias("k")).distinct().withColumn("in_target", F.lit(True))), "k", "left")
-    words = 1 << word_bits
-    size = (1 << pair_bits) + words
+def _pair(before: np.ndarray, word: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return mix(mix(before + np.uint64(1)) + word * _R) >> np.uint64(64 - bits)
+
+
+def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Place of each ``x`` in the sorted ``table``, -1 if it is not there."""
+    if not len(table):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return np.where(table[at] == x, at, -1)
+
+
+def _mark(docs: DataFrame, text: str, target: DataFrame, key: str) -> DataFrame:
+    """(t, in_target) of every row."""
+    ids = F.broadcast(target.select(F.col(key).alias("k")).distinct().withColumn("in_target", F.lit(True)))
+    return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).join(ids, "k", "left").select("t", "in_target")
+
+
+def _count(marked: DataFrame, slots) -> DataFrame:
+    """(slot, n, n_target) of what ``slots`` gives for each chunk: slots and the texts they are of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, ours = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            slot, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return slot, *(np.bincount(at, np.concatenate([x[i] for x in held]), len(slot)).astype(np.int64) for i in (1, 2))
+
+        def record(x) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int64)), pa.array(x[1]), pa.array(x[2])], ["slot", "n", "n_target"])
+
         for batch in batches:
             for lo, hi in chunks(batch["t"]):
                 part = batch.slice(lo, hi - lo)
-                word, pair, text_of = _slots(part["t"], word_bits, pair_bits)
+                slot, text_of = slots(part["t"])
                 mine = part["in_target"].is_valid().to_numpy(zero_copy_only=False)[text_of]
-                for slots in (pair, word + (1 << pair_bits)):
-                    np.add.at(total, slots, 1)
-                    np.add.at(ours, slots[mine], 1)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 18):
-            some = at[lo:lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some]), pa.array(ours[some])], ["slot", "n", "n_target"])
+                held.append((slot, np.ones(len(slot), np.int64), mine.astype(np.int64)))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > HELD // 2:
+                        yield record(held.pop())
+        if held:
+            yield record(merged())
+
+    return marked.mapInArrow(run, "slot long, n long, n_target long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def count(docs: DataFrame, text: str, target: DataFrame, key: str, word_bits: int = BITS, pair_bits: int = BITS) -> DataFrame:
+    """(slot, n, n_target): how often each slot occurs in all texts and in the target's. Pairs have
+    slots from 0, words from ``2**pair_bits``."""
+
+    def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        word, before, text_of = _words(texts, word_bits)
+        return np.concatenate([_pair(before, word, pair_bits), word + np.uint64(1 << pair_bits)]), np.concatenate([text_of, text_of])
+
+    return _count(_mark(docs, text, target, key), slots)
 
-    found = marked.select("t", "in_target").mapInArrow(run, "slot int, n long, n_target long")
-    return found.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
 
+def _common(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slots that occur at least a power of two times, the least that leaves no more than
+    ``most`` of them, in order, with their counts."""
+    sizes = sorted(((r["p"], r["rows"]) for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    left, least = most, None
+    for p, rows in sizes:
+        if rows > left:
+            break
+        left, least = left - rows, p
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    rows = table.filter(F.floor(F.log2("n")) >= least).toArrow()  # at most ``most``
+    slot = np.asarray(rows["slot"], np.int64).astype(np.uint64)
+    order = np.argsort(slot)
+    return slot[order], np.asarray(rows["n"], np.float64)[order], np.asarray(rows["n_target"], np.float64)[order]
 
-def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", word_bits: int = 16,
-               pair_bits: int = 21, strength: float = 8.0) -> DataFrame:
+
+def _whole(loss: np.ndarray) -> np.ndarray:
+    return np.rint(loss * UNIT).astype(np.int64)
+
+
+def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", strength: float = 8.0,
+               most_words: int = 1 << 16, most_pairs: int = 1 << 18) -> DataFrame:
     """``docs`` with the columns of SCHEMA; ``target``: the ids of the target sample."""
     spark = docs.sparkSession
-    table = count(docs, text, target, key, word_bits, pair_bits).toArrow()
-    slot = np.asarray(table["slot"], np.int64)
-    pairs, words = 1 << pair_bits, 1 << word_bits
-    counts = np.zeros((2, pairs + words), np.float32)
-    counts[0, slot], counts[1, slot] = table["n_target"], table["n"]
-    sizes = counts[:, pairs:].sum(axis=1, dtype=np.float64)
-    if sizes[0]:  # matched: the background's counts are brought to the target's size
-        counts[1] *= sizes[0] / sizes[1]
-    shared = spark.sparkContext.broadcast(counts)
-
-    def make(texts: pa.Array) -> dict:
-        counts = shared.value
-        word, pair, text_of = _slots(texts, word_bits, pair_bits)
-        n = np.bincount(text_of, minlength=len(texts))
-        first = np.ones(len(word), bool)
-        first[1:] = text_of[1:] != text_of[:-1]
-        entropy = []
-        for model in counts:
-            single = model[pairs:]
-            alone = (single[word] + 1.0) / (single.sum(dtype=np.float64) + words)
-            context = np.zeros(len(word))
-            context[1:] = single[word[:-1]]
-            context[first] = 0.0
-            # a pair cannot be likelier than its first word allows, whatever shares its slot
-            seen = np.where(first, 0.0, np.minimum(model[pair], context))
-            loss = -np.log((seen + strength * alone) / (context + strength))
-            entropy.append(np.bincount(text_of, weights=loss, minlength=len(texts)) / np.maximum(n, 1))
-        return {"n_words": n, "target_entropy": entropy[0], "background_entropy": entropy[1], "score": entropy[0] - entropy[1]}
-
-    return add_columns(docs, text, SCHEMA, make)
+    marked = _mark(docs, text, target, key)
+
+    def only_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        word, _, text_of = _words(texts)
+        return word, text_of
+
+    table = cut(_count(marked, only_words))
+    total = table.agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).first()
+    size, ours = float(total["n"] or 0), float(total["n_target"] or 0)
+    scale = ours / size if ours else 1.0  # matched: the background's counts are brought to the target's size
+    mass = (ours + total["words"], size * scale + total["words"])
+    words = spark.sparkContext.broadcast(_common(table, most_words))
+
+    def common_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        word, before, text_of = _words(texts)
+        both = (_find(words.value[0], word) >= 0) & (_find(words.value[0], before) >= 0)
+        return _pair(before[both], word[both]), text_of[both]
+
+    pairs = spark.sparkContext.broadcast(_common(cut(_count(marked, common_pairs)), most_pairs))
+    buckets = max(width(spark), int(size // OCCURRENCES))
+
+    def losses(seen: np.ndarray, seen_t: np.ndarray, single: np.ndarray, single_t: np.ndarray) -> list[np.ndarray]:
+        return [_whole(-np.log(s + strength * (w + 1.0) / m)) for s, w, m in ((seen_t, single_t, mass[0]), (seen * scale, single * scale, mass[1]))]
+
+    def contexts(n: np.ndarray, n_t: np.ndarray) -> list[np.ndarray]:
+        return [_whole(np.log(x + strength)) for x in (n_t, n * scale)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w_id, w_n, w_t = words.value
+        p_id, p_n, p_t = pairs.value
+        turn = 0
+        for batch in batches:
+            for lo, hi in chunks(batch["t"]):
+                part = batch.slice(lo, hi - lo)
+                word, before, text_of = _words(part["t"])
+                if not len(word):
+                    continue
+                first = before == np.uint64(1 << BITS)
+                pair = _pair(before, word)
+                at, prev = _find(w_id, word), np.full(len(word), -1, np.int64)
+                prev[1:] = at[:-1]
+                prev[first] = -1
+                pair_at = _find(p_id, pair)
+                pair_at[first] = -1
+                own = [np.zeros(len(part), np.int64) for _ in range(2)]
+                # what precedes: a text's start, or a common word
+                for sums, x in zip(own, contexts(w_n[prev[prev >= 0]], w_t[prev[prev >= 0]])):
+                    np.add.at(sums, text_of[prev >= 0], x)
+                    np.add.at(sums, text_of[first], _whole(np.log(strength)))
+                # common pairs, and common words at a text's start
+                here = (pair_at >= 0) | first & (at >= 0)
+                p, w = pair_at[here], at[here]
+                seen = [np.where(p >= 0, x[p], 0.0) if len(x) else np.zeros(len(p)) for x in (p_n, p_t)]
+                for sums, x in zip(own, losses(*seen, w_n[w], w_t[w])):
+                    np.add.at(sums, text_of[here], x)
+                rest = ~here
+                by_word = rest & (at < 0)
+                by_pair = rest & (at >= 0)
+                followed = np.zeros(len(word), bool)
+                followed[:-1] = ~first[1:]
+                said = before | np.where(followed, _FOLLOWED, np.uint64(0))
+                to = np.where(by_word, mix(word + np.uint64(1)), pair) % np.uint64(buckets)
+                row = {n: [] for n in ("bucket", "h", "mine", "own", "n_word", "word", "before", "n_pair", "pair", "common")}
+                turn += 1
+                h = np.asarray(part["h"], np.int64)
+                mine = part["in_target"].is_valid().to_numpy(zero_copy_only=False)
+                home = int((h[0] + turn) % buckets)
+                b_word, b_pair = np.flatnonzero(by_word), np.flatnonzero(by_pair)
+                b_word = b_word[np.argsort(to[b_word], kind="stable")]
+                b_pair = b_pair[np.argsort(to[b_pair], kind="stable")]
+                c_word = np.searchsorted(to[b_word], np.arange(buckets + 1, dtype=np.uint64))
+                c_pair = np.searchsorted(to[b_pair], np.arange(buckets + 1, dtype=np.uint64))
+                for b in range(buckets):
+                    i, j = b_word[c_word[b]:c_word[b + 1]], b_pair[c_pair[b]:c_pair[b + 1]]
+                    if not len(i) and not len(j) and b != home:
+                        continue
+                    row["bucket"].append(b)
+                    some = np.arange(len(part)) if b == home else np.unique(np.concatenate([text_of[i], text_of[j]]))
+                    row["h"].append(h[some].tobytes())
+                    row["mine"].append(mine[some].tobytes())
+                    row["own"].append(np.concatenate(own).tobytes() if b == home else b"")
+                    for name, k in (("n_word", i), ("n_pair", j)):
+                        row[name].append(np.bincount(np.searchsorted(some, text_of[k]), minlength=len(some)).astype(np.uint32).tobytes())
+                    row["word"].append(word[i].tobytes())
+                    row["before"].append(said[i].tobytes())
+                    row["pair"].append(pair[j].tobytes())
+                    row["common"].append(at[j].astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(row["bucket"], pa.int32()), *(pa.array(row[n], pa.binary()) for n in list(row)[1:])], list(row))
+
+    def gather(part: pa.Table) -> pa.Table:
+        def read(name: str, kind) -> np.ndarray:
+            return np.frombuffer(b"".join(part[name].to_pylist()), kind)
+
+        h, mine = read("h", np.int64), read("mine", bool)
+        texts, text_at = np.unique(h, return_inverse=True)
+        sums, copies = [np.zeros(len(texts), np.int64) for _ in range(2)], np.zeros(len(texts), np.int64)
+        lo = 0
+        for hs, own in zip(part["h"].to_pylist(), part["own"].to_pylist()):
+            n = len(hs) // 8
+            if own:
+                np.add.at(copies, text_at[lo:lo + n], 1)
+                for s, x in zip(sums, np.frombuffer(own, np.int64).reshape(2, n)):
+                    np.add.at(s, text_at[lo:lo + n], x)
+            lo += n
+
+        def numbers(*keys: np.ndarray) -> tuple[np.ndarray, int]:
+            order = np.lexsort(keys)
+            new = np.zeros(len(order), np.int64)
+            for k in keys:
+                new[1:] |= k[order][1:] != k[order][:-1]
+            out = np.empty(len(order), np.int64)
+            out[order] = np.cumsum(new)
+            return out, len(order)
+
+        word, said = read("word", np.uint64), read("before", np.uint64)
+        if len(word):
+            row = np.repeat(np.arange(len(h)), read("n_word", np.uint32))
+            before, followed = said & ~_FOLLOWED, said >= _FOLLOWED
+            a, n = numbers(word)
+            single, single_t = np.bincount(a, minlength=n)[a].astype(float), np.bincount(a, mine[row], n)[a]
+            b, n = numbers(before, word)
+            started = before == np.uint64(1 << BITS)
+            seen, seen_t = np.where(started, 0.0, np.bincount(b, minlength=n)[b]), np.where(started, 0.0, np.bincount(b, mine[row], n)[b])
+            for s, x, y in zip(sums, losses(seen, seen_t, single, single_t), contexts(single, single_t)):
+                np.add.at(s, text_at[row], x + np.where(followed, y, 0))
+        pair, w = read("pair", np.uint64), read("common", np.uint32)
+        if len(pair):
+            row = np.repeat(np.arange(len(h)), read("n_pair", np.uint32))
+            b, n = numbers(pair)
+            _, w_n, w_t = words.value
+            for s, x in zip(sums, losses(np.bincount(b, minlength=n)[b].astype(float), np.bincount(b, mine[row], n)[b], w_n[w], w_t[w])):
+                np.add.at(s, text_at[row], x)
+        return pa.table({"h": texts, "copies": copies, "target": sums[0], "background": sums[1]})
+
+    # equal texts have equal sums: those of all copies are added up and shared among them
+    hashed = marked.select(F.xxhash64("t").alias("h"), "t", "in_target")
+    payload = "bucket int, h binary, mine binary, own binary, n_word binary, word binary, before binary, n_pair binary, pair binary, common binary"
+    found = hashed.mapInArrow(deal, payload).groupBy("bucket").applyInArrow(gather, "h long, copies long, target long, background long")
+    whole = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).cast("double")
+    scored = found.groupBy("h").agg(F.sum("copies").alias("copies"), whole("target").alias("target"), whole("background").alias("background"))
+    per_text = scored.select(F.col("h").alias("__h"), (F.col("target") / F.col("copies") / UNIT).alias("__t"), (F.col("background") / F.col("copies") / UNIT).alias("__b"))
+    new = {"n_words", "target_entropy", "background_entropy", "score"}
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    t = F.col(f"`{text}`").cast("string")
+    n_words = F.size(F.regexp_extract_all(t, F.lit("[^ \\x09-\\x0D]+"), F.lit(0))).cast("long")
+    rows = docs.select(*rest, F.coalesce(n_words, F.lit(0)).alias("n_words"), F.xxhash64(t).alias("__h"))
+    each = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
+    joined = rows.join(per_text, "__h", "left").withColumn("target_entropy", each("__t")).withColumn("background_entropy", each("__b"))
+    return joined.withColumn("score", F.col("target_entropy") - F.col("background_entropy")).drop("__h", "__t", "__b")
 
 
 def labelled_target(labels: DataFrame, key: str = "doc_id", label: str = "quality", max_target: int = 50_000) -> DataFrame:

@@ -282,6 +282,44 @@ def test_lm_score(spark):
     assert lm_score.difference(df.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def simple_scores(rows, target, strength=8.0):
+    """Both cross entropies of each text, from plain counts."""
+    split = [re.findall("[^\x20\x09-\x0D]+", (t or "").lower()) for _, t in rows]
+    mine = [i in target for i, _ in rows]
+    out = []
+    models = []
+    for chosen in ([w for w, m in zip(split, mine) if m], split):
+        models.append((Counter(x for w in chosen for x in w), Counter(p for w in chosen for p in zip(w, w[1:]))))
+    vocabulary, ours, size = len(models[1][0]), sum(models[0][0].values()), sum(models[1][0].values())
+    for w in split:
+        entropy = []
+        for (single, pair), scale in zip(models, (1.0, ours / size if ours else 1.0)):
+            mass = sum(single.values()) * scale + vocabulary
+            loss = 0.0
+            for i, x in enumerate(w):
+                context, seen = (single[w[i - 1]] * scale, pair[w[i - 1], x] * scale) if i else (0.0, 0.0)
+                loss -= math.log((seen + strength * (single[x] * scale + 1) / mass) / (context + strength))
+            entropy.append(loss / max(1, len(w)))
+        out.append(entropy)
+    return out
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_words": 40, "most_pairs": 60}, {"most_words": 0, "most_pairs": 0}])
+def test_lm_score_equals_plain_counts(spark, limits):
+    """Also with more words than 2**16 ids can tell apart, and with most of them shuffled."""
+    rng = random.Random(8)
+    texts = [None, "", " ", "one", *(" ".join(rng.choices(["the", "of", *(f"v{j}" for j in range(i * 900, i * 900 + 2000))], weights=[300, 200, *[1] * 2000], k=1500)) for i in range(90))]
+    texts += texts[10:13] * 3
+    rows = list(enumerate(texts))
+    target = set(range(4, 40)) | {95}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r for r in lm_score.difference(df, spark.createDataFrame([(i,) for i in target], "doc_id long"), **limits).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (ours, all_) in zip(rows, simple_scores(rows, target)):
+        r = got[i]
+        assert r["n_words"] == len((t or "").split()) and abs(r["target_entropy"] - ours) < 1e-6 and abs(r["background_entropy"] - all_) < 1e-6
+
+
 def test_languages(spark):
     got = queries.op10_langid(spark, SF).collect()
     lang = {r["doc_id"]: r["lang"] for r in queries.load(spark, SF, "documents").collect()}
