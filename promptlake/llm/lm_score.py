@@ -13,7 +13,7 @@ the pair) meet: they are counted there, and sums per text come back. A common pa
 words, so only pairs of such words are counted to find the common ones. Both limits route work and
 change no result.
 
-The target is a set of ids: labelled rows, at most ``max_target`` of them in hash order.
+The target is a set of ids: all rows labelled 1, joined by broadcast only if measured small.
 Null or wordless text: no words, score 0. Repeated rows count as often as they occur. With no
 target rows both models are compared with a uniform target.
 """
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from promptlake.llm.batches import chunks, is_space, lower, mix, span_hashes, text_bytes, word_spans
+from promptlake.llm.batches import broadcast_if_small, chunks, is_space, lower, mix, span_hashes, text_bytes, word_spans
 from promptlake.session import cut, width
 
 SCHEMA = "n_words long, target_entropy double, background_entropy double, score double"
@@ -64,7 +64,7 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _mark(docs: DataFrame, text: str, target: DataFrame, key: str) -> DataFrame:
     """(t, in_target) of every row."""
-    ids = F.broadcast(target.select(F.col(key).alias("k")).distinct().withColumn("in_target", F.lit(True)))
+    ids = broadcast_if_small(target.select(F.col(key).alias("k")).distinct().withColumn("in_target", F.lit(True)))
     return docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).join(ids, "k", "left").select("t", "in_target")
 
 
@@ -284,7 +284,6 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
     return joined.withColumn("score", F.col("target_entropy") - F.col("background_entropy")).drop("__h", "__t", "__b")
 
 
-def labelled_target(labels: DataFrame, key: str = "doc_id", label: str = "quality", max_target: int = 50_000) -> DataFrame:
-    """Ids of the rows labelled 1, at most ``max_target`` of them in hash order."""
-    ids = labels.filter(F.col(label) == 1).filter(F.col(key).isNotNull()).select(key).distinct()
-    return ids.orderBy(F.xxhash64(key), key).limit(max_target)
+def labelled_target(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """Ids of all rows labelled 1."""
+    return labels.filter(F.col(label) == 1).filter(F.col(key).isNotNull()).select(key).distinct()

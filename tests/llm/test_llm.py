@@ -320,6 +320,11 @@ def test_lm_score_equals_plain_counts(spark, limits):
         assert r["n_words"] == len((t or "").split()) and abs(r["target_entropy"] - ours) < 1e-6 and abs(r["background_entropy"] - all_) < 1e-6
 
 
+def test_all_labelled_rows_are_the_target(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert lm_score.labelled_target(labels.unionByName(labels.limit(5))).count() == 60_000
+
+
 def test_languages(spark):
     got = queries.op10_langid(spark, SF).collect()
     lang = {r["doc_id"]: r["lang"] for r in queries.load(spark, SF, "documents").collect()}
