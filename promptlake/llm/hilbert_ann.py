@@ -3,7 +3,8 @@
 Vectors get one coordinate more, so that the largest inner product is the nearest neighbour; several
 seeded projections to a few dimensions, each shifted, are laid along a Hilbert curve. Each ordering
 is range-partitioned into windows of like numbers of rows; a query meets the rows of its own window
-and of its neighbours, in every ordering, and the best of all are merged by their exact products.
+and of its neighbours, in every ordering, and the best of all are merged by their exact products. Where
+those hold fewer than ``k`` other rows, the run of windows is widened until it does or has them all.
 Crowded windows (many equal vectors) are dealt into parts by hash, so that a task holds at most
 ``PART`` rows and as many queries; all rows of a window are met, none is capped.
 
@@ -123,6 +124,27 @@ def _best(k: int):
     return run
 
 
+def _runs(dealt: DataFrame, curves: int, windows: int, reach: int, k: int) -> list[list[tuple[int, int]]]:
+    """First and last window that a query in each window of each ordering meets: its own and ``reach``
+    on either side, widened outwards until they hold at least ``k`` other ids, or all there are."""
+    rows = dealt.groupBy("curve", "win").agg(F.countDistinct("id").alias("n")).collect()
+    n = [[0] * windows for _ in range(curves)]
+    for r in rows:
+        n[r["curve"]][r["win"]] = r["n"]
+    ids = dealt.filter("curve = 0").agg(F.countDistinct("id")).first()[0]
+    out = []
+    for held in n:
+        need = k + 1 + sum(held) - ids  # itself, and ids that repeat in several windows
+        out.append([])
+        for w in range(windows):
+            low = max(0, min(w - reach, windows - 1 - 2 * reach))
+            high = min(low + 2 * reach, windows - 1)
+            while sum(held[low:high + 1]) < need and (low > 0 or high < windows - 1):
+                low, high = max(0, low - 1), min(windows - 1, high + 1)
+            out[-1].append((low, high))
+    return out
+
+
 def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, curves: int = 8,
            dims: int = 3, bits: int = 8, windows: int = 16, reach: int = 1, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row where ``queries`` holds."""
@@ -153,8 +175,9 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
 
     dealt = stored.select("id", "vec", F.posexplode("keys").alias("curve", "at")).withColumn("win", window(F.col("curve"), F.col("at"))).drop("at")
     meets = asked.select("id", "vec", F.posexplode("keys").alias("curve", "at")).withColumn("mid", window(F.col("curve"), F.col("at"))).drop("at")
-    low = F.greatest(F.lit(0), F.least(F.col("mid") - reach, F.lit(windows - 1 - 2 * reach)))
-    meets = meets.withColumn("win", F.explode(F.sequence(low, F.least(low + 2 * reach, F.lit(windows - 1))))).drop("mid")
+    runs = _runs(dealt, curves, windows, reach, k)
+    ends = lambda i: F.get(F.get(F.array(*[F.array(*[F.lit(run[i]) for run in of]) for of in runs]), F.col("curve")), F.col("mid"))
+    meets = meets.withColumn("win", F.explode(F.sequence(ends(0), ends(1)))).drop("mid")
 
     def parts(df: DataFrame) -> Column:
         """How many parts each window is dealt into; the table has curves x windows numbers."""

@@ -253,6 +253,18 @@ def test_neighbours(spark):
     assert hilbert_ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 6, 10, 21, 25, 40])
+def test_neighbours_in_small_tables(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+    rows += [(0, rng.normal(size=8).tolist()) for _ in range(2)]  # an id in several windows
+    found = hilbert_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    for q in range(n):
+        assert sorted(r["rank"] for r in found if r["query_id"] == q) == list(range(1, min(20, n - 1) + 1))
+        if n <= 21:
+            assert {r["vec_id"] for r in found if r["query_id"] == q} == set(range(n)) - {q}
+
+
 def test_hilbert_curve_steps_to_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = hilbert_ann.hilbert(cells, 3)
