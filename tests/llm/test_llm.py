@@ -223,6 +223,17 @@ def test_main_text(spark):
     assert html_wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><article><h1>{0}</h1><p>text of {0}</p></article></body></html>"
+    rows = [(i, f"http://copies.example/{i}", page.format("one")) for i in range(8)]
+    rows += [(10 + i, f"http://half.example/{i}", page.format("same" if i < 6 else f"other {i}")) for i in range(10)]
+    # slots only the copies fill
+    rows += [(30 + i, f"http://more.example/{i}", page.format("same").replace("</article>", "<p>only here</p></article>") if i < 6 else page.format(f"other {i}")) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "one\n\ntext of one" for i in range(8)) and all(got[i] == "same\n\ntext of same" for i in range(10, 16))
+    assert all(got[i] == "same\n\ntext of same\n\nonly here" for i in range(30, 36)) and got[39] == "other 9\n\ntext of other 9"
+
+
 def test_main_text_of_given_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op2_html(spark, SF).collect():
