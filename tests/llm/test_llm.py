@@ -234,6 +234,14 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(got[i] == "same\n\ntext of same\n\nonly here" for i in range(30, 36)) and got[39] == "other 9\n\ntext of other 9"
 
 
+def test_each_common_layout_has_its_template(spark):
+    one = "<html><body><div><p>we sell one</p><p>first {0}</p></div></body></html>"
+    two = "<html><body><table><tr><td>we sell two<td>second {0}</table></body></html>"
+    rows = [(i, f"http://host.example/{i}", (one if i < 7 else two).format(f"n{i}")) for i in range(20)] + [(20, "http://host.example/20", "<h1>not found</h1>")]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{'first' if i < 7 else 'second'} n{i}" for i in range(20)} | {20: "not found"}
+
+
 def test_main_text_of_given_pages(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in queries.op2_html(spark, SF).collect():
