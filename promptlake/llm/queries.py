@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from promptlake.llm import (
-    hilbert_ann, html_wrapper, langid_crf, lm_score, mixing, quality_repeats, secrets, sentencepiece_fst, simhash_index, toxicity_ftrl)
+    filter_audit, hilbert_ann, html_wrapper, langid_crf, lm_score, mixing, odd_sketch, quality_repeats, secrets, sentencepiece_fst, simhash_index,
+    source_divergence, toxicity_ftrl)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +81,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(load(spark, sf_dir, "documents"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_sentencepiece, op2_html, op3_lm_score, op4_ann, op5_secrets, op6_quality, op7_toxicity, op8_simhash, op9_mixing, op10_langid)}
-ORACLES: dict[str, str] = {}
+    op1_sentencepiece, op2_html, op3_lm_score, op4_ann, op5_secrets, op6_quality, op7_toxicity, op8_simhash, op9_mixing, op10_langid,
+    op11_filter_audit, op12_source_divergence, op13_minhash)}
+ORACLES: dict[str, str] = {
+    "op11_filter_audit": filter_audit.SQL, "op12_source_divergence": source_divergence.SQL, "op13_minhash": odd_sketch.SQL}
