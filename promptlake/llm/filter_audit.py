@@ -2,13 +2,13 @@
 
 Texts are cut into shards of some megabytes. Each shard numbers its own words, which become rows of
 a matrix in compressed sparse form: row borders, column numbers, counts. The words of all shards make
-one dictionary, whose numbers replace the shards' own. A row's sum is the text's number of words, its
+one dictionary: a word's number there is its place in the first shard that has it. A row's sum is the text's number of words, its
 nonzero cells are the distinct words. What else decides (letters, signs, copies) is attached to the
 rows, which become one number of five bits each; all 120 orders follow from the 32 sums
 of rows that no filter of a set rejects.
 
-A shard's word list meets the dictionary by a join, so a word comes once per shard and a common one
-by broadcast; no task holds the dictionary.
+A word comes to the dictionary once per shard, so even the commonest one is a small share of what is
+shuffled, and only words that an earlier shard owns come back to a shard.
 
 Null text counts as empty, and equals other empty texts. Null part: the part ''. A row without an id
 is no copy of another and has no labels. Repeated rows are counted each; rows with equal id and text
@@ -24,10 +24,9 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from promptlake.llm.batches import chunks, is_space, text_bytes, word_spans
-from promptlake.llm.spread import join_spread
 from promptlake.session import cut
 
 SHARD = 1 << 23
@@ -70,9 +69,10 @@ def _one(values: pa.Array) -> pa.Array:
 
 
 def csr_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
-    """One row per shard of the matrix, stored: its documents (``ids``, ``parts``, ``digests``), their
-    other measures (``upper``, ``points``, ``signs``), row borders ``indptr``, word numbers within the
-    shard ``indices``, counts ``data``, and ``columns``: the dictionary's number of each."""
+    """One row per shard of the matrix: its documents (``ids``, ``parts``, ``digests``), their other
+    measures (``upper``, ``points``, ``signs``), row borders ``indptr``, word numbers within the shard
+    ``indices`` (``n_own`` of them), counts ``data``, and ``columns``: the dictionary's number of each
+    word that an earlier shard owns."""
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
                        F.unhex(F.sha2(t, 256)).alias("digest"), t.alias("t"))
@@ -86,10 +86,21 @@ def csr_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", part: s
 
     shards = cut(rows.mapInArrow(run, _STORED).withColumn("shard", F.monotonically_increasing_id()))
     said = shards.select("shard", F.posexplode("words").alias("at", "word"))
-    dictionary = cut(said.groupBy("word").agg(F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
-    columns = join_spread(said, dictionary, ["word"]).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("c"))
-    named = columns.select("shard", F.col("c.id").alias("columns"))
-    return cut(shards.drop("words").join(named, "shard", "left").withColumn("columns", F.coalesce("columns", F.array().cast("array<long>"))))
+    first = F.min(F.struct("shard", "at")).over(Window.partitionBy("word"))
+    taken = said.select("shard", "at", first.alias("first")).filter("first.shard <> shard")
+    columns = taken.groupBy("shard").agg(F.collect_list(F.struct("at", F.col("first.shard").alias("owner"), F.col("first.at").alias("number"))).alias("columns"))
+    n_words = shards.withColumn("n_own", F.size("words")).drop("words")
+    return n_words.join(columns, "shard", "left").withColumn("columns", F.coalesce("columns", F.array().cast(columns.schema["columns"].dataType)))
+
+
+def _columns(shard: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionary's numbers of a shard's words: the shard that owns each, and its number there."""
+    n = shard["n_own"][0].as_py()
+    owner, number = np.full(n, shard["shard"][0].as_py(), np.int64), np.arange(n)
+    given = shard["columns"].flatten()
+    at, *taken = (np.asarray(given.field(c), np.int64) for c in ("at", "owner", "number"))
+    owner[at], number[at] = taken
+    return owner, number
 
 
 def measures(shards: DataFrame) -> DataFrame:
@@ -99,20 +110,18 @@ def measures(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 shard = batch.slice(i, 1)
-                own = {n: shard[n].flatten() for n in shard.schema.names}
+                owner, number = _columns(shard)
+                order = np.lexsort((number, owner))
+                if ((np.diff(owner[order]) == 0) & (np.diff(number[order]) == 0)).any():
+                    raise ValueError("two words of a shard have one column")
+                own = {n: shard[n].flatten() for n in ("ids", "parts", "digests", "upper", "points", "signs", "indptr", "data")}
                 border = np.asarray(own["indptr"], np.int64)
-                column = np.asarray(own["columns"], np.int64)[np.asarray(own["indices"], np.int64)]
-                row = np.repeat(np.arange(len(border) - 1), np.diff(border))
                 total = np.concatenate([[0], np.cumsum(np.asarray(own["data"], np.int64))])
-                order = np.lexsort((column, row))
-                new = np.ones(len(order), np.int64)
-                new[1:] = (column[order][1:] != column[order][:-1]) | (row[order][1:] != row[order][:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [own["ids"], own["parts"], own["digests"], pa.array(np.diff(total[border])),
-                     pa.array(np.bincount(row[order], new, len(border) - 1).astype(np.int64)), own["upper"], own["points"], own["signs"]],
+                    [own["ids"], own["parts"], own["digests"], pa.array(np.diff(total[border])), pa.array(np.diff(border)), own["upper"], own["points"], own["signs"]],
                     ["id", "part", "digest", "n_words", "n_distinct", "upper", "points", "signs"])
 
-    return shards.select("ids", "parts", "digests", "upper", "points", "signs", "indptr", "indices", "data", "columns").mapInArrow(
+    return shards.select("shard", "ids", "parts", "digests", "upper", "points", "signs", "indptr", "data", "n_own", "columns").mapInArrow(
         run, "id long, part string, digest binary, n_words long, n_distinct long, upper long, points long, signs boolean")
 
 

@@ -71,7 +71,8 @@ def test_matrix_columns_are_those_of_one_dictionary(spark):
     rows = [(i, f"w{i % 3} w{i % 5} x", "en", "s") for i in range(40)]
     shards = filter_audit.csr_shards(table(spark, rows).repartition(4)).collect()
     assert len(shards) > 1
-    assert len({c for s in shards for c in s["columns"]}) == 6
+    owned = {s["shard"]: {i: (s["shard"], i) for i in range(s["n_own"])} | {c["at"]: (c["owner"], c["number"]) for c in s["columns"]} for s in shards}
+    assert len({c for own in owned.values() for c in own.values()}) == 6
     assert sum(sum(s["data"]) for s in shards) == 120
 
 
