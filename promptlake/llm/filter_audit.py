@@ -1,6 +1,6 @@
 """Filter interaction audit over a sparse document-term matrix.
 
-Texts are cut into shards of some megabytes. Each shard numbers its own words, which become rows of
+Texts are gathered into shards of some megabytes. Each shard numbers its own words, which become rows of
 a matrix in compressed sparse form: row borders, column numbers, counts. The words of all shards make
 one dictionary: a word's number there is its place in the first shard that has it. A row's sum is the text's number of words, its
 nonzero cells are the distinct words. What else decides (letters, signs, copies) is attached to the
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from promptlake.llm.batches import chunks, is_space, text_bytes, word_spans
 from promptlake.session import cut
 
-SHARD = 1 << 23
+CHUNK, SHARD = 1 << 22, 1 << 25  # bytes of text
 FILTERS = "ABCDE"
 SIGNS = b"#$%&*|"
 _STORED = ("ids array<long>, parts array<string>, digests array<binary>, upper array<long>, points array<long>, signs array<boolean>, "
@@ -48,7 +48,8 @@ def as_strings(words: pa.Array) -> pa.Array:
     return words.cast(pa.large_binary()).view(pa.large_string()).cast(pa.string())
 
 
-def _csr(texts: pa.Array) -> dict[str, pa.Array]:
+def _csr(texts: pa.Array) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """Matrix rows of some texts and the list of their distinct words."""
     buf, offsets = text_bytes(texts)
     gap = is_space(buf)
     starts, ends, text_of = word_spans(gap, offsets)
@@ -57,15 +58,36 @@ def _csr(texts: pa.Array) -> dict[str, pa.Array]:
     cells, counts = np.unique(text_of * size + np.asarray(coded.indices, np.int64), return_counts=True)
     sums = lambda hit: np.diff(np.concatenate([[0], np.cumsum(hit)])[offsets])
     return {
-        "upper": pa.array(sums((buf >= 65) & (buf <= 90))), "points": pa.array(sums((buf & 0xC0) != 0x80)),
-        "signs": pa.array(sums(np.isin(buf, np.frombuffer(SIGNS, np.uint8))) > 0),
-        "indptr": pa.array(np.searchsorted(cells // size, np.arange(len(texts) + 1))),
-        "indices": pa.array((cells % size).astype(np.int32)), "data": pa.array(counts.astype(np.int32)),
-        "words": as_strings(coded.dictionary)}
+        "upper": sums((buf >= 65) & (buf <= 90)), "points": sums((buf & 0xC0) != 0x80), "signs": sums(np.isin(buf, np.frombuffer(SIGNS, np.uint8))) > 0,
+        "cells": np.bincount(cells // size, minlength=len(texts)), "indices": cells % size, "data": counts.astype(np.int32)}, coded.dictionary
+
+
+class _Shard:
+    """A shard in the making: its rows chunk by chunk, over one growing list of words."""
+
+    def __init__(self):
+        self.parts: list[dict] = []
+        self.words = pa.array([], pa.large_binary())
+        self.size = 0
+
+    def add(self, rows: pa.RecordBatch, size: int) -> None:
+        found, words = _csr(rows["t"])
+        both = pa.concat_arrays([self.words, words.cast(pa.large_binary())]).dictionary_encode()
+        number = np.asarray(both.indices, np.int32)[len(self.words):]
+        self.words = both.dictionary
+        self.parts.append({"ids": rows["id"], "parts": rows["part"], "digests": rows["digest"], **found, "indices": number[found["indices"]]})
+        self.size += size
+
+    def row(self) -> pa.RecordBatch:
+        joined = {n: pa.concat_arrays([p[n] for p in self.parts]) for n in ("ids", "parts", "digests")}
+        joined |= {n: pa.array(np.concatenate([p[n] for p in self.parts])) for n in ("upper", "points", "signs")}
+        border = np.concatenate([[0], np.cumsum(np.concatenate([p["cells"] for p in self.parts]))])
+        joined |= {"indptr": pa.array(border), **{n: pa.array(np.concatenate([p[n] for p in self.parts])) for n in ("indices", "data")}, "words": as_strings(self.words)}
+        return pa.RecordBatch.from_arrays([_one(c) for c in joined.values()], list(joined))
 
 
 def _one(values: pa.Array) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def csr_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
@@ -77,12 +99,18 @@ def csr_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", part: s
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"),
                        F.unhex(F.sha2(t, 256)).alias("digest"), t.alias("t"))
 
+    chunk, most = CHUNK, SHARD
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard()
         for batch in batches:
-            for lo, hi in chunks(batch["t"], SHARD):
-                own = batch.slice(lo, hi - lo)
-                columns = {"ids": own["id"], "parts": own["part"], "digests": own["digest"], **_csr(own["t"])}
-                yield pa.RecordBatch.from_arrays([_one(c) for c in columns.values()], list(columns))
+            for lo, hi in chunks(batch["t"], chunk):
+                shard.add(own := batch.slice(lo, hi - lo), own["t"].nbytes)
+                if shard.size >= most:
+                    yield shard.row()
+                    shard = _Shard()
+        if shard.parts:
+            yield shard.row()
 
     shards = cut(rows.mapInArrow(run, _STORED).withColumn("shard", F.monotonically_increasing_id()))
     said = shards.select("shard", F.posexplode("words").alias("at", "word"))

@@ -267,6 +267,7 @@ def links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``classes``: (node, n, bands, sketch words), ``sets``: (node, elements)."""
     spark = classes.sparkSession
     flips = most_flips(percent / 100)
+    classes = cut(classes)
     listed = classes.select(F.explode("bands").alias("bucket"), "node")
     crowded = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
     members = cut(join_spread(listed, cut(crowded.withColumn("size", F.col("n"))), ["bucket"]))
@@ -313,8 +314,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     full = marked.filter("n_shingles > 0")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min("row").alias("node"))
     classes = cut(classes)
-    chosen = full.drop("key").withColumnRenamed("row", "node").withColumnRenamed("n_shingles", "n").join(classes.select("node"), "node", "left_semi")
-    pieces = components(links(chosen.select("node", "n", "bands", *_WORDS), chosen.select("node", "elements"), percent))
+    # the sets stay where they are stored; only those of candidates are moved
+    chosen = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "bands", *_WORDS).join(classes.select("node"), "node", "left_semi")
+    pieces = components(links(chosen, full.select(F.col("row").alias("node"), "elements"), percent))
     rooted = cut(classes.join(pieces, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     named = cut(join_spread(rooted, ids, ["root"]).select("d1", "d2", "n_shingles", "copies", "component_id"))

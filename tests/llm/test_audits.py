@@ -57,6 +57,7 @@ def plain_audit(rows, labels):
 
 
 def test_filter_audit_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(filter_audit, "CHUNK", 500)
     monkeypatch.setattr(filter_audit, "SHARD", 2000)
     rows = odd_rows()
     labels = {0: (1, 0), 9: (0, 1), 41: (1, 1), 45: (1, 0), 10: (None, 1)}
