@@ -113,6 +113,13 @@ def _(s, d):
     return quota.quota_gate(m, 5000).select("request_id", "admitted", "used_before", "status", "remaining")
 
 
+def chunks(s, d):
+    """The lines of every document, as chunks of an answer. The limit is found before the lines are
+    taken apart: after that it would be worked out from the whole text for each line."""
+    limited = load(s, d, "documents").select(F.col("doc_id").alias("response_id"), "text", predict_output_tokens("text").alias("predicted_max"))
+    return limited.select("response_id", "predicted_max", F.posexplode(F.split("text", "\n")).alias("seq", "delta"))
+
+
 @query("truncate_stream", f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS delta,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq, CAST(floor(1.5 * {sql_class('text', 1)}) AS BIGINT) AS most FROM documents),
   c AS (SELECT *, sum(strlen(delta)) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM p WHERE delta <> ''),
@@ -120,10 +127,7 @@ def _(s, d):
   SELECT doc_id AS response_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = cut THEN delta || '[TRUNCATED]' ELSE delta END AS delta,
     CAST(tokens AS BIGINT) AS tokens_so_far, coalesce(seq = cut, false) AS truncated FROM t WHERE cut IS NULL OR seq <= cut""")
 def _(s, d):
-    c = load(s, d, "documents").select(
-        F.col("doc_id").alias("response_id"), F.posexplode(F.split("text", "\n")).alias("seq", "delta"),
-        predict_output_tokens("text").alias("predicted_max"))
-    return truncate.truncate_stream(c).drop("predicted_max")
+    return truncate.truncate_stream(chunks(s, d)).drop("predicted_max")
 
 
 # --- vector tier ------------------------------------------------------------------------

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from promptlake.catalog.base import WITH_SERVED, events, load, request_log, served_log, us
-from promptlake.catalog.caching import ORACLES as BATCH_SQL, _LONG, _semantic_log
+from promptlake.catalog.base import WITH_SERVED, events, request_log, served_log, us
+from promptlake.catalog.caching import ORACLES as BATCH_SQL, _LONG, _semantic_log, chunks
 from promptlake.catalog.metrics import _AVG, _calls
-from promptlake.functions.text import predict_output_tokens
 from promptlake.operators import exact_cache as X, queue as Q
 from promptlake.session import new_run_dir
 from promptlake.streaming import batches, ordered, windows
@@ -85,19 +84,18 @@ def _(s, d):
 
 @query("stream_truncate", BATCH_SQL["truncate_stream"])
 def _(s, d):
-    c = load(s, d, "documents").select(
-        F.col("doc_id").alias("response_id"), F.posexplode(F.split("text", "\n")).alias("seq", "delta"),
-        predict_output_tokens("text").alias("predicted_max")).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
-    # the first lines of every response come first
-    slice_ = F.when(F.col("seq") < 2, 0).when(F.col("seq") < 5, 1).otherwise(2)
+    c = chunks(s, d).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
+    # the first lines of every response come first, but neighbours change places across slices
+    place = F.col("seq").bitwiseXOR(F.lit(1))
+    slice_ = F.when(place < 3, 0).when(place < 6, 1).otherwise(2)
     return _run(s, c, slice_, ordered.stream_truncate, heartbeat=False)
 
 
-@query("stream_queue_avg", f"""WITH {_AVG.replace('5000000', '60000000')} SELECT pod, g // 1440 AS day, count(*) AS samples, max(avg_1m) AS max_1m,
+@query("stream_queue_avg", f"""WITH {_AVG} SELECT pod, g // 17280 AS day, count(*) AS samples, max(avg_1m) AS max_1m,
     max(avg_5m) AS max_5m, round(sum(avg_1m), 3) AS sum_1m, round(sum(avg_5m), 3) AS sum_5m FROM av GROUP BY 1, 2""")
 def _(s, d):
-    """A sample per minute goes through the stream; printed per pod and day."""
-    q = Q.queue_depth(_calls(s, d), step_s=60).select("pod", "ts", "depth")
+    """Every sample of the five-second grid goes through the stream; printed per pod and day."""
+    q = Q.queue_depth(_calls(s, d)).select("pod", "ts", "depth")
     beat = F.coalesce("depth", F.lit(0)).alias("depth")
     out = _run(s, q, _month_slice(), lambda x: ordered.stream_queue_avg(x.select("pod", "ts", beat))).filter("pod <> 'heartbeat'")
     return out.groupBy("pod", F.expr("unix_micros(ts) div 86400000000").alias("day")).agg(

@@ -14,18 +14,20 @@ def truncate_stream(chunks: DataFrame, factor: float = 1.5) -> DataFrame:
     """Chunks (response_id, seq, delta, predicted_max) up to the first one at which the
     tokens so far pass the limit; that one carries the mark. Empty deltas do not count.
 
-    Byte lengths add up under concatenation, so a prefix sum of lengths gives the tokens.
+    Byte lengths add up under concatenation, so a prefix sum of lengths gives the tokens. The sum
+    only grows: a chunk is kept if those before it were within the limit, and marked if it is not.
+    Without a limit nothing is cut.
     """
+    size = F.octet_length("delta").cast("bigint")
     d = running_sum(
-        chunks.filter(F.coalesce(F.octet_length("delta"), F.lit(0)) > 0),
-        F.octet_length("delta").cast("bigint"), ["response_id"], ["seq"],
+        chunks.filter(F.coalesce(F.octet_length("delta"), F.lit(0)) > 0), size, ["response_id"], ["seq"],
         F.floor(F.col("seq") / 4096).cast("bigint"), "bytes_so_far")
-    tokens = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("bytes_so_far") / 4).cast("bigint"))
-    d = d.withColumn("tokens_so_far", tokens).withColumn("_over", tokens > token_limit("predicted_max", factor))
-    first = d.filter("_over").groupBy("response_id").agg(F.min("seq").alias("_cut"))
+    tokens = lambda n: F.greatest(F.lit(1).cast("bigint"), F.floor(n / 4).cast("bigint"))
+    limit = token_limit("predicted_max", factor)
+    before = F.col("bytes_so_far") - size
+    kept = d.filter(F.coalesce((before == 0) | (tokens(before) <= limit), F.lit(True)))
+    over = F.coalesce(tokens(F.col("bytes_so_far")) > limit, F.lit(False))
     return (
-        d.join(first, "response_id", "left")
-        .filter(F.col("_cut").isNull() | (F.col("seq") <= F.col("_cut")))
-        .withColumn("truncated", F.coalesce(F.col("seq") == F.col("_cut"), F.lit(False)))
+        kept.withColumn("tokens_so_far", tokens(F.col("bytes_so_far"))).withColumn("truncated", over)
         .withColumn("delta", F.when(F.col("truncated"), F.concat("delta", F.lit(MARK))).otherwise(F.col("delta")))
-        .drop("_over", "_cut", "bytes_so_far"))
+        .drop("bytes_so_far"))

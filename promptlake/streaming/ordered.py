@@ -1,16 +1,21 @@
 """Keyed streaming operators that must see each key's rows in time order.
 
 Rows wait in keyed state until the watermark passes them and are then replayed in order, so
-that stream and batch agree. State holds the rows inside the watermark delay and one small
-value per key; timers free the value when it can no longer matter.
+that stream and batch agree. Waiting rows lie in a map by time bucket: a batch adds parts to the
+buckets of its own rows without reading them, and a timer reads only the buckets that the watermark
+has reached. Besides those, state holds one small value per key; timers free it when it can no
+longer matter.
 """
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from promptlake.operators.truncate import MARK
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,14 +31,18 @@ class InOrder(StatefulProcessor):
     what one row does."""
 
     state_schema = ""
-    row_schema = ""
-    columns: tuple = ()  # of row_schema; starts with us, rid
+    row_schema = ""  # starts with us, rid
+    bucket_us = 3_600_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = [f.split() for f in self.row_schema.split(", ")]  # no session here to parse it
+        self.columns = [name for name, _ in fields]
+        lists = ", ".join(f"{name} array<{kind}>" for name, kind in fields)
         self.handle = handle
-        self.rows = handle.getListState("rows", self.row_schema)
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", lists)
         self.value = handle.getValueState("value", self.state_schema)
-        self.alarm = handle.getValueState("alarm", "ms bigint")
+        # the set timer, and the open buckets in order with their numbers of parts
+        self.clock = handle.getValueState("clock", "alarm bigint, buckets array<bigint>, parts array<bigint>")
 
     def step(self, value, row):
         """(new value, output row)"""
@@ -45,61 +54,90 @@ class InOrder(StatefulProcessor):
     def output(self, key, found) -> pd.DataFrame:
         raise NotImplementedError
 
-    def _set_alarm(self, ms: int) -> None:
-        if self.alarm.exists():
-            now = self.alarm.get()[0]
-            if now == ms:
-                return
-            self.handle.deleteTimer(now)
-        self.handle.registerTimer(ms)
-        self.alarm.update((ms,))
+    def _read_clock(self) -> tuple[int | None, dict[int, int]]:
+        if not self.clock.exists():
+            return None, {}
+        alarm, buckets, parts = self.clock.get()
+        return alarm, dict(zip(buckets, parts))
+
+    def _write_clock(self, alarm: int | None, parts: dict[int, int]) -> None:
+        if alarm is None:
+            self.clock.clear()
+        else:
+            order = sorted(parts)
+            self.clock.update((alarm, order, [parts[b] for b in order]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        alarm, parts = self._read_clock()
+        first = alarm
         for pdf in rows:
-            part = [tuple(r) for r in pdf[list(self.columns)].itertuples(index=False)]
-            if part:
-                self.rows.appendList(part)
-                low = min(r[0] for r in part) // 1000
-                first = low if first is None else min(first, low)
-        if first is not None:
-            # a set alarm stands for earlier rows, or for the end of the value's life
-            self._set_alarm(min(first, self.alarm.get()[0]) if self.alarm.exists() else first)
+            if not len(pdf):
+                continue
+            # a timer is due when the watermark, in whole milliseconds, has reached the row
+            low = -(-int(pdf["us"].min()) // 1000)
+            first = low if first is None else min(first, low)
+            for bucket, part in pdf.groupby(pdf["us"] // self.bucket_us):
+                n = parts.get(bucket := int(bucket), 0)
+                self.waiting.updateValue((bucket, n), tuple(_plain(part[c]) for c in self.columns))
+                parts[bucket] = n + 1
+        if first != alarm:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm)
+            self.handle.registerTimer(first)
+        self._write_clock(first, parts)
         return iter([])
 
+    def _take(self, bucket: int, n_parts: int) -> list[tuple]:
+        """The rows of a bucket in order; the bucket is gone then."""
+        rows: list[tuple] = []
+        for i in range(n_parts):
+            rows += zip(*self.waiting.getValue((bucket, i)))
+            self.waiting.removeKey((bucket, i))
+        return sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        self.alarm.clear()
-        waiting = sorted(self.rows.get())
-        due = [r for r in waiting if r[0] // 1000 < mark]
-        later = waiting[len(due):]
-        if due:
-            self.rows.clear()
-            if later:
-                self.rows.put(later)
+        _, parts = self._read_clock()
         value = tuple(self.value.get()) if self.value.exists() else None
-        found = []
-        for r in due:
-            value, out = self.step(value, r)
-            found.append(out)
+        alarm = None
+        for bucket in sorted(parts):
+            if bucket * self.bucket_us > mark * 1000:
+                alarm = -(-bucket * self.bucket_us // 1000)
+                break
+            rows = self._take(bucket, parts.pop(bucket))
+            n = bisect_right(rows, mark * 1000, key=lambda r: r[0])
+            found = []
+            for r in rows[:n]:
+                value, out = self.step(value, r)
+                found.append(out)
+            if found:
+                yield self.output(key, found)
+            if n < len(rows):
+                self.waiting.updateValue((bucket, 0), tuple(list(c) for c in zip(*rows[n:])))
+                parts[bucket] = 1
+                alarm = -(-rows[n][0] // 1000)
+                break
         if value is not None:
-            if not later and self.keep_until_ms(value) < mark:
+            end = self.keep_until_ms(value)
+            if alarm is None and end <= mark:
                 self.value.clear()
-                value = None
-            elif due:
+            else:
                 self.value.update(value)
-        if later:
-            self._set_alarm(later[0][0] // 1000)
-        elif value is not None:
-            self._set_alarm(self.keep_until_ms(value))
-        if found:
-            yield self.output(key, found)
+                alarm = end if alarm is None else alarm
+        # always later than the watermark, so it is never the timer that is being handled
+        if alarm is not None:
+            self.handle.registerTimer(alarm)
+        self._write_clock(alarm, parts)
+
+
+def _plain(column: pd.Series) -> list:
+    """Python values, missing ones as None."""
+    return [None if x is None or x != x else x for x in column.tolist()]
 
 
 class ExactTier(InOrder):
     state_schema = "anchor bigint"
     row_schema = "us bigint, rid string"
-    columns = ("us", "rid")
 
     def __init__(self, ttl_s: int):
         self.ttl_us = ttl_s * 1_000_000
@@ -130,7 +168,6 @@ def stream_l1(requests: DataFrame, ttl_s: int = 86400, delay: str = "1 hour") ->
 class MonthlyQuota(InOrder):
     state_schema = "used bigint, end_ms bigint"
     row_schema = "us bigint, rid string, tokens bigint, end_ms bigint"
-    columns = ("us", "rid", "tokens", "end_ms")
 
     def __init__(self, quota: int):
         self.quota = quota
@@ -168,7 +205,6 @@ class RecentMeans(InOrder):
 
     state_schema = "depths array<bigint>, us bigint"
     row_schema = "us bigint, rid string, depth bigint"
-    columns = ("us", "rid", "depth")
 
     def __init__(self, short: int, long: int, idle_ms: int):
         self.short, self.long, self.idle_ms = short, long, idle_ms
@@ -202,47 +238,75 @@ def stream_queue_avg(samples: DataFrame, short: int = 12, long: int = 60, delay:
 
 
 class Truncation(StatefulProcessor):
-    """Bytes so far per response. Chunks of a response arrive in order; within a batch they are
-    sorted by ``seq``. A response that stays idle on the event clock is forgotten."""
+    """Bytes so far per response. Chunks are numbered from 0; one that comes before its predecessors,
+    also in an earlier batch, waits for them in state. A response that stays idle on the event clock
+    is closed: what still waits is given out in order over the gaps, and the response is forgotten."""
 
     def __init__(self, factor: float, idle_ms: int):
         self.factor, self.idle_ms = factor, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sofar = handle.getValueState("sofar", "bytes bigint, cut boolean, alarm bigint")
+        self.sofar = handle.getValueState("sofar", "next bigint, bytes bigint, cut boolean, alarm bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "delta string, most bigint")
+
+    def _chunk(self, state, seq, delta, most, found):
+        """State after one more chunk in order; what it gives goes to ``found``."""
+        total, cut = state
+        if cut or not delta:
+            return state
+        total += len(delta.encode("utf-8"))
+        tokens = max(1, total // 4)
+        cut = most is not None and tokens > most
+        found.append((seq, delta + MARK if cut else delta, tokens, cut))
+        return total, cut
+
+    def _frame(self, key, found):
+        return pd.DataFrame(found, columns=["seq", "delta", "tokens_so_far", "truncated"]).assign(response_id=key[0])
 
     def handleInputRows(self, key, rows, timerValues):
-        total, cut, alarm = tuple(self.sofar.get()) if self.sofar.exists() else (0, False, None)
-        chunks = pd.concat(list(rows)).sort_values("seq")
-        found = []
-        for r in chunks.itertuples(index=False):
-            if cut:
+        due, total, cut, alarm = tuple(self.sofar.get()) if self.sofar.exists() else (0, 0, False, None)
+        state, found, until = (total, cut), [], alarm
+        chunks = pd.concat(list(rows))
+        limits = [None if m is None or m != m else int(m * self.factor) for m in chunks["predicted_max"].tolist()]
+        now = {seq: (delta, most) for seq, delta, most in zip(map(int, chunks["seq"]), chunks["delta"], limits) if seq >= due}
+        while True:
+            if due in now:
+                delta, most = now.pop(due)
+            elif self.waiting.containsKey((due,)):
+                delta, most = self.waiting.getValue((due,))
+                self.waiting.removeKey((due,))
+            else:
                 break
-            if not r.delta:
-                continue
-            total += len(r.delta.encode("utf-8"))
-            tokens = max(1, total // 4)
-            cut = tokens > int(r.predicted_max * self.factor)
-            found.append((r.seq, r.delta + "[TRUNCATED]" if cut else r.delta, tokens, cut))
-        until = int(chunks["us"].max()) // 1000 + self.idle_ms
-        if alarm is None or until > alarm:
+            state = self._chunk(state, due, delta, most, found)
+            due += 1
+        if not state[1]:
+            for seq, chunk in now.items():
+                self.waiting.updateValue((seq,), chunk)
+        until = max(int(chunks["us"].max()) // 1000 + self.idle_ms, alarm or 0)
+        if until != alarm:
             if alarm is not None:
                 self.handle.deleteTimer(alarm)
             self.handle.registerTimer(until)
-            alarm = until
-        self.sofar.update((total, cut, alarm))
+        self.sofar.update((due, *state, until))
         if found:
-            yield pd.DataFrame(found, columns=["seq", "delta", "tokens_so_far", "truncated"]).assign(response_id=key[0])
+            yield self._frame(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, total, cut, _ = self.sofar.get()
+        state, found = (total, cut), []
+        for (seq,), (delta, most) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+            state = self._chunk(state, seq, delta, most, found)
+        self.waiting.clear()
         self.sofar.clear()
-        return iter([])
+        if found:
+            yield self._frame(key, found)
 
 
 def stream_truncate(chunks: DataFrame, factor: float = 1.5, idle_ms: int = 3_600_000,
                     delay: str = "10 minutes") -> DataFrame:
-    """Streaming :func:`truncate_stream` over (response_id, seq, ts, delta, predicted_max)."""
+    """Streaming :func:`truncate_stream` over (response_id, seq, ts, delta, predicted_max), chunks
+    numbered from 0 in each response."""
     use_rocksdb(chunks.sparkSession)
     id_type = chunks.schema["response_id"].dataType.simpleString()
     d = chunks.withWatermark("ts", delay).select(
