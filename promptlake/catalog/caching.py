@@ -298,11 +298,32 @@ def _semantic_log(s, d):
 _LONG = Config(threshold=0.3, max_chars=2**31 - 1)
 
 
-@query("semantic_absorb")
+# One request after the other, in order of time: ``stored`` holds for each one before whether it was stored.
+_ABSORB = f"""{WITH_SERVED}, {_CHECKED},
+  likeness AS (SELECT a.vec_id AS x, b.vec_id AS y, {_SIM} AS similarity FROM embeddings a JOIN embeddings b ON {_SIM} >= 0.3),
+  fit AS (SELECT l.*, (q.lang = '' OR e.lang = '' OR q.lang = e.lang) AND (len(q.qn) = 0 OR q.qn = e.en) AND (len(q.qt) = 0 OR q.qt = e.et) AS ok
+    FROM likeness l JOIN g q ON q.id = CAST(l.x AS VARCHAR) JOIN g e ON e.id = CAST(l.y AS VARCHAR)),
+  log AS (SELECT r.request_id, r.ts, r.doc_id, row_number() OVER (ORDER BY r.ts, r.request_id) AS n
+    FROM req r JOIN served s USING (request_id) JOIN embeddings v ON v.vec_id = r.doc_id WHERE NOT s.l1_hit),
+  near AS (SELECT q.n, list({{'m': e.n, 'ok': f.ok}} ORDER BY f.similarity DESC, e.n) AS near FROM log q
+    JOIN log e ON e.n < q.n AND q.ts < e.ts + INTERVAL 1 DAY JOIN fit f ON f.x = q.doc_id AND f.y = e.doc_id GROUP BY q.n),
+  turn AS (SELECT n, coalesce(near, []) AS near FROM log LEFT JOIN near USING (n)),
+  walk(k, n, stored, hit) USING KEY (k) AS (SELECT 1, 0::BIGINT, []::BOOLEAN[], []::BIGINT[]
+    UNION SELECT k, n, list_append(stored, h IS NULL), list_append(hit, h) FROM (SELECT w.k, t.n, w.stored, w.hit,
+      list_filter(list_filter(t.near, lambda c: w.stored[c.m])[1:3], lambda c: c.ok)[1].m AS h FROM walk w JOIN turn t ON t.n = w.n + 1)),
+  done AS (SELECT unnest(range(1, n + 1)) AS n, unnest(stored) AS stored, unnest(hit) AS hit FROM walk),
+  outcome AS (SELECT s.request_id, coalesce(d.hit IS NOT NULL, false) AS l2_hit, e.request_id AS entry_id, round(f.similarity, 4) AS similarity,
+    coalesce(d.stored, false) AS stored FROM served s LEFT JOIN log l USING (request_id) LEFT JOIN done d USING (n)
+    LEFT JOIN log e ON e.n = d.hit LEFT JOIN fit f ON f.x = l.doc_id AND f.y = e.doc_id WHERE NOT s.l1_hit)
+  SELECT request_id, l2_hit, entry_id, similarity, stored FROM outcome"""
+
+
+@query("semantic_absorb", _ABSORB)
 def _(s, d):
     r = _semantic_log(s, d)
     first = X.l1_attribute(r.select("request_id", "ts", "cache_key")).filter(~F.col("l1_hit")).select("request_id")
-    return semantic_absorb(r.join(first, "request_id", "left_semi"), _LONG.threshold, max_chars=_LONG.max_chars)
+    found = semantic_absorb(r.join(first, "request_id", "left_semi"), _LONG.threshold, max_chars=_LONG.max_chars)
+    return found.select("request_id", "l2_hit", "entry_id", F.round("similarity", 4).alias("similarity"), "stored")
 
 
 @query("attribute_tiers")

@@ -123,7 +123,7 @@ def _(s, d):
     return out.select("cache_key")
 
 
-@query("stream_l2")
+@query("stream_l2", BATCH_SQL["semantic_absorb"])
 def _(s, d):
     r = _semantic_log(s, d)
     first = X.l1_attribute(r.select("request_id", "ts", "cache_key")).filter(~F.col("l1_hit")).select("request_id")
@@ -132,7 +132,8 @@ def _(s, d):
     for _ in _slices(s, log, _month_slice(), f"{run}/in"):
         src = s.readStream.schema(log.schema).parquet(f"{run}/in")
         batches.stream_l2(src, f"{run}/store", f"{run}/out", f"{run}/state", _LONG).awaitTermination()
-    return s.read.parquet(f"{run}/out").drop("batch_id")
+    found = s.read.parquet(f"{run}/out")
+    return found.select("request_id", "l2_hit", "entry_id", F.round("similarity", 4).alias("similarity"), "stored")
 
 
 @query("split_late", """WITH a AS (SELECT event_id, CAST(least(2, event_id * 3 // (SELECT count(*) FROM events)) AS INTEGER) AS b,
