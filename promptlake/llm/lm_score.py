@@ -6,16 +6,20 @@ words of log p_background - log p_target, the target cross entropy less the back
 lower, the more like the target. Words and pairs are known by 62-bit hashes; their counts cover
 every text and grow with the corpus.
 
-Counts are summed inside each task before any shuffle. The commonest words and pairs, at most
-``most_words`` and ``most_pairs`` of them, are broadcast with their exact counts. What is left of a
-text goes by one shuffle to where all occurrences of the word (or, if the word is a common one, of
-the pair) meet: they are counted there, and sums per text come back. A common pair has two common
-words, so only pairs of such words are counted to find the common ones. Both limits route work and
-change no result.
+Counts are summed inside each task before any shuffle. Common words and pairs, at most
+``most_words`` and ``most_pairs`` of them, are broadcast with their exact counts over all texts;
+which pairs are common is told from a random sample of about ``SAMPLE`` words. Every other
+occurrence becomes a row (key, text hash), one for each text: the key is the word or, if the word
+is a common one, the pair. Rows of a key meet in one shuffle and are counted there by windows, and
+their losses are summed per text; so rows grow in step with the corpus, and no process holds a
+group. A key that is left out of the broadcast has a small share of the rows. Limits and sample
+route work and change no result.
 
 The target is a set of ids: all rows labelled 1, joined by broadcast only if measured small.
 Null or wordless text: no words, score 0. Repeated rows count as often as they occur. With no
-target rows both models are compared with a uniform target.
+target rows both models are compared with a uniform target. A very long text is cut nowhere. An
+empty table gives an empty result. Columns of the input named as those of SCHEMA are replaced, all
+others are kept as they are.
 """
 
 from __future__ import annotations
@@ -24,18 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from promptlake.llm.batches import broadcast_if_small, chunks, is_space, lower, mix, span_hashes, text_bytes, word_spans
-from promptlake.session import cut, width
+from promptlake.llm.spread import join_spread
+from promptlake.session import cut
 
 SCHEMA = "n_words long, target_entropy double, background_entropy double, score double"
 BITS = 62
 HELD = 1 << 20
-OCCURRENCES = 2_000_000
+SAMPLE = 20_000_000
 UNIT = float(1 << 28)  # losses are summed as whole numbers, so that no order of adding shows
 _R = np.uint64(0x9E3779B97F4A7C15)
-_FOLLOWED = np.uint64(1 << 63)
+_START = np.uint64(1 << BITS)
 
 
 def _words(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +134,41 @@ def _whole(loss: np.ndarray) -> np.ndarray:
     return np.rint(loss * UNIT).astype(np.int64)
 
 
+def _exact(marked: DataFrame, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs ``known``, in order, with their counts over all texts: sums of a task are as many
+    as there are known pairs, however long its input."""
+    pairs = marked.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, n_target = np.zeros((2, len(pairs.value)), np.int64)
+        for batch in batches:
+            for lo, hi in chunks(batch["t"]):
+                part = batch.slice(lo, hi - lo)
+                word, before, text_of = _words(part["t"])
+                at = _find(pairs.value, _pair(before, word))
+                at[before == _START] = -1
+                mine = part["in_target"].is_valid().to_numpy(zero_copy_only=False)[text_of]
+                n += np.bincount(at[at >= 0], minlength=len(n))
+                n_target += np.bincount(at[(at >= 0) & mine], minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, n[some], n_target[some])], ["at", "n", "n_target"])
+
+    if not len(known):
+        return known, np.zeros(0), np.zeros(0)
+    found = marked.mapInArrow(run, "at long, n long, n_target long").groupBy("at").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
+    counts = np.zeros((2, len(known)))  # the sample drew each pair from the texts, so each has a row
+    counts[:, np.asarray(found["at"], np.int64)] = np.asarray(found["n"], np.float64), np.asarray(found["n_target"], np.float64)
+    return known, *counts
+
+
+def _total(c: str):
+    """Sum of whole numbers, in two halves that do not overflow for any number of copies."""
+    low = F.col(c).bitwiseAND(F.lit((1 << 24) - 1))
+    return F.sum(F.shiftright(c, 24)).cast("double") * float(1 << 24) + F.sum(low).cast("double")
+
+
 def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", strength: float = 8.0,
-               most_words: int = 1 << 16, most_pairs: int = 1 << 18) -> DataFrame:
+               most_words: int = 1 << 16, most_pairs: int = 1 << 19) -> DataFrame:
     """``docs`` with the columns of SCHEMA; ``target``: the ids of the target sample."""
     spark = docs.sparkSession
     marked = _mark(docs, text, target, key)
@@ -151,8 +189,8 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
         both = (_find(words.value[0], word) >= 0) & (_find(words.value[0], before) >= 0)
         return _pair(before[both], word[both]), text_of[both]
 
-    pairs = spark.sparkContext.broadcast(_common(cut(_count(marked, common_pairs)), most_pairs))
-    buckets = max(width(spark), int(size // OCCURRENCES))
+    sample = marked if size <= SAMPLE else marked.sample(SAMPLE / size, seed=1)
+    pairs = spark.sparkContext.broadcast(_exact(marked, _common(cut(_count(sample, common_pairs)), most_pairs)[0]))
 
     def losses(seen: np.ndarray, seen_t: np.ndarray, single: np.ndarray, single_t: np.ndarray) -> list[np.ndarray]:
         return [_whole(-np.log(s + strength * (w + 1.0) / m)) for s, w, m in ((seen_t, single_t, mass[0]), (seen * scale, single * scale, mass[1]))]
@@ -161,16 +199,18 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
         return [_whole(np.log(x + strength)) for x in (n_t, n * scale)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (k, x, h, n, m). Rare word: k has bit 62 set, x is the word before. Rare pair of a common
+        word: k is the pair, x the word's place in the broadcast. Both: n occurrences, m is twice those
+        that a word follows, and one more in the target. Text: k < 0, x and m are its sums over what is
+        common, n its words; equal texts of a chunk come as one row, with their number as ``copies``."""
         w_id, w_n, w_t = words.value
         p_id, p_n, p_t = pairs.value
-        turn = 0
         for batch in batches:
             for lo, hi in chunks(batch["t"]):
                 part = batch.slice(lo, hi - lo)
+                h = np.asarray(part["h"], np.int64)
                 word, before, text_of = _words(part["t"])
-                if not len(word):
-                    continue
-                first = before == np.uint64(1 << BITS)
+                first = before == _START
                 pair = _pair(before, word)
                 at, prev = _find(w_id, word), np.full(len(word), -1, np.int64)
                 prev[1:] = at[:-1]
@@ -188,100 +228,60 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
                 seen = [np.where(p >= 0, x[p], 0.0) if len(x) else np.zeros(len(p)) for x in (p_n, p_t)]
                 for sums, x in zip(own, losses(*seen, w_n[w], w_t[w])):
                     np.add.at(sums, text_of[here], x)
-                rest = ~here
-                by_word = rest & (at < 0)
-                by_pair = rest & (at >= 0)
-                followed = np.zeros(len(word), bool)
+                followed = np.zeros(len(word), np.int64)
                 followed[:-1] = ~first[1:]
-                said = before | np.where(followed, _FOLLOWED, np.uint64(0))
-                to = np.where(by_word, mix(word + np.uint64(1)), pair) % np.uint64(buckets)
-                row = {n: [] for n in ("bucket", "h", "mine", "own", "n_word", "word", "before", "n_pair", "pair", "common")}
-                turn += 1
-                h = np.asarray(part["h"], np.int64)
+                # the rest, once for each text that has it
+                rest = np.flatnonzero(~here)
+                rest = rest[np.lexsort((pair[rest], text_of[rest]))]
+                new = np.ones(len(rest), bool)
+                new[1:] = (pair[rest[1:]] != pair[rest[:-1]]) | (text_of[rest[1:]] != text_of[rest[:-1]])
+                runs = np.flatnonzero(new)
+                n = np.diff(np.append(runs, len(rest)))
+                f = np.add.reduceat(followed[rest], runs) if len(runs) else np.zeros(0, np.int64)
+                i = rest[runs]
                 mine = part["in_target"].is_valid().to_numpy(zero_copy_only=False)
-                home = int((h[0] + turn) % buckets)
-                b_word, b_pair = np.flatnonzero(by_word), np.flatnonzero(by_pair)
-                b_word = b_word[np.argsort(to[b_word], kind="stable")]
-                b_pair = b_pair[np.argsort(to[b_pair], kind="stable")]
-                c_word = np.searchsorted(to[b_word], np.arange(buckets + 1, dtype=np.uint64))
-                c_pair = np.searchsorted(to[b_pair], np.arange(buckets + 1, dtype=np.uint64))
-                for b in range(buckets):
-                    i, j = b_word[c_word[b]:c_word[b + 1]], b_pair[c_pair[b]:c_pair[b + 1]]
-                    if not len(i) and not len(j) and b != home:
-                        continue
-                    row["bucket"].append(b)
-                    some = np.arange(len(part)) if b == home else np.unique(np.concatenate([text_of[i], text_of[j]]))
-                    row["h"].append(h[some].tobytes())
-                    row["mine"].append(mine[some].tobytes())
-                    row["own"].append(np.concatenate(own).tobytes() if b == home else b"")
-                    for name, k in (("n_word", i), ("n_pair", j)):
-                        row[name].append(np.bincount(np.searchsorted(some, text_of[k]), minlength=len(some)).astype(np.uint32).tobytes())
-                    row["word"].append(word[i].tobytes())
-                    row["before"].append(said[i].tobytes())
-                    row["pair"].append(pair[j].tobytes())
-                    row["common"].append(at[j].astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(row["bucket"], pa.int32()), *(pa.array(row[n], pa.binary()) for n in list(row)[1:])], list(row))
-
-    def gather(part: pa.Table) -> pa.Table:
-        def read(name: str, kind) -> np.ndarray:
-            return np.frombuffer(b"".join(part[name].to_pylist()), kind)
-
-        h, mine = read("h", np.int64), read("mine", bool)
-        texts, text_at = np.unique(h, return_inverse=True)
-        sums, copies = [np.zeros(len(texts), np.int64) for _ in range(2)], np.zeros(len(texts), np.int64)
-        lo = 0
-        for hs, own in zip(part["h"].to_pylist(), part["own"].to_pylist()):
-            n = len(hs) // 8
-            if own:
-                np.add.at(copies, text_at[lo:lo + n], 1)
-                for s, x in zip(sums, np.frombuffer(own, np.int64).reshape(2, n)):
-                    np.add.at(s, text_at[lo:lo + n], x)
-            lo += n
-
-        def numbers(*keys: np.ndarray) -> tuple[np.ndarray, int]:
-            order = np.lexsort(keys)
-            new = np.zeros(len(order), np.int64)
-            for k in keys:
-                new[1:] |= k[order][1:] != k[order][:-1]
-            out = np.empty(len(order), np.int64)
-            out[order] = np.cumsum(new)
-            return out, len(order)
-
-        word, said = read("word", np.uint64), read("before", np.uint64)
-        if len(word):
-            row = np.repeat(np.arange(len(h)), read("n_word", np.uint32))
-            before, followed = said & ~_FOLLOWED, said >= _FOLLOWED
-            a, n = numbers(word)
-            single, single_t = np.bincount(a, minlength=n)[a].astype(float), np.bincount(a, mine[row], n)[a]
-            b, n = numbers(before, word)
-            started = before == np.uint64(1 << BITS)
-            seen, seen_t = np.where(started, 0.0, np.bincount(b, minlength=n)[b]), np.where(started, 0.0, np.bincount(b, mine[row], n)[b])
-            for s, x, y in zip(sums, losses(seen, seen_t, single, single_t), contexts(single, single_t)):
-                np.add.at(s, text_at[row], x + np.where(followed, y, 0))
-        pair, w = read("pair", np.uint64), read("common", np.uint32)
-        if len(pair):
-            row = np.repeat(np.arange(len(h)), read("n_pair", np.uint32))
-            b, n = numbers(pair)
-            _, w_n, w_t = words.value
-            for s, x in zip(sums, losses(np.bincount(b, minlength=n)[b].astype(float), np.bincount(b, mine[row], n)[b], w_n[w], w_t[w])):
-                np.add.at(s, text_at[row], x)
-        return pa.table({"h": texts, "copies": copies, "target": sums[0], "background": sums[1]})
+                k = np.where(at[i] < 0, word[i] | _START, pair[i]).astype(np.int64)
+                x = np.where(at[i] < 0, before[i].astype(np.int64), at[i])
+                texts, one, copies = np.unique(h, return_index=True, return_counts=True)
+                n_words = np.bincount(text_of, minlength=len(part))[one]
+                k_text = -1 - (mix(texts.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
+                columns = (
+                    np.concatenate([k, k_text]), np.concatenate([x, own[0][one]]), np.concatenate([h[text_of[i]], texts]),
+                    np.concatenate([n, n_words]), np.concatenate([2 * f + mine[text_of[i]], own[1][one]]), np.concatenate([np.zeros(len(i), np.int64), copies]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k", "x", "h", "n", "m", "copies"])
 
-    # equal texts have equal sums: those of all copies are added up and shared among them
     hashed = marked.select(F.xxhash64("t").alias("h"), "t", "in_target")
-    payload = "bucket int, h binary, mine binary, own binary, n_word binary, word binary, before binary, n_pair binary, pair binary, common binary"
-    found = hashed.mapInArrow(deal, payload).groupBy("bucket").applyInArrow(gather, "h long, copies long, target long, background long")
-    whole = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).cast("double")
-    scored = found.groupBy("h").agg(F.sum("copies").alias("copies"), whole("target").alias("target"), whole("background").alias("background"))
-    per_text = scored.select(F.col("h").alias("__h"), (F.col("target") / F.col("copies") / UNIT).alias("__t"), (F.col("background") / F.col("copies") / UNIT).alias("__b"))
-    new = {"n_words", "target_entropy", "background_entropy", "score"}
-    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    t = F.col(f"`{text}`").cast("string")
-    n_words = F.size(F.regexp_extract_all(t, F.lit("[^ \\x09-\\x0D]+"), F.lit(0))).cast("long")
-    rows = docs.select(*rest, F.coalesce(n_words, F.lit(0)).alias("n_words"), F.xxhash64(t).alias("__h"))
-    each = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
-    joined = rows.join(per_text, "__h", "left").withColumn("target_entropy", each("__t")).withColumn("background_entropy", each("__b"))
-    return joined.withColumn("score", F.col("target_entropy") - F.col("background_entropy")).drop("__h", "__t", "__b")
+    dealt = hashed.mapInArrow(deal, "k long, x long, h long, n long, m long, copies long").repartition("k")
+    by_word, by_pair = Window.partitionBy("k"), Window.partitionBy("k", "x")
+    in_target = F.col("n") * F.col("m").bitwiseAND(F.lit(1))
+    counted = dealt.withColumns({"seen": F.sum("n").over(by_pair), "seen_t": F.sum(in_target).over(by_pair)})
+    counted = counted.withColumns({"single": F.sum("n").over(by_word), "single_t": F.sum(in_target).over(by_word)})
+
+    is_text, is_word = F.col("k") < 0, F.col("k") >= 1 << BITS
+    _, w_n, w_t = words.value
+    known = spark.createDataFrame(pa.table({"place": np.arange(len(w_n)), "w_n": w_n, "w_t": w_t}), "place long, w_n double, w_t double")
+    counted = counted.withColumn("place", F.when(~is_text & ~is_word, F.col("x"))).join(F.broadcast(known), "place", "left")
+    started = is_word & (F.col("x") == 1 << BITS)
+    whole = lambda c: F.rint(c * UNIT).cast("long")
+
+    def sums(seen: str, single: str, common: str, by: float, m: float):
+        alone = F.when(is_word, F.col(single)).otherwise(F.col(common)) * by
+        loss = whole(-F.log(F.when(started, 0.0).otherwise(F.col(seen) * by) + strength * (alone + 1.0) / m)) * F.col("n")
+        said = F.when(is_word, whole(F.log(F.col(single) * by + strength)) * F.shiftright("m", 1)).otherwise(0)
+        return loss + said
+
+    per_row = counted.select(
+        "h", "copies", F.when(is_text, F.col("n")).alias("n_words"),
+        F.when(is_text, F.col("x") * F.col("copies")).otherwise(sums("seen_t", "single_t", "w_t", 1.0, mass[0])).alias("t"),
+        F.when(is_text, F.col("m") * F.col("copies")).otherwise(sums("seen", "single", "w_n", scale, mass[1])).alias("b"))
+    # equal texts have equal sums: those of all copies are added up and shared among them
+    texts = cut(per_row.groupBy("h").agg(F.sum("copies").alias("copies"), F.max("n_words").alias("n_words"), _total("t").alias("t"), _total("b").alias("b")))
+    each = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("copies") / UNIT / F.col("n_words")).otherwise(0.0)
+    scored = texts.select("h", "copies", "n_words", each("t").alias("target_entropy"), each("b").alias("background_entropy"))
+    new = ("n_words", "target_entropy", "background_entropy")
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*new, "score"}))
+    rows = docs.select(kept.alias("row"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("h"))
+    return join_spread(rows, scored, ["h"], "copies").select("row.*", *new, (F.col("target_entropy") - F.col("background_entropy")).alias("score"))
 
 
 def labelled_target(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
