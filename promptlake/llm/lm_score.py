@@ -199,8 +199,9 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
         return [_whole(np.log(x + strength)) for x in (n_t, n * scale)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (k, x, h, n, m). Rare word: k has bit 62 set, x is the word before. Rare pair of a common
-        word: k is the pair, x the word's place in the broadcast. Both: n occurrences, m is twice those
+        """Rows (k, x, h, n, m). Rare word: k has bit 62 set, x is the word before: its place in
+        the broadcast, or if rare itself with bit 62 set, or -1 at a text's start. Rare pair of a common
+        word: k is the pair, x the word's place. Both: n occurrences, m is twice those
         that a word follows, and one more in the target. Text: k < 0, x and m are its sums over what is
         common, n its words; equal texts of a chunk come as one row, with their number as ``copies``."""
         w_id, w_n, w_t = words.value
@@ -241,7 +242,7 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
                 i = rest[runs]
                 mine = part["in_target"].is_valid().to_numpy(zero_copy_only=False)
                 k = np.where(at[i] < 0, word[i] | _START, pair[i]).astype(np.int64)
-                x = np.where(at[i] < 0, before[i].astype(np.int64), at[i])
+                x = np.where(at[i] >= 0, at[i], np.where(first[i], -1, np.where(prev[i] >= 0, prev[i], (before[i] | _START).astype(np.int64))))
                 texts, one, copies = np.unique(h, return_index=True, return_counts=True)
                 n_words = np.bincount(text_of, minlength=len(part))[one]
                 k_text = -1 - (mix(texts.astype(np.uint64)) >> np.uint64(2)).astype(np.int64)
@@ -261,7 +262,7 @@ def difference(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: st
     _, w_n, w_t = words.value
     known = spark.createDataFrame(pa.table({"place": np.arange(len(w_n)), "w_n": w_n, "w_t": w_t}), "place long, w_n double, w_t double")
     counted = counted.withColumn("place", F.when(~is_text & ~is_word, F.col("x"))).join(F.broadcast(known), "place", "left")
-    started = is_word & (F.col("x") == 1 << BITS)
+    started = is_word & (F.col("x") == -1)
     whole = lambda c: F.rint(c * UNIT).cast("long")
 
     def sums(seen: str, single: str, common: str, by: float, m: float):
