@@ -7,11 +7,12 @@ megabytes, or one text if that is longer), never the partition.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 CHUNK = 1 << 21
@@ -103,8 +104,22 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def add_columns(docs: DataFrame, text: str, schema: str, make: Callable[[pa.Array], dict]) -> DataFrame:
-    """``docs`` with the columns of ``schema``, which ``make`` gives for each chunk of texts.
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Fewer rows in a batch for Python while jobs with long rows run. Other jobs of the session that
+    are planned meanwhile have shorter batches too, which changes no result."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def add_columns(docs: DataFrame, text: str, schema: str, make: Callable[[pa.Array], dict], keep: bool = True) -> DataFrame:
+    """``docs`` with the columns of ``schema``, which ``make`` gives for each chunk of texts, and
+    without the text itself if ``keep`` is false.
 
     Columns of ``docs`` with such names are replaced; all others are carried along under names of
     our own, so that none can clash.
@@ -112,7 +127,7 @@ def add_columns(docs: DataFrame, text: str, schema: str, make: Callable[[pa.Arra
     made = StructType.fromDDL(schema)
     new = {c.lower() for c in made.names}
     rest = [c for c in docs.columns if c.lower() not in new and c != text]
-    keep_text = text.lower() not in new
+    keep_text = keep and text.lower() not in new
     held = [f"c{i}" for i in range(len(rest))]
     packed = docs.select(
         F.col(f"`{text}`").cast("string").alias("t"),

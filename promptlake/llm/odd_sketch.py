@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from promptlake.llm.batches import add_columns, broadcast_if_small, is_space, mix, span_hashes, text_bytes, word_spans
+from promptlake.llm.batches import add_columns, broadcast_if_small, is_space, mix, short_batches, span_hashes, text_bytes, word_spans
 from promptlake.llm.spread import components, join_spread
 from promptlake.session import cut, width
 
@@ -183,7 +183,8 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     hits[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hits], ["a", "b"])
 
-    return cut(rows.select("a", "b", "elements").mapInArrow(run, "a long, b long"))
+    with short_batches(edges.sparkSession):
+        return cut(rows.select("a", "b", "elements").mapInArrow(run, "a long, b long"))
 
 
 def _near(most: int, flips: int, percent: int):
@@ -310,7 +311,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """(key, n_shingles, component_id, kept) for every row of ``docs``: texts whose sets of ``shingle``
     words are ``percent`` per cent alike or more are linked."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    marked = cut(add_columns(rows, "text", SCHEMA, _marks(shingle)).drop("text").withColumn("row", F.monotonically_increasing_id()))
+    with short_batches(docs.sparkSession):
+        marked = cut(add_columns(rows, "text", SCHEMA, _marks(shingle), keep=False).withColumn("row", F.monotonically_increasing_id()))
     full = marked.filter("n_shingles > 0")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min("row").alias("node"))
     classes = cut(classes)
