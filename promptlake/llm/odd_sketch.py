@@ -40,8 +40,9 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 ROUNDS = 16
 BLOCK = 2048
+HELD = 128  # sets of each side that a cell of pairs holds
 FIRST = 8  # partners per member in the first search
-GROUPS = 4096  # into which a centre's partners are dealt
+GROUPS = 4096  # cells into which a centre's partners are dealt
 SLICE = 2048  # texts at once
 CELLS = 1 << 21
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -110,10 +111,12 @@ def fold(found: np.ndarray) -> np.ndarray:
 
 
 def most_flips(similarity: float) -> int:
-    """The largest XOR population count that a pair of ``similarity`` gives, within six deviations."""
-    differ = SAMPLES * (1 - similarity) + 6 * sqrt(SAMPLES * similarity * (1 - similarity))
-    odd = (1 - exp(-4 * min(SAMPLES, differ) / BITS)) / 2
-    return int(BITS * odd + 6 * sqrt(BITS * odd * (1 - odd)))
+    """The largest XOR population count that a pair of ``similarity`` gives, within six deviations of
+    the samples and the sketch together."""
+    differ = SAMPLES * (1 - similarity)
+    even = exp(-4 * differ / BITS)
+    odd = (1 - even) / 2
+    return int(BITS * odd + 6 * sqrt(SAMPLES * similarity * (1 - similarity) * (2 * even) ** 2 + BITS * odd * (1 - odd)))
 
 
 def similarity_of(flips: int) -> float:
@@ -156,55 +159,65 @@ def _marks(shingle: int):
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose sets (node, elements) are similar enough. Sets of ``a`` go to where ``b``
-    is; a ``b`` with many partners is copied to several places, at most once per partner."""
-    at = F.pmod(F.xxhash64("a"), F.lit(GROUPS)).cast("int").alias("at")
+    """The edges (a, b) whose sets (node, elements) are similar enough. An edge is confirmed in its
+    cell (cell, part); a set goes once to each cell in which it has partners, however many they are."""
     needed = broadcast_if_small(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = cut(sets.join(needed, "node"))
-    partners = edges.select("a", "b", at).join(sets.withColumnRenamed("node", "a"), "a")
-    centres = edges.select("b", at).distinct().join(sets.withColumnRenamed("node", "b"), "b").select(F.lit(None).cast("long").alias("a"), "b", "at", "elements")
-    rows = partners.unionByName(centres).repartition(width(edges.sparkSession), "b", "at").sortWithinPartitions("b", "at", F.asc_nulls_first("a"))
+    places = edges.select("cell", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
+    none = F.lit(None)
+    held = places.join(sets, "node").select("cell", "part", F.col("node").alias("a"), none.cast("long").alias("b"), "elements")
+    rows = held.unionByName(edges.select("cell", "part", "a", "b", none.cast("binary").alias("elements"))).repartition(
+        width(edges.sparkSession), "cell", "part").sortWithinPartitions("cell", "part", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = None
+        at, known = None, {}
         for batch in batches:
             hits: tuple[list, list] = ([], [])
             data = batch["elements"]
-            for i, (a, b) in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist())):
-                mine = np.frombuffer(data[i].as_buffer(), np.uint64)
-                if a is None:
-                    centre = mine.copy()
+            for i, (*cell, a, b) in enumerate(zip(*(batch[c].to_pylist() for c in ("cell", "part", "a", "b")))):
+                if cell != at:
+                    at, known = cell, {}
+                if b is None:
+                    known[a] = np.frombuffer(data[i].as_buffer(), np.uint64).copy()
                     continue
-                small, big = (mine, centre) if len(mine) < len(centre) else (centre, mine)
+                small, big = sorted((known[a], known[b]), key=len)
                 found = np.searchsorted(big, small)
                 both = int((big[np.minimum(found, len(big) - 1)] == small).sum())
-                if 100 * both >= percent * (len(mine) + len(centre) - both):
+                if 100 * both >= percent * (len(small) + len(big) - both):
                     hits[0].append(a)
                     hits[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hits], ["a", "b"])
 
     with short_batches(edges.sparkSession):
-        return cut(rows.select("a", "b", "elements").mapInArrow(run, "a long, b long"))
+        return cut(rows.select("cell", "part", "a", "b", "elements").mapInArrow(run, "a long, b long"))
+
+
+def _block(node: Column | str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(node), blocks).cast("int")
+
+
+def _block_pair(x: Column | str, y: Column | str) -> Column:
+    return F.least(x, y).cast("long") * (1 << 31) + F.greatest(x, y)
 
 
 def _near(most: int, flips: int, percent: int):
-    """Candidates (a, b, more) of sorted rows (bucket, pair, node, root, n, sketch): for each member its
-    ``most`` closest ones of other components in its block; ``more`` where there are others."""
+    """Candidates (a, b, bucket, size, more) of sorted rows (bucket, pair, size, node, root, n, sketch): for each
+    member its ``most`` closest ones of other components in its block; ``more`` where there are others."""
 
-    def small(no, root, n, sketch, starts, sizes):
+    def small(row, root, n, sketch, starts, sizes):
         reps = np.repeat(sizes, sizes)
-        left = np.repeat(np.arange(len(no)), reps)
+        left = np.repeat(np.arange(len(row)), reps)
         base = np.repeat(np.cumsum(reps) - reps, reps)
         right = np.repeat(np.repeat(starts, sizes), reps) + np.arange(len(left)) - base
         ok = (left > right) & (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
         left, right = left[ok], right[ok]
         ok = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= flips
-        return no[left[ok]], no[right[ok]], np.zeros(int(ok.sum()), bool)
+        return row[left[ok]], row[right[ok]], np.zeros(int(ok.sum()), bool)
 
-    def large(no, root, n, sketch):
+    def large(row, root, n, sketch):
         out: tuple[list, list, list] = ([], [], [])
-        step = max(1, CELLS // (len(no) * sketch.shape[1]))
-        for lo in range(0, len(no), step):
+        step = max(1, CELLS // (len(row) * sketch.shape[1]))
+        for lo in range(0, len(row), step):
             x = slice(lo, lo + step)
             apart = np.bitwise_count(sketch[x, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
             bad = (root[x, None] == root[None, :]) | (100 * np.minimum(n[x, None], n[None, :]) < percent * np.maximum(n[x, None], n[None, :])) | (apart > flips)
@@ -212,19 +225,19 @@ def _near(most: int, flips: int, percent: int):
             good = (~bad).sum(axis=1)
             if not good.any():
                 continue
-            keep = min(most, len(no))
+            keep = min(most, len(row))
             best = np.argpartition(apart, keep - 1, axis=1)[:, :keep]
             i, j = np.nonzero(np.take_along_axis(apart, best, axis=1) <= flips)
             y = best[i, j]
-            out[0].append(no[lo + i])
-            out[1].append(no[y])
+            out[0].append(row[lo + i])
+            out[1].append(row[y])
             out[2].append(good[i] > keep)
         return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
 
     def lists(batches: Iterator[pa.RecordBatch]):
         rest = None
         for batch in batches:
-            now = [np.asarray(batch[c], np.int64) for c in ("bucket", "pair", "node", "root", "n")]
+            now = [np.asarray(batch[c], np.int64) for c in ("bucket", "pair", "size", "node", "root", "n")]
             now.append(np.stack([np.asarray(batch[s], np.int64) for s in _WORDS], axis=1).view(np.uint64))
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
@@ -239,22 +252,23 @@ def _near(most: int, flips: int, percent: int):
             yield rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, pair, no, root, n, sketch in lists(batches):
+        for bucket, pair, size, no, root, n, sketch in lists(batches):
             new = np.ones(len(no), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])
             starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, len(no)))
             few = sizes <= 16
-            found = []
+            found, row = [], np.arange(len(no))
             inside = np.repeat(few, sizes)
             if inside.any():
                 s = sizes[few]
-                found.append(small(no[inside], root[inside], n[inside], sketch[inside], np.cumsum(s) - s, s))
+                found.append(small(row[inside], root[inside], n[inside], sketch[inside], np.cumsum(s) - s, s))
             for a, m in zip(starts[~few].tolist(), sizes[~few].tolist()):
                 x = slice(a, a + m)
-                found.append(large(no[x], root[x], n[x], sketch[x]))
-            a, b, more = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)), pa.array(more.astype(bool))], ["a", "b", "more"])
+                found.append(large(row[x], root[x], n[x], sketch[x]))
+            x, y, more = (np.concatenate(f) for f in zip(*found))
+            made = [np.maximum(no[x], no[y]), np.minimum(no[x], no[y]), bucket[x], size[x], more.astype(bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], ["a", "b", "bucket", "size", "more"])
 
     return run
 
@@ -284,7 +298,7 @@ def links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alike = (F.col("flips") <= flips) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     best = held.filter(alike).groupBy("node").agg(F.min_by("centre", F.struct("flips", "centre")).alias("centre"))
     tested = cut(best.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    found = _confirm(tested, sets, percent)
+    found = _confirm(tested.withColumns({"cell": F.col("b"), "part": _block("a", F.lit(GROUPS)).cast("long")}), sets, percent)
 
     most = FIRST
     while True:
@@ -293,17 +307,21 @@ def links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         placed = cut(members.select("bucket", "size", "node").join(now.select("node", "root"), "node"))
         mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        open_ = join_spread(placed, cut(mixed), ["bucket"]).withColumn("mine", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        open_ = join_spread(placed, cut(mixed), ["bucket"]).withColumn("mine", _block("node", blocks))
         dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-            "bucket", "node", "root", (F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")).alias("pair"))
+            "bucket", "size", "node", "root", _block_pair("mine", "other").alias("pair"))
         rows = dealt.join(nodes, "node").repartition(width(spark), "bucket", "pair").sortWithinPartitions("bucket", "pair")
-        near = cut(rows.select("bucket", "pair", "node", "root", "n", *_WORDS).mapInArrow(_near(most, flips, percent), "a long, b long, more boolean"))
-        same = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-        fresh = cut(near.select(*same).distinct().join(tested.select(*same), ["a", "b"], "left_anti"))
+        near = rows.select("bucket", "pair", "size", "node", "root", "n", *_WORDS).mapInArrow(
+            _near(most, flips, percent), "a long, b long, bucket long, size long, more boolean")
+        # a pair is confirmed in the largest of its buckets, where most of its partners' pairs are
+        near = cut(near.groupBy("a", "b").agg(F.max(F.struct("size", "bucket")).alias("in"), F.max("more").alias("more")))
+        parts = F.ceil(F.col("in.size") / HELD).cast("int")
+        fresh = cut(near.join(tested, ["a", "b"], "left_anti").select(
+            "a", "b", F.col("in.bucket").alias("cell"), _block_pair(_block("a", parts), _block("b", parts)).alias("part")))
         found = cut(found.unionByName(_confirm(fresh, sets, percent)))
         if near.filter("more").isEmpty():
             return found
-        tested = cut(tested.unionByName(fresh))
+        tested = cut(tested.unionByName(fresh.select("a", "b")))
         most *= 8
 
 
