@@ -40,7 +40,7 @@ SAMPLES = BANDS * ROWS
 BITS = 512
 ROUNDS = 16
 BLOCK = 2048
-HELD = 128  # sets of each side that a cell of pairs holds
+HELD = 1 << 21  # shingles of each side that a cell of pairs holds, 16 MB
 FIRST = 8  # partners per member in the first search
 GROUPS = 4096  # cells into which a centre's partners are dealt
 SLICE = 2048  # texts at once
@@ -201,7 +201,7 @@ def _block_pair(x: Column | str, y: Column | str) -> Column:
 
 
 def _near(most: int, flips: int, percent: int):
-    """Candidates (a, b, bucket, size, more) of sorted rows (bucket, pair, size, node, root, n, sketch): for each
+    """Candidates (a, b, bucket, weight, more) of sorted rows (bucket, pair, weight, node, root, n, sketch): for each
     member its ``most`` closest ones of other components in its block; ``more`` where there are others."""
 
     def small(row, root, n, sketch, starts, sizes):
@@ -237,7 +237,7 @@ def _near(most: int, flips: int, percent: int):
     def lists(batches: Iterator[pa.RecordBatch]):
         rest = None
         for batch in batches:
-            now = [np.asarray(batch[c], np.int64) for c in ("bucket", "pair", "size", "node", "root", "n")]
+            now = [np.asarray(batch[c], np.int64) for c in ("bucket", "pair", "weight", "node", "root", "n")]
             now.append(np.stack([np.asarray(batch[s], np.int64) for s in _WORDS], axis=1).view(np.uint64))
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now)]
@@ -252,7 +252,7 @@ def _near(most: int, flips: int, percent: int):
             yield rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, pair, size, no, root, n, sketch in lists(batches):
+        for bucket, pair, weight, no, root, n, sketch in lists(batches):
             new = np.ones(len(no), bool)
             new[1:] = (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])
             starts = np.flatnonzero(new)
@@ -267,8 +267,8 @@ def _near(most: int, flips: int, percent: int):
                 x = slice(a, a + m)
                 found.append(large(row[x], root[x], n[x], sketch[x]))
             x, y, more = (np.concatenate(f) for f in zip(*found))
-            made = [np.maximum(no[x], no[y]), np.minimum(no[x], no[y]), bucket[x], size[x], more.astype(bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], ["a", "b", "bucket", "size", "more"])
+            made = [np.maximum(no[x], no[y]), np.minimum(no[x], no[y]), bucket[x], weight[x], more.astype(bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], ["a", "b", "bucket", "weight", "more"])
 
     return run
 
@@ -283,9 +283,9 @@ def links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = classes.sparkSession
     flips = most_flips(percent / 100)
     classes = cut(classes)
-    listed = classes.select(F.explode("bands").alias("bucket"), "node")
-    crowded = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1")
-    members = cut(join_spread(listed, cut(crowded.withColumn("size", F.col("n"))), ["bucket"]))
+    listed = classes.select(F.explode("bands").alias("bucket"), "node", F.col("n").alias("held"))
+    crowded = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre"), F.sum("held").alias("weight")).filter("n > 1")
+    members = cut(join_spread(listed.drop("held"), cut(crowded.withColumn("size", F.col("n"))), ["bucket"]))
     nodes = cut(classes.drop("bands").join(members.select("node").distinct(), "node"))
 
     # each member's best bucket centre
@@ -304,18 +304,18 @@ def links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     while True:
         rooted = components(found)
         now = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = cut(members.select("bucket", "size", "node").join(now.select("node", "root"), "node"))
+        placed = cut(members.select("bucket", "size", "weight", "node").join(now.select("node", "root"), "node"))
         mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         open_ = join_spread(placed, cut(mixed), ["bucket"]).withColumn("mine", _block("node", blocks))
         dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-            "bucket", "size", "node", "root", _block_pair("mine", "other").alias("pair"))
+            "bucket", "weight", "node", "root", _block_pair("mine", "other").alias("pair"))
         rows = dealt.join(nodes, "node").repartition(width(spark), "bucket", "pair").sortWithinPartitions("bucket", "pair")
-        near = rows.select("bucket", "pair", "size", "node", "root", "n", *_WORDS).mapInArrow(
-            _near(most, flips, percent), "a long, b long, bucket long, size long, more boolean")
+        near = rows.select("bucket", "pair", "weight", "node", "root", "n", *_WORDS).mapInArrow(
+            _near(most, flips, percent), "a long, b long, bucket long, weight long, more boolean")
         # a pair is confirmed in the largest of its buckets, where most of its partners' pairs are
-        near = cut(near.groupBy("a", "b").agg(F.max(F.struct("size", "bucket")).alias("in"), F.max("more").alias("more")))
-        parts = F.ceil(F.col("in.size") / HELD).cast("int")
+        near = cut(near.groupBy("a", "b").agg(F.max(F.struct("weight", "bucket")).alias("in"), F.max("more").alias("more")))
+        parts = F.ceil(F.col("in.weight") / HELD).cast("int")
         fresh = cut(near.join(tested, ["a", "b"], "left_anti").select(
             "a", "b", F.col("in.bucket").alias("cell"), _block_pair(_block("a", parts), _block("b", parts)).alias("part")))
         found = cut(found.unionByName(_confirm(fresh, sets, percent)))
