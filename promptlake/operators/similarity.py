@@ -1,9 +1,11 @@
 """Nearest neighbours and similar pairs over embedding columns.
 
-Vectors are laid out in cells. Two cells meet only if a pair above the threshold could span
-them; each meeting is cut into blocks of bounded size, and a block is one matrix product
-inside a task. Only the best k rows per query and block leave a task. The layout is a set of
-equi-joins on cell and block numbers; no row-by-row cross join takes place.
+Both sides are dealt at random into a few parts, and each part of one side meets each of the other
+in a block. A row is sent once for each part of the other side, whose number does not grow with the
+table until a part would hold more than ``HELD_ROWS`` rows, so what is shuffled grows with the rows.
+Inside a block rows are compared tile by tile, ``block_rows`` of a side at most; only matches leave
+a tile, and of those only the best k per query leave a block. Vectors also have a zone: zones that
+no pair above the threshold could span are not compared.
 
 Similarities are rounded to six places, so that equal vectors tie and ties break on
 (stored time, entry id) instead of on floating-point noise.
@@ -11,19 +13,25 @@ Similarities are rounded to six places, so that equal vectors tie and ties break
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from promptlake.functions.vector import cosine_sim
 from promptlake.session import width
 
 BLOCK_ROWS = 16_384
+PARTS = 8
+HELD_ROWS = 65_536
 PLACES = 6
-_SIDE = "id string, vec array<float>, at bigint, until bigint"
+_SIDE = "id string, vec array<float>, at bigint, until bigint, copies bigint"
 
 
-def _side(df: DataFrame, rid: str, vec: str, at: str | None, until: str | None) -> DataFrame:
-    """Narrow frame of usable vectors: id, vector, and life span in microseconds."""
+def _side(df: DataFrame, rid: str, vec: str, at: str | None, until: str | None, copies: Column | None = None) -> DataFrame:
+    """Narrow frame of usable vectors: id, vector, life span in microseconds, and how many rows it stands for."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     usable = F.aggregate(
         vec, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double") * x.cast("double"), F.lit(float("nan"))))
@@ -31,7 +39,8 @@ def _side(df: DataFrame, rid: str, vec: str, at: str | None, until: str | None)
     return df.filter(F.coalesce(ok, F.lit(False))).select(
         F.col(rid).cast("string").alias("id"), F.col(vec).cast("array<float>").alias("vec"),
         (us(at) if at else F.lit(0).cast("bigint")).alias("at"),
-        (us(until) if until else F.lit(2**63 - 1).cast("bigint")).alias("until"))
+        (us(until) if until else F.lit(2**63 - 1).cast("bigint")).alias("until"),
+        (F.lit(1) if copies is None else copies).cast("bigint").alias("copies"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -50,41 +59,44 @@ def _pivots(store: DataFrame, n: int) -> np.ndarray:
 
 
 def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot as ``cell`` and the angle to it."""
+    """Adds the nearest pivot as ``zone`` and the angle to it."""
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
                 sims = _matrix(pdf["vec"]) @ shared.value.T
-                cell = sims.argmax(axis=1)
-                best = np.clip(sims[np.arange(len(pdf)), cell], -1.0, 1.0)
-                yield pdf.assign(cell=cell.astype("int64"), angle=np.arccos(best))
+                zone = sims.argmax(axis=1)
+                best = np.clip(sims[np.arange(len(pdf)), zone], -1.0, 1.0)
+                yield pdf.assign(zone=zone.astype("int64"), angle=np.arccos(best))
 
-    return df.mapInPandas(assign, _SIDE + ", cell bigint, angle double")
+    return df.mapInPandas(assign, _SIDE + ", zone bigint, angle double")
 
 
-def _meeting_cells(q: DataFrame, s: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
-    """Pairs of cells that may hold a pair at or above the threshold (triangle inequality on
+def _meeting_zones(q: DataFrame, s: DataFrame, pivots: np.ndarray, threshold: float) -> np.ndarray:
+    """Which zones may hold a pair at or above the threshold (triangle inequality on
     angles). One row per pivot comes to the driver."""
-    radius = lambda d: dict(d.groupBy("cell").agg(F.max("angle")).collect())
-    rq, rs = radius(q), radius(s)
+    def radius(d):
+        out = np.full(len(pivots), -np.inf)
+        for zone, r in d.groupBy("zone").agg(F.max("angle")).collect():
+            out[zone] = r
+        return out
+
     gap = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     reach = np.arccos(max(-1.0, threshold - 10.0 ** -PLACES)) + 1e-6
-    pairs = [(int(a), int(b)) for a, ra in rq.items() for b, rb in rs.items()
-             if gap[a, b] - ra - rb <= reach]
-    return q.sparkSession.createDataFrame(pairs, "cell bigint, to_cell bigint")
+    return gap - radius(q)[:, None] - radius(s)[None, :] <= reach
 
 
-def _blocks(q: DataFrame, s: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Cut each cell into blocks of about ``block_rows`` by ``block_rows``.
+def _blocks(q: DataFrame, s: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Deal the rows of each cell, by hash, into ``parts`` parts a side (fewer if they are few, more
+    if one would hold over ``HELD_ROWS``); each part of one side meets each of the other.
 
-    Both sides carry ``cell``. A crowded cell gets more blocks, however crowded it is: its
-    store rows are split by hash and so are its queries.
+    Both sides carry ``cell``; a crowded one is dealt as any other.
     """
-    parts = lambda d, name: d.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-    grid = parts(q, "q_parts").join(parts(s, "s_parts"), "cell")
+    n = F.count(F.lit(1))
+    count = F.greatest(F.least(F.ceil(n / 512), F.lit(parts)), F.ceil(n / HELD_ROWS)).cast("int")
+    grid = q.groupBy("cell").agg(count.alias("q_parts")).join(s.groupBy("cell").agg(count.alias("s_parts")), "cell")
+    grid = F.broadcast(grid) if parts > 1 else grid  # a single row then
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     q = q.join(grid, "cell").withColumn("qp", own("q_parts")).withColumn("sp", every("s_parts"))
@@ -94,56 +106,186 @@ def _blocks(q: DataFrame, s: DataFrame, block_rows: int) -> tuple[DataFrame, Dat
 
 # --- kernel -----------------------------------------------------------------------------
 
-_RESULT = "qid string, sid string, similarity double, s_at bigint"
+_RESULT = "qid string, sid string, similarity double, s_at bigint, q_copies bigint, s_copies bigint"
+_RESULT_ROWS = 100_000
+_SLACK = 1.001 * 10.0 ** -PLACES  # what rounding may move a similarity, on both sides of a comparison
+
+
+class _Rows:
+    """One side of a block as arrays."""
+
+    def __init__(self, table: pa.Table):
+        column = lambda c: table[c].combine_chunks()
+        vec = column("vec")
+        dim = np.unique(pc.list_value_length(vec).to_numpy(zero_copy_only=False))
+        if len(dim) > 1:
+            raise ValueError(f"vectors of different lengths: {dim.tolist()}")
+        m = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        self.m, self.id = m, column("id")
+        self.at, self.until, self.zone, self.copies = (
+            column(c).to_numpy(zero_copy_only=False) for c in ("at", "until", "zone", "copies"))
+
+    def __len__(self):
+        return len(self.m)
+
+
+def _order(s: _Rows, one_zone: bool) -> np.ndarray:
+    """Place of each entry by (stored time, id); the rows of a zone come in that order."""
+    place = np.arange(len(s))
+    if not one_zone:
+        place[pc.sort_indices(pa.table({"at": s.at, "id": s.id}), [("at", "ascending"), ("id", "ascending")], null_placement="at_start").to_numpy()] = np.arange(len(s))
+    return place
+
+
+def _before(q: _Rows, s: _Rows, place: np.ndarray) -> np.ndarray:
+    """Per query, how many entries come before it by (time, id)."""
+    order = np.empty_like(place)
+    order[place] = np.arange(len(place))
+    at = s.at[order]
+    found, last = np.searchsorted(at, q.at, "left"), np.searchsorted(at, q.at, "right")
+    tied = np.flatnonzero(found < last)
+    if len(tied):
+        known = lambda x: (x is not None, x or "")
+        ids = s.id.take(pa.array(order)).to_pylist()
+        for i in tied:
+            found[i] = bisect_left(ids, known(q.id[int(i)].as_py()), int(found[i]), int(last[i]), key=known)
+    return found
+
+
+def _runs(q: _Rows, s: _Rows, meets: np.ndarray | None):
+    """(first, end, entries): runs of queries, and the entries whose zones they meet (None: all)."""
+    if meets is None:
+        return [(0, len(q), None)]
+    near = meets[q.zone][:, np.unique(s.zone)]
+    cuts = (np.flatnonzero((near[1:] != near[:-1]).any(axis=1)) + 1).tolist()
+    runs = []
+    for a, b in zip([0, *cuts], [*cuts, len(q)]):
+        met = np.flatnonzero(meets[q.zone[a]][s.zone])
+        runs.append((a, b, None if len(met) == len(s) else met))
+    return runs
+
+
+class _Best:
+    """The best k of each query of a tile so far: row, entry, place of the entry, similarity."""
+
+    def __init__(self, n: int, k: int, low: float):
+        self.k, self.bar, self.last = k, np.full(n, low), np.full(n, 2**62)
+        self.open = np.ones(n, dtype=bool)
+        self.rows = [np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)]
+
+    def limit(self, sims: np.ndarray) -> np.ndarray:
+        """Per query, the similarity below which nothing can be among the best."""
+        if self.k < sims.shape[1] and self.open.any():
+            kth = np.partition(sims, -self.k, axis=1)[:, -self.k]
+            return np.where(self.open, np.maximum(self.bar, kth), self.bar)
+        return self.bar
+
+    def add(self, row, entry, place, sim) -> None:
+        better = (sim > self.bar[row]) | ((sim == self.bar[row]) & (place < self.last[row]))
+        if not better.any():
+            return
+        row, entry, place, sim = (np.concatenate((old, new[better])) for old, new in zip(self.rows, (row, entry, place, sim)))
+        order = np.lexsort((place, -sim, row))
+        row = row[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, "left")
+        keep = rank < self.k
+        self.rows = [row[keep], *(x[order][keep] for x in (entry, place, sim))]
+        full = np.flatnonzero(rank[keep] == self.k - 1)
+        row, _, place, sim = (x[full] for x in self.rows)
+        self.bar[row], self.last[row], self.open[row] = sim, place, False
+
+
+def _matches(q: _Rows, s: _Rows, k: int | None, low: float, in_time: bool, below_id: bool,
+             block_rows: int, meets: np.ndarray | None):
+    """Yields (query rows, entry rows, similarities), tile by tile."""
+    place = _order(s, meets is None)
+    before = _before(q, s, place) if in_time else None
+    if below_id:
+        q_id, s_id = (pc.cast(x.id, pa.int64()) for x in (q, s))
+        # without an id a row has no place in the order
+        q_id, s_id = pc.fill_null(q_id, -2**63).to_numpy(), pc.fill_null(s_id, 2**63 - 1).to_numpy()
+    height, width_ = min(block_rows, 256), min(block_rows, 8192)
+    for first, end, met in _runs(q, s, meets):
+        for i in range(first, end, height):
+            rows = slice(i, min(i + height, end))
+            best = _Best(rows.stop - i, k, low) if k is not None else None
+            for j in range(0, len(s) if met is None else len(met), width_):
+                cols = slice(j, j + width_) if met is None else met[j:j + width_]
+                if in_time and (s.at[cols].min() > q.at[rows].max() or s.until[cols].max() <= q.at[rows].min()):
+                    continue
+                sims = q.m[rows] @ s.m[cols].T
+                if in_time:
+                    sims[(place[cols] >= before[rows, None]) | (s.until[cols] <= q.at[rows, None])] = -np.inf
+                if below_id:
+                    sims[s_id[cols] >= q_id[rows, None]] = -np.inf
+                limit = best.limit(sims)[:, None] if best else low
+                a, b = np.nonzero(sims >= limit - _SLACK)
+                sim = np.round(sims[a, b], PLACES)
+                ok = sim >= low
+                a, sim, entry = a[ok], sim[ok], (b[ok] + j if met is None else cols[b[ok]])
+                if best:
+                    best.add(a, entry, place[entry], sim)
+                elif len(a):
+                    yield a + i, entry, sim
+            if best and len(best.rows[0]):
+                row, entry, _, sim = best.rows
+                yield row + i, entry, sim
 
 
 def _compare(q: DataFrame, s: DataFrame, k: int | None, threshold: float, in_time: bool,
-             below_id: bool) -> DataFrame:
+             below_id: bool, block_rows: int, meets: np.ndarray | None = None) -> DataFrame:
     """Compare the blocks. ``k`` keeps the best k per query; None keeps everything at or
     above the threshold. ``in_time``: the entry was stored before the query and is alive.
     ``below_id``: the entry's id (a number) is below the query's."""
-    low = float(threshold)
-
-    def compare(_, qb, sb):
-        import pandas as pd
-
-        found = []
-        if len(qb) and len(sb):
-            # tie order: oldest entry first, then its id
-            tie = np.lexsort((sb["id"].to_numpy(dtype=str), sb["at"].to_numpy()))
-            sm = _matrix(sb["vec"])[tie]
-            sid, sat, until = (sb[c].to_numpy()[tie] for c in ("id", "at", "until"))
-            qid, qat, qm = qb["id"].to_numpy(), qb["at"].to_numpy(), _matrix(qb["vec"])
-            snum = sid.astype("int64") if below_id else None
-            for i in range(0, len(qb), 1024):
-                j = slice(i, i + 1024)
-                sims = np.round(qm[j] @ sm.T, PLACES)
-                ok = sims >= low
-                if in_time:
-                    t = qat[j, None]
-                    ok &= (sat[None, :] <= t) & (t < until[None, :])
-                    for a, b in zip(*np.nonzero(ok & (sat[None, :] == t))):
-                        ok[a, b] = sid[b] < qid[i + a]
-                if below_id:
-                    ok &= snum[None, :] < qid[j].astype("int64")[:, None]
-                if k is None or sims.shape[1] <= k:
-                    a, b = np.nonzero(ok)
-                else:
-                    # columns are in tie order, and the stable sort keeps it
-                    best = np.argsort(-np.where(ok, sims, -9.0), axis=1, kind="stable")[:, :k]
-                    a = np.repeat(np.arange(len(best)), k)
-                    b = best.ravel()
-                    keep = ok[a, b]
-                    a, b = a[keep], b[keep]
-                found.append((qid[i + a], sid[b], sims[a, b], sat[b]))
-        names = ("qid", "sid", "similarity", "s_at")
-        return pd.DataFrame({c: np.concatenate([f[j] for f in found]) if found else [] for j, c in enumerate(names)})
-
-    cell = ["cell", "sp", "qp"]
+    low, spark, key = float(threshold), q.sparkSession, ["cell", "sp", "qp"]
+    shared = spark.sparkContext.broadcast(meets)
+
+    def result(q, s, found):
+        row, entry, sim = (np.concatenate(x) for x in zip(*found))
+        ids = lambda x, at: x.id.take(pa.array(at))
+        return pa.RecordBatch.from_arrays(
+            [ids(q, row), ids(s, entry), pa.array(sim), pa.array(s.at[entry]), pa.array(q.copies[row]), pa.array(s.copies[entry])],
+            ["qid", "sid", "similarity", "s_at", "q_copies", "s_copies"])
+
+    def block(parts):
+        table = pa.Table.from_batches(parts)
+        parts.clear()
+        n = int(pc.sum(table["is_q"]).as_py())
+        if not 0 < n < len(table):
+            return
+        q, s = _Rows(table.slice(0, n)), _Rows(table.slice(n))
+        del table
+        found, size = [], 0
+        for match in _matches(q, s, k, low, in_time, below_id, block_rows, shared.value):
+            found.append(match)
+            size += len(match[0])
+            if size >= _RESULT_ROWS:
+                yield result(q, s, found)
+                found, size = [], 0
+        if found:
+            yield result(q, s, found)
+
+    def compare(batches):
+        now, parts = None, []
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in key])
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
+                if a == b:
+                    continue
+                if now != tuple(keys[:, a]):
+                    if parts:
+                        yield from block(parts)
+                    now, parts = tuple(keys[:, a]), []
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from block(parts)
+
+    both = q.withColumn("is_q", F.lit(True)).unionByName(s.withColumn("is_q", F.lit(False)))
     # blocks are small in bytes and large in arithmetic: keep them spread out
-    n = width(q.sparkSession)
-    q, s = q.repartition(n, *cell), s.repartition(n, *cell)
-    return q.groupBy(*cell).cogroup(s.groupBy(*cell)).applyInPandas(compare, _RESULT)
+    dealt = both.repartition(width(spark), *key)
+    return dealt.sortWithinPartitions(*key, F.desc("is_q"), "zone", "at", "id").mapInArrow(compare, _RESULT)
 
 
 def rank_candidates(found: DataFrame, k: int | None) -> DataFrame:
@@ -158,16 +300,20 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
 
 
 def _layout(q: DataFrame, s: DataFrame, threshold: float, pivots: int | None, block_rows: int):
-    if pivots is None:
+    """Both sides in blocks, and which zones meet."""
+    if threshold <= -1:
+        pivots = 0  # all zones would meet
+    elif pivots is None:
         pivots = min(256, s.count() // (4 * block_rows))
+    zero, meets = F.lit(0).cast("bigint"), None
     if pivots < 2:
-        one = F.lit(0).cast("bigint")
-        return q.withColumn("cell", one), s.withColumn("cell", one)
-    centres = _pivots(s, pivots)
-    q, s = _assign(q, centres), _assign(s, centres)
-    meet = _meeting_cells(q, s, centres, threshold)
-    q = q.join(F.broadcast(meet), "cell").drop("cell", "angle").withColumnRenamed("to_cell", "cell")
-    return q, s.drop("angle")
+        q, s = q.withColumn("zone", zero), s.withColumn("zone", zero)
+    else:
+        centres = _pivots(s, pivots)
+        q, s = _assign(q, centres), _assign(s, centres)
+        meets = _meeting_zones(q, s, centres, threshold)
+        q, s = q.drop("angle"), s.drop("angle")
+    return *_blocks(q.withColumn("cell", zero), s.withColumn("cell", zero), PARTS), meets
 
 
 # --- operators --------------------------------------------------------------------------
@@ -190,18 +336,16 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 3, threshold: float = -1.
         # of equal vectors only the k oldest can be among the best k
         same = Window.partitionBy("vec").orderBy("at", "id")
         s = s.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k).drop("_n")
-    q, s = _layout(q, s, threshold, pivots, block_rows)
-    q, s = _blocks(q, s, block_rows)
-    return _merge(_compare(q, s, k, threshold, in_time, False), k)
+    q, s, meets = _layout(q, s, threshold, pivots, block_rows)
+    return _merge(_compare(q, s, k, threshold, in_time, False, block_rows, meets), k)
 
 
 def above(queries: DataFrame, store: DataFrame, threshold: float, qid: str = "request_id", sid: str = "entry_id",
           q_vec: str = "embedding", s_vec: str = "embedding", pivots: int | None = None,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every entry at or above the threshold, however many a query has: (qid, sid, similarity, s_at)."""
-    q, s = _layout(_side(queries, qid, q_vec, None, None), _side(store, sid, s_vec, None, None), threshold, pivots, block_rows)
-    q, s = _blocks(q, s, block_rows)
-    return _compare(q, s, None, threshold, False, False)
+    q, s, meets = _layout(_side(queries, qid, q_vec, None, None), _side(store, sid, s_vec, None, None), threshold, pivots, block_rows)
+    return _compare(q, s, None, threshold, False, False, block_rows, meets).select("qid", "sid", "similarity", "s_at")
 
 
 def _distinct_vectors(df: DataFrame, rid: str, vec: str) -> tuple[DataFrame, DataFrame]:
@@ -222,17 +366,13 @@ def similar_pairs(df: DataFrame, threshold: float, rid: str = "id", vec: str = "
     on each side. Equal vectors stand in for each other (see :func:`copies`), so a large
     group of copies does not become a quadratic number of rows."""
     reps, _ = _distinct_vectors(df, rid, vec)
-    # built twice: the two sides of a cogroup must not share columns
-    q, s = _side(reps, "rep", "vec", None, None), _side(reps, "rep", "vec", None, None)
-    q, s = _layout(q, s, threshold, pivots, block_rows)
-    q, s = _blocks(q, s, block_rows)
-    pairs = _compare(q, s, None, threshold, False, True)
-    n = reps.select("rep", "copies")
-    return (
-        pairs.select(F.col("qid").cast("bigint").alias("i"), F.col("sid").cast("bigint").alias("j"), "similarity")
-        .join(n.select(F.col("rep").alias("i"), F.col("copies").alias("i_copies")), "i")
-        .join(n.select(F.col("rep").alias("j"), F.col("copies").alias("j_copies")), "j")
-        .select("i", "j", "similarity", "i_copies", "j_copies"))
+    side = _side(reps, "rep", "vec", None, None, F.col("copies"))
+    q, s, meets = _layout(side, side, threshold, pivots, block_rows)
+    # the numbers of copies go with the vectors: pairs, which are many, are not joined again
+    pairs = _compare(q, s, None, threshold, False, True, block_rows, meets)
+    return pairs.select(
+        F.col("qid").cast("bigint").alias("i"), F.col("sid").cast("bigint").alias("j"), "similarity",
+        F.col("q_copies").alias("i_copies"), F.col("s_copies").alias("j_copies"))
 
 
 def similarity_matrix(df: DataFrame, floor: float, rid: str = "id", vec: str = "embedding",
@@ -260,7 +400,8 @@ def _signatures(df: DataFrame, dim: int, tables: int, bits: int, seed: int) -> D
                 cells = side @ weights + (np.arange(tables, dtype="int64") << bits)
                 yield pdf.assign(cell=list(cells))
 
-    return df.mapInPandas(sign, _SIDE + ", cell array<bigint>").withColumn("cell", F.explode("cell"))
+    return df.mapInPandas(sign, _SIDE + ", cell array<bigint>").withColumn("cell", F.explode("cell")).withColumn(
+        "zone", F.lit(0).cast("bigint"))
 
 
 def knn_lsh(queries: DataFrame, store: DataFrame, k: int = 3, dim: int = 384, tables: int = 8,
@@ -271,8 +412,8 @@ def knn_lsh(queries: DataFrame, store: DataFrame, k: int = 3, dim: int = 384, ta
     in bounded blocks, so a crowded signature only means more blocks."""
     q = _signatures(_side(queries, qid, q_vec, None, None), dim, tables, bits, seed)
     s = _signatures(_side(store, sid, s_vec, None, None), dim, tables, bits, seed)
-    q, s = _blocks(q, s, block_rows)
-    found = _compare(q, s, k, threshold, False, False).dropDuplicates(["qid", "sid"])
+    q, s = _blocks(q, s, 1)
+    found = _compare(q, s, k, threshold, False, False, block_rows).dropDuplicates(["qid", "sid"])
     return _merge(found, k)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from promptlake.config import Config
 from promptlake.operators.absorb import semantic_absorb
 from promptlake.operators.exact_cache import l1_attribute, l1_lookup_asof
+from promptlake.operators import similarity
 from promptlake.operators.similarity import copies, knn, knn_lsh, recall_vs_exact, similar_pairs, similarity_matrix
 from promptlake.plans.attribute import attribute_tiers
 
@@ -120,6 +121,37 @@ def test_pairs_with_a_crowd_of_copies(spark):
     assert similarity_matrix(df, 0.4).count() == 2 * len(want) + 30
 
 
+def test_blocks_send_a_row_a_fixed_number_of_times(spark):
+    """However small the tiles, a row is dealt to no more than PARTS blocks, and pairs are whole."""
+    rng = np.random.default_rng(7)
+    v = np.array(vectors(rng, 1500))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, embedding array<float>")
+    side = similarity._side(df, "id", "embedding", None, None)
+    q, s, _ = similarity._layout(side, side, 0.9, 4, 10)
+    assert q.count() <= 1500 * similarity.PARTS and s.count() <= 1500 * similarity.PARTS
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.tril(np.round(unit @ unit.T, 6) >= 0.9, -1)))}
+    assert {(r.i, r.j) for r in similar_pairs(df, 0.9, pivots=4, block_rows=10).collect()} == want
+
+
+def test_knn_in_time_over_tiles_and_zones(spark):
+    rng = np.random.default_rng(8)
+    v = vectors(rng, 120, distinct=12)  # copies, so that ties are decided by time and id
+    at = [int(x) for x in rng.integers(0, 40, 120)]
+    df = spark.createDataFrame([(f"r{i:03}", x, t, t + 15) for i, (x, t) in enumerate(zip(v, at))],
+                               "rid string, embedding array<float>, ts long, until long").select(
+        "rid", "embedding", F.timestamp_seconds("ts").alias("ts"), F.timestamp_seconds("until").alias("until"))
+    unit = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    want = set()
+    for i in range(120):
+        live = sorted((-sims[i, j], at[j], j) for j in range(120) if (at[j], j) < (at[i], i) and at[i] < at[j] + 15 and sims[i, j] >= 0.2)
+        want |= {(f"r{i:03}", rank + 1, f"r{j:03}") for rank, (_, _, j) in enumerate(live[:4])}
+    for layout in ({"pivots": 0}, {"pivots": 5, "block_rows": 7}):
+        got = knn(df, df, 4, 0.2, qid="rid", sid="rid", q_at="ts", s_at="ts", s_until="until", **layout).collect()
+        assert {(r.qid, r["rank"], r.sid) for r in got} == want
+
+
 def test_lsh_finds_most(spark):
     rng = np.random.default_rng(8)
     s = vectors(rng, 200, 16)
