@@ -24,9 +24,10 @@ def diagnose_pairs(pairs: DataFrame, emb_raw: DataFrame, emb_norm: DataFrame, te
     originals = emb_norm.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi")
     close = similar_pairs(originals, threshold)
     members = copies(originals)
+    ends = F.explode(F.array(F.struct(F.col("i").alias("rep"), F.col("j_copies").alias("c")),
+                             F.struct(F.col("j").alias("rep"), F.col("i_copies").alias("c"))))
     per_rep = (
-        close.select(F.col("i").alias("rep"), F.col("j_copies").alias("c"))
-        .unionByName(close.select(F.col("j").alias("rep"), F.col("i_copies").alias("c")))
+        close.select(ends.alias("e")).groupBy("e.rep").agg(F.sum("e.c").alias("c"))
         .unionByName(members.groupBy("rep").agg((F.count(F.lit(1)) - 1).alias("c")))
         .groupBy("rep").agg(F.sum("c").alias("close_originals")))
     near = members.join(per_rep, "rep").select(F.col("id").alias("a"), "close_originals")
