@@ -16,9 +16,11 @@ are flattened below it, for the alignment only.
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -27,8 +29,8 @@ from promptlake.llm.batches import broadcast_if_small, chunks
 from promptlake.session import cut
 
 DEPTH = 60
-LARGEST = 250_000
 ALIGNMENTS = 20_000
+REMEMBERED = 1_000_000  # sizes kept while two trees are aligned; what was let go is worked out again
 
 # fixed names of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -188,72 +190,105 @@ class _Tree:
             self.forms[i] = f"{self.tags[i]}({' '.join(self.forms[c] for c in self.children[i])})" if self.children[i] else self.tags[i]
 
 
+class _Siblings:
+    """Best in-order alignment of two lists of kinds, of which any two match with a weight. One row of
+    the table is worked out at a time and only some rows are kept; the way back opens those between
+    again, so that memory grows with the square root of one list times the other."""
+
+    def __init__(self, x: list[int], y: list[int], weight: Callable[[int, int], int]) -> None:
+        self.x, self.weight = x, weight
+        self.kinds, self.at = np.unique(np.array(y), return_inverse=True)
+        self.rows: dict[int, np.ndarray] = {}
+
+    def _next(self, above: np.ndarray, kind: int) -> np.ndarray:
+        if kind not in self.rows:
+            if len(self.rows) * len(self.kinds) >= REMEMBERED:
+                self.rows.clear()
+            self.rows[kind] = np.array([self.weight(kind, k) for k in self.kinds.tolist()], dtype=np.int64)
+        row = above.copy()
+        np.maximum(row[1:], above[:-1] + self.rows[kind][self.at], out=row[1:])
+        return np.maximum.accumulate(row, out=row)
+
+    def total(self) -> int:
+        row = np.zeros(len(self.at) + 1, dtype=np.int64)
+        for kind in self.x:
+            row = self._next(row, kind)
+        return int(row[-1])
+
+    def pairs(self) -> list[tuple[int, int]]:
+        step = math.isqrt(len(self.x)) + 1
+        row, kept = np.zeros(len(self.at) + 1, dtype=np.int64), []
+        for i, kind in enumerate(self.x):
+            if i % step == 0:
+                kept.append(row)
+            row = self._next(row, kind)
+        got, j = [], len(self.at)
+        for first in range((len(kept) - 1) * step, -1, -step):
+            table = [kept.pop()]
+            for kind in self.x[first:first + step]:
+                table.append(self._next(table[-1], kind))
+            i = len(table) - 1
+            while i and j:
+                if table[i][j] == table[i - 1][j]:
+                    i -= 1
+                elif table[i][j] == table[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    got.append((first + i, j))
+        return got
+
+
 def tree_match(reference: str, shape: str) -> list[int]:
     """Simple tree matching: for each node of ``shape`` the node of ``reference`` aligned with it, or -1."""
     a, b = _Tree(reference), _Tree(shape)
-    sizes: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def pairs(x: list[int], y: list[int]) -> tuple[int, list[tuple[int, int]]]:
-        """Best in-order alignment of two lists of siblings. Like ends are paired at once, which
-        cannot lose matches; only what lies between needs the table."""
-        got, total = [], 0
-        lo = 0
-        while lo < min(len(x), len(y)) and a.forms[x[lo]] == b.forms[y[lo]]:
-            got.append((x[lo], y[lo]))
-            total += size(x[lo], y[lo])
+    numbers: dict[str, int] = {}
+    of_a, of_b = ([numbers.setdefault(f, len(numbers)) for f in tree.forms] for tree in (a, b))
+    # trees of one form are alike in all that follows; one of each stands for them
+    some_a, some_b = dict(zip(of_a, range(len(of_a)))), dict(zip(of_b, range(len(of_b))))
+    sizes: dict[tuple[int, int], int] = {}
+
+    def between(x: list[int], y: list[int]) -> tuple[int, int]:
+        """How many siblings are of like form at the start and at the end. Pairing those at once cannot
+        lose matches; only what lies between needs the table."""
+        least, lo, hi = min(len(x), len(y)), 0, 0
+        while lo < least and of_a[x[lo]] == of_b[y[lo]]:
             lo += 1
-        hi = 0
-        while hi < min(len(x), len(y)) - lo and a.forms[x[-1 - hi]] == b.forms[y[-1 - hi]]:
-            got.append((x[-1 - hi], y[-1 - hi]))
-            total += size(x[-1 - hi], y[-1 - hi])
+        while hi < least - lo and of_a[x[-1 - hi]] == of_b[y[-1 - hi]]:
             hi += 1
-        x, y = x[lo:len(x) - hi], y[lo:len(y) - hi]
-        if not x or not y:
-            return total, got
-        if len(x) * len(y) > LARGEST:  # very long lists: in order, first come first served
-            j = 0
-            for i in x:
-                k = next((k for k in range(j, min(len(y), j + 500)) if a.tags[i] == b.tags[y[k]]), None)
-                if k is not None:
-                    got.append((i, y[k]))
-                    total += size(i, y[k])
-                    j = k + 1
-            return total, got
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for i, p in enumerate(x):
-            row, above = table[i + 1], table[i]
-            for j, q in enumerate(y):
-                best = max(above[j + 1], row[j])
-                if a.tags[p] == b.tags[q]:
-                    best = max(best, above[j] + size(p, q))
-                row[j + 1] = best
-        i, j = len(x), len(y)
-        total += table[i][j]
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                got.append((x[i], y[j]))
-        return total, got
-
-    def size(p: int, q: int) -> int:
+        return lo, hi
+
+    def siblings(x: list[int], y: list[int]) -> _Siblings:
+        return _Siblings([of_a[n] for n in x], [of_b[n] for n in y], size)
+
+    def size(form_a: int, form_b: int) -> int:
+        p, q = some_a[form_a], some_b[form_b]
         if a.tags[p] != b.tags[q]:
             return 0
-        if (p, q) not in sizes:
-            n, got = pairs(a.children[p], b.children[q])
-            sizes[p, q] = n + 1, got
-        return sizes[p, q][0]
+        n = sizes.get((form_a, form_b))
+        if n is None:
+            x, y = a.children[p], b.children[q]
+            lo, hi = between(x, y)
+            n = 1 + sum(size(of_a[i], of_b[j]) for i, j in zip(x[:lo] + x[len(x) - hi:], y[:lo] + y[len(y) - hi:]))
+            x, y = x[lo:len(x) - hi], y[lo:len(y) - hi]
+            if x and y:
+                n += siblings(x, y).total()
+            if len(sizes) >= REMEMBERED:
+                sizes.clear()
+            sizes[form_a, form_b] = n
+        return n
 
     out = [-1] * len(b.tags)
-    size(0, 0)
     todo = [(0, 0)]
     while todo:
         p, q = todo.pop()
         out[q] = p
-        todo += sizes[p, q][1]
+        x, y = a.children[p], b.children[q]
+        lo, hi = between(x, y)
+        todo += zip(x[:lo] + x[len(x) - hi:], y[:lo] + y[len(y) - hi:])
+        x, y = x[lo:len(x) - hi], y[lo:len(y) - hi]
+        if x and y:
+            todo += [(x[i], y[j]) for i, j in siblings(x, y).pairs()]
     return out
 
 

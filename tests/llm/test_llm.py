@@ -437,3 +437,15 @@ def test_stages_on_odd_rows(spark):
         for df in (odd, odd.limit(0)):
             assert set(odd.columns) <= set(stage(spark, df, SF).columns)
             stage(spark, df, SF).collect()
+
+
+def test_tree_match_of_long_lists():
+    """The best alignment at any length: 600 like paragraphs are worth more than one heading on their way."""
+    from promptlake.llm.html_wrapper import tree_match
+
+    reference, shape = ("0# " + " ".join(f"1{t}" for t in tags) for tags in (
+        ["h2"] + ["p"] * 600 + ["ul"], ["ul"] + ["p"] * 400 + ["h2"] + ["p"] * 200 + ["h3"]))
+    found = tree_match(reference, shape)
+    assert sum(x >= 0 for x in found) == 601
+    kept = [x for x in found if x > 0]
+    assert kept == sorted(set(kept))
