@@ -44,3 +44,17 @@ def test_depth_is_held_at_zero(spark):
         F.timestamp_micros((F.col("b") * 1e6).cast("bigint")).alias("exit_ts"))
     got = {(r.pod, r.s): r.depth for r in queue_depth(df).withColumn("s", F.unix_timestamp("ts")).collect()}
     assert got == {**{("p", s): int(110 <= s < 4000) for s in range(55, 4001, 5)}, (None, 5): 1, (None, 10): 0}
+
+
+def test_grams_are_counted_before_they_become_rows(spark):
+    """A text gives a row for each different gram, however often it repeats it."""
+    from collections import Counter
+
+    from promptlake.operators.language import _grams
+
+    texts = ["ab" * 3000, "a\U0001F600b\n\x00a", "", None, "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for n_max in (3, 5):
+        got = {(r.doc_id, r.gram): r.c for r in _grams(df, "text", "doc_id", n_max).collect()}
+        want = Counter((i, t[j:j + n]) for i, t in enumerate(texts) if t for n in range(1, n_max + 1) for j in range(len(t) - n + 1))
+        assert got == dict(want)
