@@ -123,8 +123,9 @@ class _Rows:
         m = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), -1)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
         self.m, self.id = m, column("id")
+        # an unknown time orders first, as in a sort
         self.at, self.until, self.zone, self.copies = (
-            column(c).to_numpy(zero_copy_only=False) for c in ("at", "until", "zone", "copies"))
+            pc.fill_null(column(c), -2**63).to_numpy(zero_copy_only=False) for c in ("at", "until", "zone", "copies"))
 
     def __len__(self):
         return len(self.m)
@@ -332,7 +333,9 @@ def knn(queries: DataFrame, store: DataFrame, k: int = 3, threshold: float = -1.
     in_time = q_at is not None
     q = _side(queries, qid, q_vec, q_at, None)
     s = _side(store, sid, s_vec, s_at, s_until)
-    if not in_time:
+    if in_time:  # what has no time is never before anything, nor alive
+        q, s = q.filter("at IS NOT NULL"), s.filter("at IS NOT NULL AND until IS NOT NULL")
+    else:
         # of equal vectors only the k oldest can be among the best k
         same = Window.partitionBy("vec").orderBy("at", "id")
         s = s.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= k).drop("_n")

@@ -138,7 +138,9 @@ def test_knn_in_time_over_tiles_and_zones(spark):
     rng = np.random.default_rng(8)
     v = vectors(rng, 120, distinct=12)  # copies, so that ties are decided by time and id
     at = [int(x) for x in rng.integers(0, 40, 120)]
-    df = spark.createDataFrame([(f"r{i:03}", x, t, t + 15) for i, (x, t) in enumerate(zip(v, at))],
+    rows = [(f"r{i:03}", x, t, t + 15) for i, (x, t) in enumerate(zip(v, at))]
+    rows += [("none", v[0], None, None), ("no time", v[0], None, 50), ("no end", v[0], 0, None)]
+    df = spark.createDataFrame(rows,
                                "rid string, embedding array<float>, ts long, until long").select(
         "rid", "embedding", F.timestamp_seconds("ts").alias("ts"), F.timestamp_seconds("until").alias("until"))
     unit = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
@@ -147,6 +149,9 @@ def test_knn_in_time_over_tiles_and_zones(spark):
     for i in range(120):
         live = sorted((-sims[i, j], at[j], j) for j in range(120) if (at[j], j) < (at[i], i) and at[i] < at[j] + 15 and sims[i, j] >= 0.2)
         want |= {(f"r{i:03}", rank + 1, f"r{j:03}") for rank, (_, _, j) in enumerate(live[:4])}
+    # the row without an end asks as any other, at its time
+    old = sorted((-sims[0, j], at[j], j) for j in range(120) if at[j] == 0 and f"r{j:03}" < "no end" and sims[0, j] >= 0.2)
+    want |= {("no end", rank + 1, f"r{j:03}") for rank, (_, _, j) in enumerate(old[:4])}
     for layout in ({"pivots": 0}, {"pivots": 5, "block_rows": 7}):
         got = knn(df, df, 4, 0.2, qid="rid", sid="rid", q_at="ts", s_at="ts", s_until="until", **layout).collect()
         assert {(r.qid, r["rank"], r.sid) for r in got} == want
