@@ -240,17 +240,37 @@ def stream_queue_avg(samples: DataFrame, short: int = 12, long: int = 60, delay:
 class Truncation(StatefulProcessor):
     """Bytes so far per response. Chunks are numbered from 0; one that comes before its predecessors,
     also in an earlier batch, waits for them in state. A response that stays idle on the event clock
-    is closed: what still waits is given out in order over the gaps, and the response is forgotten."""
+    is closed: what still waits is given out in order over the gaps, and the response is forgotten.
+
+    A key holds a bucket of responses, as every call for state costs far more than a response's share
+    of a list: the bucket's open responses are one value, and the chunks that a batch leaves waiting
+    are one part of a map, which is read when one of them is due."""
 
     def __init__(self, factor: float, idle_ms: int):
         self.factor, self.idle_ms = factor, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sofar = handle.getValueState("sofar", "next bigint, bytes bigint, cut boolean, alarm bigint")
-        self.waiting = handle.getMapState("waiting", "seq bigint", "delta string, most bigint")
-
-    def _chunk(self, state, seq, delta, most, found):
+        # one item per open response; held and part: numbers of its waiting chunks, and where they lie
+        self.open = handle.getValueState("open", (
+            "alarm bigint, parts bigint, ids array<string>, next array<bigint>, bytes array<bigint>, cut array<boolean>, "
+            "until array<bigint>, held array<array<bigint>>, part array<array<bigint>>"))
+        self.waiting = handle.getMapState("waiting", "part bigint", (
+            "ids array<string>, seqs array<bigint>, deltas array<string>, most array<bigint>"))
+
+    def _read(self) -> tuple[int | None, int, dict]:
+        """The set timer, the number of the next part, and id: [next, bytes, cut, until, {seq: part}]."""
+        alarm, parts, ids, *rows, held, part = self.open.get() or (None, 0, *[()] * 7)
+        return alarm, parts, {rid: [*row, dict(zip(h, p))] for rid, *row, h, p in zip(ids, *rows, held, part)}
+
+    def _write(self, alarm, parts, responses) -> None:
+        if not responses:
+            self.open.clear()
+            return
+        rows = [(rid, *row, list(held), list(held.values())) for rid, (*row, held) in responses.items()]
+        self.open.update((alarm, parts, *map(list, zip(*rows))))
+
+    def _chunk(self, state, rid, seq, delta, most, found):
         """State after one more chunk in order; what it gives goes to ``found``."""
         total, cut = state
         if cut or not delta:
@@ -258,60 +278,99 @@ class Truncation(StatefulProcessor):
         total += len(delta.encode("utf-8"))
         tokens = max(1, total // 4)
         cut = most is not None and tokens > most
-        found.append((seq, delta + MARK if cut else delta, tokens, cut))
+        found.append((seq, delta + MARK if cut else delta, tokens, cut, rid))
         return total, cut
 
-    def _frame(self, key, found):
-        return pd.DataFrame(found, columns=["seq", "delta", "tokens_so_far", "truncated"]).assign(response_id=key[0])
+    def _frame(self, found):
+        return pd.DataFrame(found, columns=["seq", "delta", "tokens_so_far", "truncated", "response_id"])
+
+    def _take(self, rid, seq, part, stored):
+        """A waiting chunk; ``stored`` has the parts that were read: their chunks, and if any was taken."""
+        if part not in stored:
+            stored[part] = {(r, s): chunk for r, s, *chunk in zip(*self.waiting.getValue((part,)))}
+        return stored[part].pop((rid, seq))
+
+    def _put(self, part, chunks) -> None:
+        if chunks:
+            rows = [(rid, seq, *chunk) for (rid, seq), chunk in chunks.items()]
+            self.waiting.updateValue((part,), tuple(map(list, zip(*rows))))
+        else:
+            self.waiting.removeKey((part,))
 
     def handleInputRows(self, key, rows, timerValues):
-        due, total, cut, alarm = tuple(self.sofar.get()) if self.sofar.exists() else (0, 0, False, None)
-        state, found, until = (total, cut), [], alarm
-        chunks = pd.concat(list(rows))
-        limits = [None if m is None or m != m else int(m * self.factor) for m in chunks["predicted_max"].tolist()]
-        now = {seq: (delta, most) for seq, delta, most in zip(map(int, chunks["seq"]), chunks["delta"], limits) if seq >= due}
-        while True:
-            if due in now:
-                delta, most = now.pop(due)
-            elif self.waiting.containsKey((due,)):
-                delta, most = self.waiting.getValue((due,))
-                self.waiting.removeKey((due,))
-            else:
-                break
-            state = self._chunk(state, due, delta, most, found)
-            due += 1
-        if not state[1]:
-            for seq, chunk in now.items():
-                self.waiting.updateValue((seq,), chunk)
-        until = max(int(chunks["us"].max()) // 1000 + self.idle_ms, alarm or 0)
-        if until != alarm:
-            if alarm is not None:
-                self.handle.deleteTimer(alarm)
-            self.handle.registerTimer(until)
-        self.sofar.update((due, *state, until))
-        if found:
-            yield self._frame(key, found)
+        mark = timerValues.getCurrentWatermarkInMs()
+        first, parts, responses = self._read()
+        stored, late = {}, {}
+        for pdf in rows:
+            new: dict = {}
+            for rid, seq, delta, most, us in zip(*(_plain(pdf[c]) for c in ("rid", "seq", "delta", "predicted_max", "us"))):
+                chunks, newest = new.get(rid, ({}, None))
+                chunks[int(seq)] = (delta, None if most is None else int(most * self.factor))
+                new[rid] = (chunks, us if newest is None else newest if us is None else max(us, newest))
+            found: list = []
+            for rid, (chunks, newest) in new.items():
+                due, total, cut, until, held = responses.get(rid, (0, 0, False, None, {}))
+                state, now = (total, cut), {seq: chunk for seq, chunk in chunks.items() if seq >= due}
+                while due in now or due in held:
+                    part = held.pop(due, None)
+                    waited = None if part is None else late.pop((rid, due)) if part == parts else self._take(rid, due, part, stored)
+                    state = self._chunk(state, rid, due, *(now.pop(due) if due in now else waited), found)
+                    due += 1
+                if not state[1]:
+                    for seq, chunk in now.items():
+                        if held.get(seq, parts) != parts:  # sent again
+                            self._take(rid, seq, held[seq], stored)
+                        held[seq], late[rid, seq] = parts, chunk
+                end = (mark if newest is None else int(newest) // 1000) + self.idle_ms
+                responses[rid] = [due, *state, end if until is None else max(end, until), held]
+            if found:
+                yield self._frame(found)
+        for part, chunks in stored.items():
+            self._put(part, chunks)
+        if late:
+            self._put(parts, late)
+        alarm = min((r[3] for r in responses.values()), default=None)
+        if first is not None and (alarm is None or alarm >= first):
+            alarm = first  # it comes early, and is then set anew
+        elif alarm is not None:
+            if first is not None:
+                self.handle.deleteTimer(first)
+            self.handle.registerTimer(alarm)
+        self._write(alarm, parts + 1, responses)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        _, total, cut, _ = self.sofar.get()
-        state, found = (total, cut), []
-        for (seq,), (delta, most) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
-            state = self._chunk(state, seq, delta, most, found)
-        self.waiting.clear()
-        self.sofar.clear()
+        mark = timerValues.getCurrentWatermarkInMs()
+        _, parts, responses = self._read()
+        found, stored, left = [], {}, {}
+        for rid, (due, total, cut, until, held) in responses.items():
+            if until > mark:
+                left[rid] = [due, total, cut, until, held]
+                continue
+            state = (total, cut)
+            for seq in sorted(held):
+                state = self._chunk(state, rid, seq, *self._take(rid, seq, held[seq], stored), found)
+        for part, chunks in stored.items():
+            self._put(part, chunks)
+        alarm = min((r[3] for r in left.values()), default=None)
+        # always later than the watermark, so it is never the timer that is being handled
+        if alarm is not None:
+            self.handle.registerTimer(alarm)
+        self._write(alarm, parts, left)
         if found:
-            yield self._frame(key, found)
+            yield self._frame(found)
 
 
 def stream_truncate(chunks: DataFrame, factor: float = 1.5, idle_ms: int = 3_600_000,
-                    delay: str = "10 minutes") -> DataFrame:
+                    delay: str = "10 minutes", buckets: int = 1024) -> DataFrame:
     """Streaming :func:`truncate_stream` over (response_id, seq, ts, delta, predicted_max), chunks
-    numbered from 0 in each response."""
+    numbered from 0 in each response. Ids are numbers or strings. State is kept for ``buckets`` of
+    responses: a started stream keeps their number."""
     use_rocksdb(chunks.sparkSession)
-    id_type = chunks.schema["response_id"].dataType.simpleString()
+    id_type = chunks.schema["response_id"].dataType
     d = chunks.withWatermark("ts", delay).select(
-        "response_id", "seq", "ts", F.unix_micros("ts").alias("us"), "delta", "predicted_max")
-    return d.groupBy("response_id").transformWithStateInPandas(
+        F.pmod(F.xxhash64("response_id"), F.lit(buckets)).alias("bucket"), F.col("response_id").cast("string").alias("rid"),
+        "seq", "ts", F.unix_micros("ts").alias("us"), "delta", "predicted_max")
+    found = d.groupBy("bucket").transformWithStateInPandas(
         Truncation(factor, idle_ms),
-        f"seq int, delta string, tokens_so_far bigint, truncated boolean, response_id {id_type}",
-        "append", "EventTime")
+        "seq int, delta string, tokens_so_far bigint, truncated boolean, response_id string", "append", "EventTime")
+    return found.withColumn("response_id", F.col("response_id").cast(id_type))
