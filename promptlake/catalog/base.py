@@ -10,10 +10,11 @@ from promptlake.functions.keys import l1_key
 from promptlake.functions.text import predict_output_tokens
 from promptlake.plans.attribute import attribute_exact
 from promptlake.rules import Rules
-from promptlake.session import width
+from promptlake.session import cut, width
 
 RULES = Rules()
 CFG = Config()
+FEW_IDS = 1 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +60,13 @@ def request_log(spark, sf_dir, with_text: bool = False) -> DataFrame:
         F.col("user_id").cast("string").alias("user_id"), F.col("value").alias("latency_ms"),
         F.col("event_type").alias("event_type"),
         F.get_json_object("props", "$.k").cast("bigint").alias("doc_id"))
-    # only documents that occur as prompts are hashed and counted
-    used = load(spark, sf_dir, "documents").join(e.select("doc_id").distinct(), "doc_id", "left_semi")
-    return e.join(prompts(used, with_text), "doc_id")
+    # texts stay where they are: a short list of ids picks out those that occur as prompts, and by a
+    # long one, which leaves few out, all are hashed and counted before rows move
+    docs = load(spark, sf_dir, "documents")
+    ids = cut(e.select("doc_id").distinct())
+    if ids.count() <= FEW_IDS:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return e.join(prompts(docs, with_text), "doc_id")
 
 
 def with_vectors(requests: DataFrame, spark, sf_dir) -> DataFrame:

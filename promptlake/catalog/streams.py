@@ -8,7 +8,7 @@ from promptlake.catalog.base import WITH_SERVED, events, request_log, served_log
 from promptlake.catalog.caching import ORACLES as BATCH_SQL, _LONG, _semantic_log, chunks
 from promptlake.catalog.metrics import _AVG, _calls
 from promptlake.operators import exact_cache as X, queue as Q
-from promptlake.session import new_run_dir
+from promptlake.session import cut, new_run_dir
 from promptlake.streaming import batches, ordered, windows
 
 QUERIES: dict = {}
@@ -28,8 +28,8 @@ def query(name, sql=None):
 def _slices(spark, df: DataFrame, slice_of, path: str, heartbeat: bool = False):
     """Write ``df`` slice by slice, pausing after each one for the stream to take it as a batch. A
     last row far in the future lets the watermark pass everything before it; it is dropped from
-    the results."""
-    sliced = df.withColumn("_slice", slice_of)
+    the results. The rows are stored first, or every slice would work them all out again."""
+    sliced = cut(df.withColumn("_slice", slice_of))
     for i in range(SLICES):
         sliced.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(path)
         yield i
