@@ -59,11 +59,13 @@ def l1_attribute(requests: DataFrame, ttl_s: int = 86400, key: str = "cache_key"
     one begins between a part's first and last time; only parts where one can are opened, into
     finer parts, and at most five such rounds end at single microseconds. Rows then meet the
     entries of their own part, so no task sees more of a key than one part's rows.
+
+    The input is read several times, so it is stored first: pass narrow rows.
     """
     ttl_us = ttl_s * 1_000_000
     bits = max(0, (ttl_us // parts).bit_length() - 1)
     stores = F.coalesce(F.col(can_store), F.lit(False)) if can_store else F.lit(True)
-    d = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns(
+    d = cut(requests).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumns(
         {"_st": stores & F.col("_us").isNotNull(), "_b": F.shiftright("_us", bits)})
     entries = _entries(d, ttl_us, bits, key, rid)
     served = entries.select(key, "found", F.explode("buckets").alias("_b")).select(

@@ -1,8 +1,10 @@
 """Work that must not be repeated, and texts that must not move, as the input grows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from promptlake.catalog import base, streams
+from promptlake.operators import exact_cache
 from promptlake.session import new_run_dir
 
 START = 1_704_067_200
@@ -26,6 +28,16 @@ def test_slices_are_worked_out_once(spark):
     assert seen.value == 30
 
 
+@pytest.mark.parametrize("parts", [2, 1440])
+def test_requests_are_worked_out_once(spark, parts):
+    df = spark.range(60).select(
+        F.col("id").alias("x"), F.col("id").cast("string").alias("request_id"), (F.col("id") % 2).cast("string").alias("cache_key"),
+        F.timestamp_seconds(F.lit(START) + F.col("id") * 20_000).alias("ts"))
+    df, seen = counted(spark, df)
+    assert exact_cache.l1_attribute(df, parts=parts).count() == 60
+    assert seen.value == 60
+
+
 def test_the_log_picks_out_texts_without_moving_them(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"text {i}", "en") for i in range(50)] + [(3, "text 3 again", "en"), (None, "no id", "en")],
                           "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
