@@ -10,10 +10,12 @@ also folded into an odd sketch: each flips one bit, so equal samples cancel out
 sketches and its population count tells how many differ. Candidates whose count lies six deviations
 above what the wanted similarity gives are dropped; all others are confirmed on the full sets.
 
-First every member of a bucket is held against the bucket's smallest class, its best such partner
-is confirmed, and components follow. Buckets that still hold several components are then searched
-pair by pair, in blocks of bounded size, for partners in other components: each member's closest
-``most`` ones first, more of them in every further round, until no block had to leave any out.
+Classes that share a bucket meet in the cell of the bucket's smallest class. A class goes there once,
+with its set, however many buckets with that smallest class hold it; a large cell is dealt into
+blocks of bounded size, and each pair of blocks is a group of its own. A group is searched where its
+sets are: each member's closest candidates first, more of them in every further step, and none that
+the links found have connected already. So a group gives no pairs but a forest of confirmed links,
+fewer than it has members, and components follow from all groups' links.
 
 Null or wordless text: an empty set, linked with nothing. Fewer words than a shingle: all of them
 are the one shingle. Repeated ids: each row has the component of its own set. Null ids: they take no
@@ -39,10 +41,10 @@ BANDS, ROWS = 50, 4
 SAMPLES = BANDS * ROWS
 BITS = 512
 ROUNDS = 16
-BLOCK = 2048
-HELD = 1 << 21  # shingles of each side that a cell of pairs holds, 16 MB
-FIRST = 8  # partners per member in the first search
-GROUPS = 4096  # cells into which a centre's partners are dealt
+BLOCK = 8192  # members of a block, at about the most
+HELD = 1 << 21  # shingles of a block, 16 MB, at about the most
+FIRST = 8  # candidates of a member that are confirmed first
+MOST = 512  # candidates confirmed at once
 SLICE = 2048  # texts at once
 CELLS = 1 << 21
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -158,40 +160,6 @@ def _marks(shingle: int):
     return make
 
 
-def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose sets (node, elements) are similar enough. An edge is confirmed in its
-    cell (cell, part); a set goes once to each cell in which it has partners, however many they are."""
-    needed = broadcast_if_small(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cut(sets.join(needed, "node"))
-    places = edges.select("cell", "part", F.explode(F.array("a", "b")).alias("node")).distinct()
-    none = F.lit(None)
-    held = places.join(sets, "node").select("cell", "part", F.col("node").alias("a"), none.cast("long").alias("b"), "elements")
-    rows = held.unionByName(edges.select("cell", "part", "a", "b", none.cast("binary").alias("elements"))).repartition(
-        width(edges.sparkSession), "cell", "part").sortWithinPartitions("cell", "part", F.asc_nulls_first("b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = None, {}
-        for batch in batches:
-            hits: tuple[list, list] = ([], [])
-            data = batch["elements"]
-            for i, (*cell, a, b) in enumerate(zip(*(batch[c].to_pylist() for c in ("cell", "part", "a", "b")))):
-                if cell != at:
-                    at, known = cell, {}
-                if b is None:
-                    known[a] = np.frombuffer(data[i].as_buffer(), np.uint64).copy()
-                    continue
-                small, big = sorted((known[a], known[b]), key=len)
-                found = np.searchsorted(big, small)
-                both = int((big[np.minimum(found, len(big) - 1)] == small).sum())
-                if 100 * both >= percent * (len(small) + len(big) - both):
-                    hits[0].append(a)
-                    hits[1].append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in hits], ["a", "b"])
-
-    with short_batches(edges.sparkSession):
-        return cut(rows.select("cell", "part", "a", "b", "elements").mapInArrow(run, "a long, b long"))
-
-
 def _block(node: Column | str, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(node), blocks).cast("int")
 
@@ -200,129 +168,98 @@ def _block_pair(x: Column | str, y: Column | str) -> Column:
     return F.least(x, y).cast("long") * (1 << 31) + F.greatest(x, y)
 
 
-def _near(most: int, flips: int, percent: int):
-    """Candidates (a, b, bucket, weight, more) of sorted rows (bucket, pair, weight, node, root, n, sketch): for each
-    member its ``most`` closest ones of other components in its block; ``more`` where there are others."""
-
-    def small(row, root, n, sketch, starts, sizes):
-        reps = np.repeat(sizes, sizes)
-        left = np.repeat(np.arange(len(row)), reps)
-        base = np.repeat(np.cumsum(reps) - reps, reps)
-        right = np.repeat(np.repeat(starts, sizes), reps) + np.arange(len(left)) - base
-        ok = (left > right) & (root[left] != root[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
-        left, right = left[ok], right[ok]
-        ok = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= flips
-        return row[left[ok]], row[right[ok]], np.zeros(int(ok.sum()), bool)
-
-    def large(row, root, n, sketch):
-        out: tuple[list, list, list] = ([], [], [])
-        step = max(1, CELLS // (len(row) * sketch.shape[1]))
-        for lo in range(0, len(row), step):
-            x = slice(lo, lo + step)
-            apart = np.bitwise_count(sketch[x, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
-            bad = (root[x, None] == root[None, :]) | (100 * np.minimum(n[x, None], n[None, :]) < percent * np.maximum(n[x, None], n[None, :])) | (apart > flips)
-            apart[bad] = BITS + 1
-            good = (~bad).sum(axis=1)
-            if not good.any():
-                continue
-            keep = min(most, len(row))
-            best = np.argpartition(apart, keep - 1, axis=1)[:, :keep]
-            i, j = np.nonzero(np.take_along_axis(apart, best, axis=1) <= flips)
-            y = best[i, j]
-            out[0].append(row[lo + i])
-            out[1].append(row[y])
-            out[2].append(good[i] > keep)
-        return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-
-    def lists(batches: Iterator[pa.RecordBatch]):
-        rest = None
-        for batch in batches:
-            now = [np.asarray(batch[c], np.int64) for c in ("bucket", "pair", "weight", "node", "root", "n")]
-            now.append(np.stack([np.asarray(batch[s], np.int64) for s in _WORDS], axis=1).view(np.uint64))
-            if rest is not None:
-                now = [np.concatenate(x) for x in zip(rest, now)]
-            if not len(now[0]):
-                continue
-            new = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
-            at = int(new[-1]) if len(new) else 0
-            if at:
-                yield [x[:at] for x in now]
-            rest = [x[at:] for x in now]
-        if rest is not None and len(rest[0]):
-            yield rest
+def forest(block: np.ndarray, sketch: np.ndarray, border: np.ndarray, value: np.ndarray, flips: int, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that connect exactly the members which chains of similar ones connect, none
+    twice. Of members of two blocks only those of different ones are held against each other."""
+    sizes, root, made = np.diff(border), np.arange(len(block)), []
+    two = bool((block != block[0]).any())
+    value = np.unique(value, return_inverse=True)[1]
+    mine = np.zeros(value.max(initial=0) + 1, bool)  # of all shingles, those of x
+    for x in range(len(block) - 1):
+        later = slice(x + 1, None)
+        ok = (root[later] != root[x]) & (100 * np.minimum(sizes[later], sizes[x]) >= percent * np.maximum(sizes[later], sizes[x]))
+        y = x + 1 + np.flatnonzero(ok & (block[later] != block[x]) if two else ok)
+        apart = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+        y = y[np.argsort(apart, kind="stable")[:(apart <= flips).sum()]]
+        if not len(y):
+            continue
+        own, most = value[border[x]:border[x + 1]], FIRST
+        mine[own] = True
+        while len(y):
+            some = y[:most]
+            ends = np.cumsum(sizes[some])
+            starts = ends - sizes[some]
+            inside = np.repeat(border[some] - starts, sizes[some]) + np.arange(ends[-1])
+            both = np.add.reduceat(mine[value[inside]], starts, dtype=np.int64)
+            for z in some[100 * both >= percent * (sizes[x] + sizes[some] - both)].tolist():
+                if root[z] != root[x]:
+                    made.append((x, z))
+                    root[root == root[z]] = root[x]
+            y = y[most:]
+            y = y[root[y] != root[x]]
+            most = min(8 * most, MOST)
+        mine[own] = False
+    return made
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """(node, block, sketch, size, shingles) of each group (cell, part) of sorted rows."""
+    at, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, part, node, block = (np.asarray(batch[c], np.int64) for c in ("cell", "part", "node", "block"))
+        sketch = np.stack([np.asarray(batch[s], np.int64) for s in _WORDS], axis=1).view(np.uint64)
+        value, border = text_bytes(batch["elements"])
+        value, border = value.view(np.uint64), border // 8
+        new = np.flatnonzero((cell[1:] != cell[:-1]) | (part[1:] != part[:-1])) + 1
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(node)]):
+            if held and at != (cell[lo], part[lo]):
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            at = cell[lo], part[lo]
+            held.append((node[lo:hi], block[lo:hi], sketch[lo:hi], np.diff(border[lo:hi + 1]), value[border[lo]:border[hi]]))
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _search(flips: int, percent: int):
+    """Links (a, b) of each group of sorted rows (cell, part, node, block, sketch words, elements)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, pair, weight, no, root, n, sketch in lists(batches):
-            new = np.ones(len(no), bool)
-            new[1:] = (bucket[1:] != bucket[:-1]) | (pair[1:] != pair[:-1])
-            starts = np.flatnonzero(new)
-            sizes = np.diff(np.append(starts, len(no)))
-            few = sizes <= 16
-            found, row = [], np.arange(len(no))
-            inside = np.repeat(few, sizes)
-            if inside.any():
-                s = sizes[few]
-                found.append(small(row[inside], root[inside], n[inside], sketch[inside], np.cumsum(s) - s, s))
-            for a, m in zip(starts[~few].tolist(), sizes[~few].tolist()):
-                x = slice(a, a + m)
-                found.append(large(row[x], root[x], n[x], sketch[x]))
-            x, y, more = (np.concatenate(f) for f in zip(*found))
-            made = [np.maximum(no[x], no[y]), np.minimum(no[x], no[y]), bucket[x], weight[x], more.astype(bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], ["a", "b", "bucket", "weight", "more"])
+        made = []
+        for node, block, sketch, size, value in _groups(batches):
+            made += [(node[x], node[y]) for x, y in forest(block, sketch, np.concatenate([[0], np.cumsum(size)]), value, flips, percent)]
+            if len(made) >= SLICE:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], ["a", "b"])
+                made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made)], ["a", "b"])
 
     return run
 
 
-def _apart(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in _WORDS[1:]), F.bit_count(F.col(f"{x}.{_WORDS[0]}").bitwiseXOR(F.col(f"{y}.{_WORDS[0]}"))))
-
-
 def links(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that connect exactly the classes which chains of similar ones connect.
-    ``classes``: (node, n, bands, sketch words), ``sets``: (node, elements)."""
+    ``classes``: (node, n, bands), ``sets``: (node, sketch words, elements)."""
     spark = classes.sparkSession
-    flips = most_flips(percent / 100)
     classes = cut(classes)
     listed = classes.select(F.explode("bands").alias("bucket"), "node", F.col("n").alias("held"))
-    crowded = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre"), F.sum("held").alias("weight")).filter("n > 1")
-    members = cut(join_spread(listed.drop("held"), cut(crowded.withColumn("size", F.col("n"))), ["bucket"]))
-    nodes = cut(classes.drop("bands").join(members.select("node").distinct(), "node"))
-
-    # each member's best bucket centre
-    word = [F.col(s) for s in _WORDS]
-    pairs = cut(members.filter("node <> centre").select("node", "centre").distinct())
-    centres = pairs.groupBy("centre").agg(F.count("*").alias("__n"))
-    marked = cut(centres.join(nodes.select(F.col("node").alias("centre"), F.struct("n", *word).alias("y")), "centre"))
-    own = nodes.select("node", F.struct("n", *word).alias("x"))
-    held = join_spread(pairs, marked, ["centre"], "__n").join(own, "node").withColumn("flips", _apart("x", "y"))
-    alike = (F.col("flips") <= flips) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    best = held.filter(alike).groupBy("node").agg(F.min_by("centre", F.struct("flips", "centre")).alias("centre"))
-    tested = cut(best.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    found = _confirm(tested.withColumns({"cell": F.col("b"), "part": _block("a", F.lit(GROUPS)).cast("long")}), sets, percent)
-
-    most = FIRST
-    while True:
-        rooted = components(found)
-        now = nodes.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = cut(members.select("bucket", "size", "weight", "node").join(now.select("node", "root"), "node"))
-        mixed = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", "n")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        open_ = join_spread(placed, cut(mixed), ["bucket"]).withColumn("mine", _block("node", blocks))
-        dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
-            "bucket", "weight", "node", "root", _block_pair("mine", "other").alias("pair"))
-        rows = dealt.join(nodes, "node").repartition(width(spark), "bucket", "pair").sortWithinPartitions("bucket", "pair")
-        near = rows.select("bucket", "pair", "weight", "node", "root", "n", *_WORDS).mapInArrow(
-            _near(most, flips, percent), "a long, b long, bucket long, weight long, more boolean")
-        # a pair is confirmed in the largest of its buckets, where most of its partners' pairs are
-        near = cut(near.groupBy("a", "b").agg(F.max(F.struct("weight", "bucket")).alias("in"), F.max("more").alias("more")))
-        parts = F.ceil(F.col("in.weight") / HELD).cast("int")
-        fresh = cut(near.join(tested, ["a", "b"], "left_anti").select(
-            "a", "b", F.col("in.bucket").alias("cell"), _block_pair(_block("a", parts), _block("b", parts)).alias("part")))
-        found = cut(found.unionByName(_confirm(fresh, sets, percent)))
-        if near.filter("more").isEmpty():
-            return found
-        tested = cut(tested.unionByName(fresh.select("a", "b")))
-        most *= 8
+    crowded = listed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("cell")).filter("n > 1")
+    members = cut(join_spread(listed, cut(crowded), ["bucket"]).select("cell", "node", "held").distinct())
+
+    cells = cut(members.groupBy("cell").agg(F.count("*").alias("n"), F.sum("held").alias("weight")).withColumn(
+        "blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / HELD)).cast("int")).drop("weight"))
+    placed = join_spread(members, cells, ["cell"]).withColumn("block", _block("node", F.col("blocks")))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cell", _block_pair("block", "other").alias("part"), "node", "block")
+
+    # the sets stay where they are stored; only those of members are moved
+    held = cut(sets.join(broadcast_if_small(members.select("node").distinct()), "node"))
+    rows = dealt.join(held, "node").repartition(width(spark), "cell", "part").sortWithinPartitions("cell", "part")
+    with short_batches(spark):
+        return cut(rows.select("cell", "part", "node", "block", *_WORDS, "elements").mapInArrow(
+            _search(most_flips(percent / 100), percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -334,9 +271,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     full = marked.filter("n_shingles > 0")
     classes = full.groupBy("d1", "d2", "n_shingles").agg(F.count("*").alias("copies"), F.min("key").alias("least"), F.min("row").alias("node"))
     classes = cut(classes)
-    # the sets stay where they are stored; only those of candidates are moved
-    chosen = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "bands", *_WORDS).join(classes.select("node"), "node", "left_semi")
-    pieces = components(links(chosen, full.select(F.col("row").alias("node"), "elements"), percent))
+    chosen = full.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "bands").join(classes.select("node"), "node", "left_semi")
+    pieces = components(links(chosen, full.select(F.col("row").alias("node"), *_WORDS, "elements"), percent))
     rooted = cut(classes.join(pieces, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     named = cut(join_spread(rooted, ids, ["root"]).select("d1", "d2", "n_shingles", "copies", "component_id"))

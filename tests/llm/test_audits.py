@@ -170,6 +170,28 @@ def test_odd_sketch_equals_brute_force(spark, monkeypatch, block, first):
     assert found == plain_near(rows)
 
 
+def test_odd_sketch_stores_no_pairs_of_a_group(spark, monkeypatch):
+    """Twice the members of a group of near copies, many of them at a similarity of 0.6 to 0.8, must
+    not store many more than twice the rows."""
+    stored, cut = [], odd_sketch.cut
+
+    def counted(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(odd_sketch, "cut", counted)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"n{rng.randrange(10**6)}" if rng.random() < 0.002 * (i % 100) else f"w{k}" for k in range(200)), "en", "s") for i in range(400)]
+    most = []
+    for n in (200, 400):
+        stored.clear()
+        found = odd_sketch.near_duplicates(table(spark, rows[:n])).collect()
+        assert Counter(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in found) == plain_near(rows[:n])
+        most.append(max(stored))
+    assert most[1] < 2.5 * most[0] and most[1] < 10 * len(rows)
+
+
 def test_odd_sketch_keeps_one_of_each(spark):
     df = table(spark, odd_rows())
     kept = odd_sketch.keep_one(df)
