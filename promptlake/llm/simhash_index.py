@@ -29,6 +29,7 @@ from promptlake.session import cut, width
 
 BLOCK = 1024
 PAIRS = 1 << 21
+FEW_LISTS = 1 << 17
 
 
 def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
@@ -163,9 +164,12 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     sets = list(combinations(range(8), 8 - radius))
     masks = [signed(sum(0xFF << (8 * p) for p in chosen)) for chosen in sets]
     # a posting list is known by its positions and by the fingerprint with all other bytes cleared
-    # few bytes, much work: spread by a fixed number, which adaptive coalescing leaves alone
-    listed = fps.select("fp").repartition(width(spark), "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "bytes"))
-    crowded = listed.groupBy("part", "bytes").agg(F.count("*").alias("n")).filter("n > 1")
+    # few bytes, much work: spread by a fixed number, which adaptive coalescing leaves alone, and by a
+    # hash of our own, as a partitioning by fp that is there already would take the place of this one
+    listed = fps.select("fp").repartition(width(spark), F.xxhash64("fp")).select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("part", "bytes"))
+    crowded = cut(listed.groupBy("part", "bytes").agg(F.count("*").alias("n")).filter("n > 1"))
+    # Spark sizes what was exploded as if no row had been added: the join is chosen by a count instead
+    crowded = F.broadcast(crowded) if crowded.limit(FEW_LISTS + 1).count() <= FEW_LISTS else crowded.hint("merge")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = (
@@ -202,10 +206,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     marked = cut(with_fingerprint(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), "text", shingle).drop("text"))
     classes = marked.groupBy("fp").agg(F.min("key").alias("least"))
     pieces = components(links(classes.select("fp"), radius))
-    rooted = cut(classes.join(pieces, classes["fp"] == pieces["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    # these have up to a row a document, and far fewer bytes as files than in the driver's memory: none is broadcast
+    rooted = cut(classes.join(pieces.hint("merge"), classes["fp"] == pieces["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return marked.join(named, "fp", "left").select(F.col("key").alias(key), "fp", "component_id")
+    named = rooted.join(ids.hint("merge"), "root").select("fp", "component_id")
+    return marked.join(named.hint("merge"), "fp", "left").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
