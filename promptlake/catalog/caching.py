@@ -260,7 +260,7 @@ _CLOSE = f"""close AS (SELECT a.vec_id AS i, b.vec_id AS j, {_SIM} AS similarity
 
 @query("similar_pairs", f"WITH {_CLOSE} SELECT i, j, round(similarity, 4) AS similarity FROM close")
 def _(s, d):
-    p = S.similar_pairs(load(s, d, "embeddings"), 0.3, "vec_id", pivots=8, block_rows=128)
+    p = S.every_similar_pair(load(s, d, "embeddings"), 0.3, "vec_id", pivots=8, block_rows=128)
     return p.select("i", "j", F.round("similarity", 4).alias("similarity"))
 
 

@@ -54,7 +54,7 @@ def _matrix(column) -> np.ndarray:
 def _pivots(store: DataFrame, n: int) -> np.ndarray:
     """``n`` vectors picked by hash; n is at most a few hundred."""
     rows = store.orderBy(F.xxhash64("id")).select("vec").limit(n).collect()
-    m = np.array([r["vec"] for r in rows], dtype=np.float64)
+    m = np.array([r["vec"] for r in rows] or np.zeros((0, 1)), dtype=np.float64)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -378,6 +378,20 @@ def similar_pairs(df: DataFrame, threshold: float, rid: str = "id", vec: str = "
         F.col("q_copies").alias("i_copies"), F.col("s_copies").alias("j_copies"))
 
 
+def every_similar_pair(df: DataFrame, threshold: float, rid: str = "id", vec: str = "embedding",
+                       pivots: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs i > j of rows with similarity >= threshold, copies among them: (i, j, similarity).
+
+    Rows that repeat an id make pairs of their own, but none with each other; rows without an id
+    make none. Groups of copies are dealt over the blocks like other rows; the pairs inside one
+    are part of the result and grow with its square."""
+    d = df.select(F.col(rid).cast("bigint").alias("id"), F.col(vec).alias("vec")).filter("id IS NOT NULL")
+    side = _side(d, "id", "vec", None, None)
+    q, s, meets = _layout(side, side, threshold, pivots, block_rows)
+    pairs = _compare(q, s, None, threshold, False, True, block_rows, meets)
+    return pairs.select(F.col("qid").cast("bigint").alias("i"), F.col("sid").cast("bigint").alias("j"), "similarity")
+
+
 def similarity_matrix(df: DataFrame, floor: float, rid: str = "id", vec: str = "embedding",
                       pivots: int | None = None) -> DataFrame:
     """Both triangles and the diagonal (1.0) of the similarity matrix over distinct vectors, as
