@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from promptlake.llm import simhash_index
@@ -40,3 +41,14 @@ def test_no_row_a_document_is_broadcast(spark):
     found = simhash_index.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
     assert not list(broadcast_parts(found))
     assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == {(i, i - i % 2) for i in range(100)}
+
+
+def test_pipeline_stage_broadcasts_only_ids_kept(spark, monkeypatch):
+    """The stage of the pipeline, where all crowded lists meet by a sort-merge join."""
+    monkeypatch.setattr(simhash_index, "FEW_LISTS", 0, raising=False)
+    texts = [(i, " ".join(random.Random(i // 2).choices("abcdefgh", k=40)), "en", "web", 79) for i in range(60)]
+    rows = [*texts, texts[2], (None, texts[4][1], "en", "web", 79)]  # an id that repeats, no id
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert len(list(broadcast_parts(kept))) <= 1  # of a few rows, by their number times that of others; of many, as measured
+    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [*range(0, 60, 2), None]
